@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wattlens import constants as K
 from wattlens.functions.columns import flag, num_or, ratio
 
-CUSTOMER = Window.partitionBy("customer_id")
-IN_ORDER = CUSTOMER.orderBy("date")
+
+def customer():
+    return Window.partitionBy("customer_id")
+
+
+def in_order():
+    return customer().orderBy("date")
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -22,7 +27,7 @@ def calendar(df: DataFrame) -> DataFrame:
 
 
 def last_rows(n: int):
-    return IN_ORDER.rowsBetween(-(n - 1), 0)
+    return in_order().rowsBetween(-(n - 1), 0)
 
 
 def rolling(df: DataFrame) -> DataFrame:
@@ -36,9 +41,9 @@ def rolling(df: DataFrame) -> DataFrame:
         "rolling_7d_mean": over(F.avg(kwh), 7, 2),
         "rolling_30d_mean": over(F.avg(kwh), 30, 7),
         "rolling_30d_std": over(F.stddev_samp(kwh), 30, 7),
-        "_median": F.median(kwh).over(CUSTOMER),
+        "_median": F.median(kwh).over(customer()),
     })
-    return df.withColumn("previous_30d_mean", F.lag("rolling_30d_mean", 7).over(IN_ORDER))
+    return df.withColumn("previous_30d_mean", F.lag("rolling_30d_mean", 7).over(in_order()))
 
 
 def consumption_flags(df: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattlens import constants as K
 from wattlens.functions.columns import at_most, clip, col_or, num, num_or, ratio
-from wattlens.operators.daily import CUSTOMER, IN_ORDER
+from wattlens.operators.daily import customer, in_order
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.ordering import global_rank, group_quantile
+from wattlens.plans.staging import stage
 
 STREAKS = {"longest_zero_streak": "zero_flag", "longest_low_streak": "low_relative_flag",
            "longest_weather_mismatch_streak": "weather_consumption_mismatch"}
@@ -21,11 +22,11 @@ def positions(daily: DataFrame) -> DataFrame:
     A run is the distance to the last row without the flag, so all streaks need one running maximum each over
     the same window, and no grouping by island.
     """
-    row = F.row_number().over(IN_ORDER)
-    count = F.count("*").over(CUSTOMER)
+    row = F.row_number().over(in_order())
+    count = F.count("*").over(customer())
     df = daily.withColumns({"_row": row, "_from_end": count - row + 1,
-                            "_new_day": F.coalesce(F.lag("date").over(IN_ORDER) != F.col("date"), F.lit(True)).cast("int")})
-    so_far = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+                            "_new_day": F.coalesce(F.lag("date").over(in_order()) != F.col("date"), F.lit(True)).cast("int")})
+    so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
     runs = {}
     for name, source in STREAKS.items():
         if source in daily.columns:
@@ -188,13 +189,17 @@ def payment_scores(df: DataFrame) -> DataFrame:
 
 
 def consumption_bands(features: DataFrame) -> DataFrame:
-    """Quintile 1-5 by the mean of the first 90 readings; ties by customer id. The result is a staged table."""
+    """Quintile 1-5 by the mean of the first 90 readings; ties by customer id.
+
+    Only the id and the mean are sorted; the features are read three times here, so they should be a stored table.
+    """
     value = F.col("first_90_mean")
-    n = features.agg(F.count("first_90_mean")).scalar()
-    ranked = global_rank(features, [value.asc_nulls_last(), "customer_id"], "_rank")
+    known = features.select("customer_id", "first_90_mean").filter(value.isNotNull())
+    n = known.agg(F.count("*")).scalar()
+    ranked = global_rank(known, ["first_90_mean", "customer_id"], "_rank")
     raised = F.floor((5 * (F.col("_rank") - 1) + n - 2) / F.greatest(n - 1, F.lit(1)))
-    band = F.when(value.isNotNull(), F.when(n > 1, F.greatest(F.lit(1), raised)).otherwise(1))
-    return ranked.withColumn("consumption_band", band.cast("int")).drop("_rank")
+    band = F.when(n > 1, F.greatest(F.lit(1), raised)).otherwise(1).cast("int")
+    return features.join(ranked.select("customer_id", band.alias("consumption_band")), "customer_id", "left")
 
 
 PEERS = ["customer_type", "consumption_band"]
@@ -232,7 +237,7 @@ def behavior_scores(df: DataFrame) -> DataFrame:
 
 def customer_features(daily: DataFrame) -> DataFrame:
     """One row per customer with all features."""
-    df = payment_scores(aggregate_customers(daily))
+    df = stage(payment_scores(aggregate_customers(daily)), "customer_agg")
     if "customer_type" not in df.columns:
         df = df.withColumn("customer_type", F.lit("unknown"))
     df = behavior_scores(peer_deviation(consumption_bands(df)))

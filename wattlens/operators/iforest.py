@@ -5,12 +5,18 @@ finished trees over Arrow batches. The forest is bounded by trees x 511 nodes, w
 """
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from wattlens.functions.columns import clip
 
+# the tree functions travel with the job, so workers need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SAMPLE = 256
 NODES = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
@@ -54,9 +60,8 @@ def grow_forest(df: DataFrame, id_column: str, trees: int, seed: int) -> DataFra
     Each tree keeps the rows whose hash falls below a threshold that yields about three times the sample size,
     then the 256 smallest hashes; only those rows are shuffled.
     """
-    n = df.agg(F.count("*")).scalar()
     limit = 1 << 31
-    threshold = F.least(F.lit(1.0), 3.0 * SAMPLE / F.greatest(n, F.lit(1))) * limit
+    threshold = int(min(1.0, 3.0 * SAMPLE / max(df.count(), 1)) * limit)
 
     def draw(t):
         return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed), t), F.lit(limit))

@@ -37,7 +37,7 @@ def drop_helpers(df: DataFrame) -> DataFrame:
 
 def feature_vector(df: DataFrame, features: list[str] = K.MODEL_FEATURES, id_column: str = "customer_id") -> DataFrame:
     """Id and imputed feature array `x`."""
-    frame = feature_frame(df, features)
+    frame = stage(feature_frame(df, features).select(id_column, *[f"f_{f}" for f in features]), "frame")
     fitted = Pipeline(stages=input_stages(features)).fit(frame)
     return fitted.transform(frame).select(id_column, vector_to_array("features").alias("x"))
 
@@ -67,8 +67,9 @@ def regressor(trees: int, seed: int) -> Pipeline:
 
 
 def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42) -> PipelineModel:
-    frame = feature_frame(features, K.EXPECTED_FEATURES)
-    return regressor(trees, seed).fit(frame.withColumn("label", F.coalesce(num(F.col("last_30_mean")), F.lit(0.0))))
+    label = F.coalesce(num(F.col("last_30_mean")), F.lit(0.0)).alias("label")
+    frame = feature_frame(features, K.EXPECTED_FEATURES).select(label, *[f"f_{f}" for f in K.EXPECTED_FEATURES])
+    return regressor(trees, seed).fit(stage(frame, "training"))  # read several times while fitting
 
 
 def expected_consumption(features: DataFrame, model: PipelineModel | None = None, trees: int = 120,
@@ -119,7 +120,8 @@ def fit_classifier(labelled: DataFrame, features: list[str], label: str = "fraud
                                     numTrees=trees, minInstancesPerNode=3, maxDepth=depth,
                                     featureSubsetStrategy="sqrt", seed=seed)
     weighted = class_weights(feature_frame(labelled, features), label).withColumn("_label", F.col(label).cast("int"))
-    return Pipeline(stages=[*input_stages(features), forest]).fit(weighted)
+    frame = weighted.select("_label", "_weight", *[f"f_{f}" for f in features])
+    return Pipeline(stages=[*input_stages(features), forest]).fit(stage(frame, "training"))
 
 
 def classify(df: DataFrame, model: PipelineModel, features: list[str], name: str) -> DataFrame:

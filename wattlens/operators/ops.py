@@ -1,8 +1,6 @@
 """Questions of daily operation: figures, lists, trends, cases, teams, activity and requests."""
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wattlens import constants as K
@@ -144,20 +142,26 @@ def indicators(customers: DataFrame) -> DataFrame:
 
 
 def correlation(customers: DataFrame, columns: list[str] = K.CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson correlation of every pair of drivers with more than two values, from one aggregate."""
-    have = [c for c in columns if c in customers.columns]
-    pairs = [(a, a) for a in have] + list(combinations(have, 2))
-    values = {c: num(F.col(c)) for c in have}
-    row = customers.agg(*[F.count(v).alias(f"n_{c}") for c, v in values.items()],
-                        *[F.corr(values[a], values[b]).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
-    usable = {c: F.col(f"n_{c}") > 2 for c in have}
-    rows = [F.when(usable[a] & usable[b], F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                                   F.round(F.col(f"r_{i}"), 2).alias("correlation")))
-            for i, (a, b) in enumerate(pairs)]
-    both = rows + [F.when(usable[a] & usable[b], F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"),
-                                                          F.round(F.col(f"r_{i}"), 2).alias("correlation")))
-                   for i, (a, b) in enumerate(pairs) if a != b]
-    return row.select(F.explode(F.array_compact(F.array(*both))).alias("r")).select("r.*")
+    """Pearson correlation of every pair of drivers with more than two values, from one aggregate.
+
+    Rows where one of the two is missing do not count for the pair; a constant driver gives NULL.
+    """
+    value = {c: num(F.col(c)) for c in columns if c in customers.columns}
+    known = customers.agg(F.count("*").alias("n"), *[F.count(v).alias(c) for c, v in value.items()]).first()
+    have = [c for c in value if known[c] > 2]
+
+    def spread(a: str, b: str) -> Column:
+        whole = known[b] == known["n"]
+        return F.stddev_samp(value[a] if whole else F.when(value[b].isNotNull(), value[a]))
+
+    pairs = [(a, b) for i, a in enumerate(have) for b in have[i:]]
+    rows = []
+    for a, b in pairs:
+        r = F.round(F.try_divide(F.covar_samp(value[a], value[b]), spread(a, b) * spread(b, a)), 2)
+        rows += [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), r.alias("correlation")) for x, y in {(a, b), (b, a)}]
+    if not rows:
+        return customers.sparkSession.createDataFrame([], "a string, b string, correlation double")
+    return customers.agg(F.array(*rows).alias("all")).select(F.explode("all").alias("r")).select("r.*")
 
 
 def create_cases(priority: DataFrame, teams: list[str], n: int = K.CASE_COUNT) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,7 +25,16 @@ def staging_root(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write once, read back. Use where two or more later steps need the same expensive result."""
-    spark = df.sparkSession
-    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, key: str, build) -> DataFrame:
+    """A staged table that later calls of the same application read again; rebuilt if its files are gone."""
+    path = f"{staging_root(spark)}/stored-{uuid.uuid5(uuid.NAMESPACE_URL, key).hex}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.parquet(path)
+        return spark.read.parquet(path)
