@@ -223,7 +223,7 @@ def jn_5(s, d):
 
 @query
 def jn_6(s, d):
-    agg = features.aggregate_customers(T.supplier_daily(s, d))
+    agg = enrich.attach_metadata(features.aggregate_customers(T.supplier_daily(s, d)), T.supplier_dimension(s, d))
     return agg.select("customer_id", "last_30_mean", "avg_temp_mean", "longest_low_streak", "consumption_trend_slope",
                       "area_id", "meter_age", "account_status")
 
@@ -233,13 +233,13 @@ PEER = ["customer_type", "consumption_band", "peer_avg_last_30", "peer_median_la
 
 @query
 def peer_stats(s, d):
-    agg = stage(features.aggregate_customers(T.order_daily(s, d)))
+    agg = stage(enrich.attach_metadata(features.aggregate_customers(T.order_daily(s, d)), T.customer_dimension(s, d)))
     return features.peer_stats(features.consumption_bands(agg)).select(PEER)
 
 
 @query
 def agg_12(s, d):
-    agg = stage(features.aggregate_customers(T.supplier_daily(s, d)))
+    agg = stage(enrich.attach_metadata(features.aggregate_customers(T.supplier_daily(s, d)), T.supplier_dimension(s, d)))
     return features.peer_stats(features.consumption_bands(agg)).select(PEER)
 
 
@@ -375,7 +375,8 @@ def trend_slope(s, d):
 
 @query
 def first_meta(s, d):
-    return features.customer_metadata(T.supplier_daily(s, d)).drop("payment_method")
+    every = T.supplier_dimension(s, d).columns[1:]
+    return features.customer_metadata(daily.daily_context(T.supplier_weather(s, d, every)))
 
 
 @query

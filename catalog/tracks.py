@@ -107,9 +107,10 @@ def nation_weather(spark, folder) -> DataFrame:
 WEATHER_HOME = "ALGERIA"
 
 
-def supplier_weather(spark, folder) -> DataFrame:
-    """S readings with attributes and weather."""
-    readings = enrich.attach_metadata(supplier_readings(spark, folder), supplier_dimension(spark, folder))
+def supplier_weather(spark, folder, attributes=("city",)) -> DataFrame:
+    """S readings with city and weather; the other attributes are joined per customer later."""
+    dimension = supplier_dimension(spark, folder)
+    readings = enrich.attach_metadata(supplier_readings(spark, folder), dimension.select("customer_id", *attributes))
     return enrich.attach_weather(readings, nation_weather(spark, folder), WEATHER_HOME)
 
 
@@ -118,7 +119,7 @@ def supplier_daily(spark, folder) -> DataFrame:
 
 
 def supplier_features(spark, folder) -> DataFrame:
-    return features.customer_features(supplier_daily(spark, folder))
+    return features.customer_features(supplier_daily(spark, folder), supplier_dimension(spark, folder))
 
 
 def model_inputs(df: DataFrame) -> DataFrame:
@@ -135,7 +136,8 @@ def daily_table(spark, folder) -> DataFrame:
 
 
 def feature_table(spark, folder) -> DataFrame:
-    return stored(spark, f"{folder} features", lambda: features.customer_features(daily_table(spark, folder)))
+    return stored(spark, f"{folder} features", lambda: features.customer_features(
+        daily_table(spark, folder), supplier_dimension(spark, folder)))
 
 
 def supplier_inputs(spark, folder) -> DataFrame:
@@ -178,12 +180,11 @@ def customer_dimension(spark, folder) -> DataFrame:
 
 
 def order_daily(spark, folder) -> DataFrame:
-    readings = enrich.attach_metadata(order_readings(spark, folder), customer_dimension(spark, folder))
-    return daily.daily_context(readings)
+    return daily.daily_context(order_readings(spark, folder))
 
 
 def order_features(spark, folder) -> DataFrame:
-    return features.customer_features(order_daily(spark, folder))
+    return features.customer_features(order_daily(spark, folder), customer_dimension(spark, folder))
 
 
 # --- units ---

@@ -30,9 +30,8 @@ UNIT_HEADERS = {
 }
 NULL_TOKENS = ["", "nan", "None", "NULL", "-"]
 
-# --- date formats tried in order: year first, month first, day first (fixed values) ---
-DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy",
-                "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s"]
+# --- date formats besides ISO, tried in order: year first, month first, day first (fixed values) ---
+DATE_FORMATS = ["yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]
 HEADER_YEARS = (2000, 2100)
 
 # --- columns that travel with a customer ---

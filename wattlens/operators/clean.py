@@ -6,6 +6,7 @@ number of calendar days.
 """
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,11 +19,20 @@ from wattlens.plans.staging import stage
 KEYS = ["customer_id", "date"]
 
 
+def date_shape(fmt: str) -> str:
+    """Pattern of the texts a date format can read."""
+    digits = {"yyyy": r"\d{4}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "^" + "".join(digits.get(part, re.escape(part)) for part in re.split(r"(yyyy|M|d)", fmt)) + "$"
+
+
 def parse_date(value: Column) -> Column:
-    """Day, or NULL. Typed dates pass; text is tried against the fixed list of formats."""
+    """Day, or NULL. Dates, also with a time behind, in ISO form; other text by the fixed list of formats.
+
+    A format is tried only on text of its shape: a failed parse costs far more than a pattern check.
+    """
     text = F.trim(value.cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in K.DATE_FORMATS]
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))  # a bare time is not a day
+    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), text.try_cast("timestamp"))
+    tries = [F.when(text.rlike(date_shape(fmt)), F.try_to_timestamp(text, F.lit(fmt))) for fmt in K.DATE_FORMATS]
     return F.coalesce(iso, *tries).cast("date")
 
 

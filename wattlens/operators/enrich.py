@@ -27,13 +27,22 @@ def attach_metadata(readings: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def default_metadata(df: DataFrame) -> DataFrame:
-    """Attributes the scoring needs, with constant defaults where the upload has none."""
+    """Customer attributes the scoring needs, with constant defaults where the upload has none."""
     for name, value in DEFAULT_METADATA.items():
         known = F.col(name) if name in df.columns else F.lit(None).cast("string")
         df = df.withColumn(name, F.coalesce(known, F.lit(value)))
     return df
 
 
+def split_customers(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readings without attributes, one attribute row per customer taken from its earliest reading)."""
+    present = [c for c in K.CUSTOMER_COLUMNS if c in readings.columns]
+    if not present:
+        return readings, readings.select("customer_id").distinct()
+    first = readings.groupBy("customer_id").agg(F.min_by(F.struct(*present), F.col("date")).alias("m"))
+    return readings.drop(*present), first.select("customer_id", "m.*")
+
+
 def temperature_context(temp: Column) -> dict[str, Column]:
     """Degree days, class and pressure that follow from the mean temperature."""
     kind = weather_class(temp)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattlens import constants as K
 from wattlens.functions.columns import at_most, clip, col_or, num, num_or, ratio
 from wattlens.operators.daily import customer, in_order
+from wattlens.operators.enrich import attach_metadata
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.ordering import global_rank, group_quantile
 from wattlens.plans.staging import stage
@@ -24,7 +25,9 @@ def positions(daily: DataFrame) -> DataFrame:
     """
     row = F.row_number().over(in_order())
     count = F.count("*").over(customer())
+    # the median as a window value keeps the later aggregate inside generated code
     df = daily.withColumns({"_row": row, "_from_end": count - row + 1,
+                            "_median": F.median("consumption_kwh").over(customer()),
                             "_new_day": F.coalesce(F.lag("date").over(in_order()) != F.col("date"), F.lit(True)).cast("int")})
     so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
     runs = {}
@@ -81,7 +84,7 @@ def base_columns() -> dict[str, Column]:
     return {
         "total_consumption": F.coalesce(F.sum(kwh), F.lit(0.0)),
         "avg_consumption": F.avg(kwh),
-        "median_consumption": F.median(kwh),
+        "median_consumption": F.max("_median"),
         "std_consumption": F.coalesce(F.stddev_samp(kwh), F.lit(0.0)),
         "max_consumption": F.max(kwh),
         "min_consumption": F.min(kwh),
@@ -235,12 +238,18 @@ def behavior_scores(df: DataFrame) -> DataFrame:
     return df.withColumns({"sudden_behavior_score": sudden * 100, "weather_context_score": weather * 100})
 
 
-def customer_features(daily: DataFrame) -> DataFrame:
-    """One row per customer with all features."""
-    df = stage(payment_scores(aggregate_customers(daily)), "customer_agg")
+def customer_features(daily: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """One row per customer with all features.
+
+    Attributes come from the readings, or better from the customer dimension: joined here, they need not be
+    carried through the windows on every reading.
+    """
+    df = aggregate_customers(daily)
+    if customers is not None:
+        df = attach_metadata(df, customers)
+    df = payment_scores(df)
     if "customer_type" not in df.columns:
         df = df.withColumn("customer_type", F.lit("unknown"))
-    df = behavior_scores(peer_deviation(consumption_bands(df)))
     if "fraud_label" in df.columns:
         df = df.withColumn("fraud_label", num(F.col("fraud_label")))
-    return df
+    return behavior_scores(peer_deviation(consumption_bands(stage(df, "customer_agg"))))

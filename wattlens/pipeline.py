@@ -43,12 +43,13 @@ def analyze(readings: DataFrame, customers: DataFrame | None = None, weather: Da
             trees: tuple[int, int, int] = (120, 250, 350), seed: int = 42, models_on: bool = True
             ) -> dict[str, DataFrame]:
     """All result tables of a run from cleaned readings."""
-    if customers is not None:
-        readings = enrich.attach_metadata(readings, customers)
-    readings = enrich.default_metadata(readings)
-    covered = stage(enrich.extend_weather(weather, readings), "weather")
-    context = stage(daily.daily_context(enrich.attach_weather(readings, covered)), "daily")
-    table = stage(features.customer_features(context), "features")
+    readings, own = enrich.split_customers(readings)
+    dimension = own if customers is None else enrich.attach_metadata(own, customers)
+    dimension = stage(enrich.default_metadata(dimension), "dimension")
+    located = enrich.attach_metadata(readings, dimension.select("customer_id", "city"))
+    covered = stage(enrich.extend_weather(weather, located), "weather")
+    context = stage(daily.daily_context(enrich.attach_weather(located, covered)), "daily")
+    table = stage(features.customer_features(context, dimension), "features")
     if models_on:
         table = stage(models.score_models(table, trees, seed), "scored")
     scores, areas, transformers, priority = risk.score_all(table)

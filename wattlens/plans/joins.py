@@ -3,25 +3,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wattlens.plans.staging import stage
+
 SALTS = 16
+BROADCAST_ROWS = 100_000  # lookup rows are keys and a few numbers: well below 100 MB
 
 
 def lookup_join(left: DataFrame, table: DataFrame, on: list[str], spread: list[str], how: str = "left",
-                salts: int = SALTS, null_safe: bool = False) -> DataFrame:
+                null_safe: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large table to a lookup table with one row per key.
 
-    No broadcast is forced: the optimizer broadcasts the lookup side when its measured size is below
-    `spark.sql.autoBroadcastJoinThreshold`. Beyond that both sides shuffle, and the salt (a hash of the
-    `spread` columns) splits every key of the large side into `salts` parts; the lookup rows are repeated
-    once per salt, so the result is unchanged.
+    The lookup side is computed once into a stored table, and its rows are counted. Up to `broadcast_rows` it
+    is broadcast. Beyond that both sides shuffle, and a salt (a hash of the `spread` columns) splits every key
+    of the large side into parts; the lookup rows are repeated once per salt, so the result is the same.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    big = left.withColumn("_salt", salt)
+    table = stage(table, "lookup")
     keys = [f"_key_{i}" for i in range(len(on))]
-    small = table.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    small = small.withColumnsRenamed(dict(zip(on, keys)))
-    condition = F.col("_salt") == F.col("_salt_r")
+    small = table.withColumnsRenamed(dict(zip(on, keys)))
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        big, small, condition = left, F.broadcast(small), F.lit(True)
+    else:
+        big = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+        small = small.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        condition = F.col("_salt") == F.col("_salt_r")
     for name, key in zip(on, keys):
-        same = F.col(name).eqNullSafe(F.col(key)) if null_safe else F.col(name) == F.col(key)
-        condition = condition & same
+        condition = condition & (F.col(name).eqNullSafe(F.col(key)) if null_safe else F.col(name) == F.col(key))
     return big.join(small, condition, how).drop("_salt", "_salt_r", *keys)
