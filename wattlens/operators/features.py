@@ -200,11 +200,16 @@ def consumption_bands(features: DataFrame) -> DataFrame:
     known = features.select("customer_id", "first_90_mean").filter(value.isNotNull())
     n = known.agg(F.count("*")).scalar()
     ranked = global_rank(known, ["first_90_mean", "customer_id"], "_rank")
-    raised = F.floor((5 * (F.col("_rank") - 1) + n - 2) / F.greatest(n - 1, F.lit(1)))
-    band = F.when(n > 1, F.greatest(F.lit(1), raised)).otherwise(1).cast("int")
+    band = band_of(F.col("_rank"), n)
     return features.join(ranked.select("customer_id", band.alias("consumption_band")), "customer_id", "left")
 
 
+def band_of(rank: Column, n: Column) -> Column:
+    """Quintile of a rank among n, in whole numbers: 5 (rank - 1) / (n - 1) rounded up, at least 1."""
+    raised = F.floor((5 * (rank - 1) + n - 2) / F.greatest(n - 1, F.lit(1)))
+    return F.when(n > 1, F.greatest(F.lit(1), raised)).otherwise(1).cast("int")
+
+
 PEERS = ["customer_type", "consumption_band"]
 
 
