@@ -123,13 +123,14 @@ def clean_readings(df: DataFrame, sequence: str | None = None, approximate_cap:
     positive = drop_negatives(merged)
     limit = cap_value(positive, approximate_cap)
     clean = propagate_labels(fill_missing(cap_outliers(positive, limit))).drop("copies")
-    return clean, cleaning_report(df, typed, merged, limit)
+    return clean, cleaning_report(df, merged, limit)
 
 
-def cleaning_report(raw: DataFrame, typed: DataFrame, merged: DataFrame, limit: Column) -> DataFrame:
+def cleaning_report(raw: DataFrame, merged: DataFrame, limit: Column) -> DataFrame:
     """Counters of the cleaning steps and the readiness score, one row."""
-    scanned = typed.agg(F.count_if(F.col("date").isNull()).alias("v")).scalar()
-    initial = raw.agg(F.count("*").alias("v")).scalar()
+    day = F.col("date") if dict(raw.dtypes)["date"] == "date" else parse_date(F.col("date"))
+    undated = (F.length(F.trim(F.col("customer_id").cast("string"))) > 0) & day.isNull()
+    scanned = raw.agg(F.struct(F.count("*").alias("rows"), F.count_if(undated).alias("undated"))).scalar()
     kwh = F.col("consumption_kwh")
     kept = F.when(kwh >= 0, kwh)
     per_customer = merged.groupBy("customer_id").agg(
@@ -145,7 +146,7 @@ def cleaning_report(raw: DataFrame, typed: DataFrame, merged: DataFrame, limit:
         F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_consumption_filled"),
         F.coalesce(F.sum("capped"), F.lit(0)).alias("extreme_values_capped"),
         F.coalesce(F.median("days"), F.lit(0.0)).alias("median_history_days_per_customer"))
-    report = (totals.withColumn("initial_rows", initial).withColumn("invalid_dates_removed", scanned)
+    report = (totals.withColumns({"initial_rows": scanned["rows"], "invalid_dates_removed": scanned["undated"]})
               .withColumn("cap_value_99_5_percentile", F.coalesce(limit, F.lit(0.0))))
     return report.withColumn("data_readiness_score", F.round(readiness(), 1))
 

@@ -1,6 +1,7 @@
 """Reading delivered files and stored results."""
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from wattlens import constants as K
 
 DELIMITERS = [",", ";", "\t"]
-BAD_ROW = "_bad_row"
 
 
 def clean_header(name: str) -> str:
@@ -21,35 +21,38 @@ def clean_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean_header(c) for c in df.columns])
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line does not decode; checked on the executors over the whole file."""
-    lines = spark.read.option("encoding", "UTF-8").text(path)
-    undecodable = lines.filter(F.col("value").contains("�")).limit(1)
-    return "ISO-8859-1" if undecodable.count() else "UTF-8"
+def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Text lines of a file. UTF-8 unless some line is not valid UTF-8, which is checked on the executors."""
+    lines = spark.read.text(path)
+    if encoding is None:
+        encoding = "UTF-8" if lines.filter(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+    if encoding != "UTF-8":
+        lines = lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+    return lines.filter(F.length(F.trim("value")) > 0)
 
 
-def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+def detect_delimiter(header: str) -> str:
     """The delimiter that occurs most often in the header line."""
-    head = spark.read.option("encoding", encoding).text(path).first()
-    text = head["value"] if head else ""
-    return max(DELIMITERS, key=lambda d: (text.count(d), -DELIMITERS.index(d)))
+    return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
 def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Tolerant scan: delimiter and encoding are detected, lines with too many fields are skipped,
     short lines are filled with NULL. All columns come back as text."""
-    encoding = encoding or detect_encoding(spark, path)
-    delimiter = detect_delimiter(spark, path, encoding)
-    reader = (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
-              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField(BAD_ROW, T.StringType())])
-    rows = (reader.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", BAD_ROW).csv(path))
-    fields = F.size(F.split(F.regexp_replace(F.col(BAD_ROW), '"[^"]*"', ""), re.escape(delimiter)))
-    too_long = F.col(BAD_ROW).isNotNull() & (fields > len(names))
-    return clean_headers(rows.filter(~too_long).drop(BAD_ROW))
+    lines = read_lines(spark, path, encoding)
+    head = lines.first()
+    if head is None:
+        return spark.createDataFrame([], T.StructType([]))
+    header = head["value"]
+    delimiter = detect_delimiter(header)
+    names = [clean_header(n) for n in next(csv.reader([header.replace("\ufeff", "")], delimiter=delimiter))]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    unquoted = F.regexp_replace("value", '"[^"]*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1
+    cells = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "),
+                       {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    rows = lines.filter((F.col("value") != header) & (fields <= len(names))).select(cells.alias("r")).select("r.*")
+    return rows.toDF(*names)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
