@@ -15,9 +15,12 @@ def headline(spark) -> dict:
     """Each entry starts from the given tables; nothing is shared between entries."""
     from catalog import queries as Q, tracks as T
     from wattlens.operators import clean, features, forecast, ops, risk, units
+    from wattlens.plans.staging import stage
 
     def scored():
-        return risk.score_all(T.model_inputs(T.supplier_features(spark, FOLDER)))
+        daily = stage(T.supplier_daily(spark, FOLDER), "daily")
+        table = stage(features.customer_features(daily, T.supplier_dimension(spark, FOLDER)), "features")
+        return risk.score_all(T.model_inputs(table))
 
     return {
         "clean_readings": lambda: clean.clean_readings(T.events_raw(spark, FOLDER), "sequence")[0],

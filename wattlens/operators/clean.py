@@ -62,7 +62,8 @@ def merge_duplicates(df: DataFrame, sequence: str | None = None) -> DataFrame:
     """One row per customer and day: mean reading, first known label and attributes.
 
     `sequence` names a column that orders the copies; without it the smallest known value is taken. The
-    column `copies` counts the merged rows.
+    column `copies` counts the merged rows. Text attributes are better moved to the customer dimension before
+    (`enrich.split_customers`), because an aggregate with text results has to sort its input.
     """
     others = [c for c in df.columns if c not in [*KEYS, "consumption_kwh", sequence]]
 

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattlens import constants as K
-from wattlens.functions.columns import num, weather_class
+from wattlens.functions.columns import first_known, num, weather_class
 from wattlens.plans.joins import lookup_join
 
 DEFAULT_METADATA = {"customer_type": "residential", "city": K.DEFAULT_CITY}
@@ -34,13 +34,26 @@ def default_metadata(df: DataFrame) -> DataFrame:
     return df
 
 
+def text_columns(df: DataFrame, keys: list[str]) -> list[str]:
+    return [c for c, t in df.dtypes if t == "string" and c not in keys]
+
+
+def first_attributes(df: DataFrame, key: str, columns: list[str], order: str = "date") -> DataFrame:
+    """One row per key with the earliest known value of every column.
+
+    Equal combinations collapse before the shuffle, and only those few rows per key are compared. Taking the
+    first text directly would sort all readings: Spark has no hash aggregation with text results.
+    """
+    combinations = df.groupBy(key, *columns).agg(F.min(order).alias("_first"))
+    return combinations.groupBy(key).agg(*[first_known(F.col(c), F.col("_first")).alias(c) for c in columns])
+
+
 def split_customers(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(readings without attributes, one attribute row per customer taken from its earliest reading)."""
+    """(readings without attributes, customer dimension with the earliest known attributes)."""
     present = [c for c in K.CUSTOMER_COLUMNS if c in readings.columns]
     if not present:
         return readings, readings.select("customer_id").distinct()
-    first = readings.groupBy("customer_id").agg(F.min_by(F.struct(*present), F.col("date")).alias("m"))
-    return readings.drop(*present), first.select("customer_id", "m.*")
+    return readings.drop(*present), first_attributes(readings, "customer_id", present)
 
 
 def temperature_context(temp: Column) -> dict[str, Column]:

@@ -10,7 +10,8 @@ from wattlens.functions.columns import (at_least, clip, clip100, first_known, fl
                                         unit_level)
 from wattlens.operators import models
 from wattlens.operators.clean import coerce_numeric, parse_date
-from wattlens.operators.enrich import city_climate, seasonal_temperature, temperature_context
+from wattlens.operators.enrich import (city_climate, first_attributes, seasonal_temperature, temperature_context,
+                                        text_columns)
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.ordering import exact_quantile, global_rank, group_quantile
 from wattlens.plans.staging import stage
@@ -35,6 +36,7 @@ def building_standardize(df: DataFrame, mapping: dict[str, str] | None = None) -
 
     Columns are found by header unless mapped by hand; all other columns are carried along. Readings of one
     unit and day are averaged before any per-unit step, so a window over a unit is bounded by the calendar.
+    Text columns describe the unit: its earliest known value stands on all its rows.
     """
     found = {role: find_unit_header(df.columns, names) for role, names in K.UNIT_HEADERS.items()}
     found.update(mapping or {})
@@ -54,7 +56,10 @@ def building_standardize(df: DataFrame, mapping: dict[str, str] | None = None) -
         "consumption_kwh": at_least(kwh, 0),
         **{c: num(F.col(c)) for c in NUMBERS if c in out.columns}})
     out = out.filter(F.col("date").isNotNull() & F.col("consumption_kwh").isNotNull() & F.col("unit_id").isNotNull())
-    return expected_kwh(with_unit_defaults(one_per_day(out)))
+    texts = text_columns(out, ["unit_id"])
+    merged = one_per_day(out.drop(*texts)).join(first_attributes(out, "unit_id", texts), "unit_id", "left")
+    # the number of floors and the rows themselves both need the merged readings
+    return expected_kwh(with_unit_defaults(stage(merged, "unit_days")))
 
 
 def one_per_day(df: DataFrame) -> DataFrame:
@@ -161,15 +166,21 @@ def unit_ratios(units: DataFrame) -> DataFrame:
 
 
 def unit_peer(units: DataFrame) -> DataFrame:
-    """Median of similar units: same city, kind of place and unit type; without city; of all units."""
-    levels = []
-    for i, keys in enumerate(PEER_LEVELS):
+    """Median of similar units: same city, kind of place and unit type; without city; of all units.
+
+    The wider levels are computed only if some unit is still without a median. `units` should be a stored table.
+    """
+    units = units.withColumn("peer_avg_consumption", F.lit(None).cast("double"))
+    for keys in PEER_LEVELS:
+        if units.filter(F.col("peer_avg_consumption").isNull()).isEmpty():
+            break
         known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-        medians = group_quantile(units.filter(known).select(*keys, "avg_consumption"), keys, "avg_consumption", 0.5, f"_m{i}")
+        medians = group_quantile(units.filter(known).select(*keys, "avg_consumption"), keys, "avg_consumption", 0.5, "_median")
         units = lookup_join(units, medians, keys, spread=["unit_id"])
-        levels.append(F.col(f"_m{i}"))
-    overall = exact_quantile(units, "avg_consumption", 0.5)
-    units = units.withColumn("peer_avg_consumption", F.coalesce(*levels, overall)).drop("_m0", "_m1")
+        units = units.withColumn("peer_avg_consumption", F.coalesce("peer_avg_consumption", "_median")).drop("_median")
+    if not units.filter(F.col("peer_avg_consumption").isNull()).isEmpty():
+        overall = exact_quantile(units, "avg_consumption", 0.5)
+        units = units.withColumn("peer_avg_consumption", F.coalesce("peer_avg_consumption", overall))
     gap = ratio(F.col("peer_avg_consumption") - F.col("avg_consumption"), F.col("peer_avg_consumption"))
     return units.withColumn("peer_low_gap_pct", F.greatest(F.coalesce(gap, F.lit(0.0)), F.lit(0.0)))
 

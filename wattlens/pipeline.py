@@ -9,34 +9,43 @@ from wattlens.sources import detect, readers, reshape, sinks
 
 
 def ingest(spark: SparkSession, path: str, folder: str | None = None, max_customers: int | None = None,
-           max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Read, detect, reshape and clean one delivered table. Returns the readings and the report."""
+           max_days: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read, detect, reshape and clean one delivered table. Returns readings, customer dimension and report."""
     raw = readers.clean_headers(readers.read_table(spark, path))
     layout = detect.detect_layout(raw)
     profile = detect.profile_table(raw).select(F.struct("*").alias("raw_profile")).scalar()
-    cleaned, report = clean.clean_readings(reshape.to_long(raw, layout, max_customers, max_days))
-    report = report.select(F.struct("*").alias("cleaning")).withColumns({
+    cleaned, customers, report = clean_and_split(reshape.to_long(raw, layout, max_customers, max_days))
+    report = report.withColumns({
         "raw_profile": profile,
         "schema": F.struct(F.lit(layout.kind).alias("schema_type"), F.lit(layout.id_column).alias("customer_col"),
                            F.lit(layout.label_column).alias("label_col"),
                            F.lit(layout.confidence).alias("schema_confidence"),
                            F.array(*[F.lit(i) for i in layout.issues]).cast("array<string>").alias("issues"))})
-    return store(cleaned, report, folder)
+    return store(cleaned, customers, report, folder)
 
 
 def ingest_invoices(invoices: DataFrame, clients: DataFrame, folder: str | None = None,
-                    max_customers: int | None = None, max_days: int | None = None) -> tuple[DataFrame, DataFrame]:
+                    max_customers: int | None = None, max_days: int | None = None
+                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same for a pair of invoice and client tables."""
     rows = reshape.invoice_to_readings(invoices, clients, max_customers, max_days)
+    return store(*clean_and_split(rows), folder)
+
+
+def clean_and_split(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Attributes go to the customer dimension; only measures and labels pass through the cleaning."""
+    rows, customers = enrich.split_customers(clean.trim_ids(rows))
     cleaned, report = clean.clean_readings(rows)
-    return store(cleaned, report.select(F.struct("*").alias("cleaning")), folder)
+    return cleaned, stage(customers, "customers"), report.select(F.struct("*").alias("cleaning"))
 
 
-def store(cleaned: DataFrame, report: DataFrame, folder: str | None) -> tuple[DataFrame, DataFrame]:
+def store(cleaned: DataFrame, customers: DataFrame, report: DataFrame, folder: str | None
+          ) -> tuple[DataFrame, DataFrame, DataFrame]:
     if folder:
         sinks.write_readings(cleaned, folder)
+        sinks.write_table(customers, f"{folder}/customers")
         sinks.write_json(report, f"{folder}/ingestion_report")
-    return cleaned, report
+    return cleaned, customers, report
 
 
 def analyze(readings: DataFrame, customers: DataFrame | None = None, weather: DataFrame | None = None,
@@ -44,8 +53,7 @@ def analyze(readings: DataFrame, customers: DataFrame | None = None, weather: Da
             ) -> dict[str, DataFrame]:
     """All result tables of a run from cleaned readings."""
     readings, own = enrich.split_customers(readings)
-    dimension = own if customers is None else enrich.attach_metadata(own, customers)
-    dimension = stage(enrich.default_metadata(dimension), "dimension")
+    dimension = stage(enrich.default_metadata(own if customers is None else customers), "dimension")
     located = enrich.attach_metadata(readings, dimension.select("customer_id", "city"))
     covered = stage(enrich.extend_weather(weather, located), "weather")
     context = stage(daily.daily_context(enrich.attach_weather(located, covered)), "daily")
@@ -65,8 +73,8 @@ def analyze(readings: DataFrame, customers: DataFrame | None = None, weather: Da
 def run(spark: SparkSession, path: str, folder: str, weather_path: str | None = None, max_customers: int | None = None,
         max_days: int | None = None, trees: tuple[int, int, int] = (120, 250, 350), seed: int = 42) -> dict[str, DataFrame]:
     """Ingest one file, analyze it and write every output."""
-    cleaned, _ = ingest(spark, path, folder, max_customers, max_days)
-    out = analyze(cleaned, weather=readers.read_weather(spark, weather_path), trees=trees, seed=seed)
+    cleaned, customers, _ = ingest(spark, path, folder, max_customers, max_days)
+    out = analyze(cleaned, customers, weather=readers.read_weather(spark, weather_path), trees=trees, seed=seed)
     sinks.write_scores(out["customers"], out["areas"], out["transformers"], out["priority"], out["daily_subset"], folder)
     sinks.write_maps(out["customers"], out["areas"], out["priority"], folder)
     sinks.write_forecasts(out["loss_forecast"], out["area_forecast"], out["customer_forecast"], folder)
