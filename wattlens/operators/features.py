@@ -152,15 +152,12 @@ def recent_change() -> dict[str, Column]:
 
 def first_metadata(daily: DataFrame) -> list[Column]:
     """Attributes as they stand on the first reading of the customer."""
-    present = [c for c in META if c in daily.columns]
-    if not present:
-        return []
-    return [F.min_by(F.struct(*present), F.col("_row")).alias("_meta")]
+    return [F.min_by(c, "_row").alias(c) for c in META if c in daily.columns]
 
 
 def customer_metadata(daily: DataFrame) -> DataFrame:
     placed = positions(daily)
-    return placed.groupBy("customer_id").agg(*first_metadata(placed)).select("customer_id", "_meta.*")
+    return placed.groupBy("customer_id").agg(*first_metadata(placed))
 
 
 def aggregate_customers(daily: DataFrame) -> DataFrame:
@@ -168,10 +165,8 @@ def aggregate_customers(daily: DataFrame) -> DataFrame:
     placed = positions(daily)
     columns = {**base_columns(), **period_columns(), **weather_columns(daily),
                "consumption_trend_slope": slope_column()}
-    meta = first_metadata(daily)
     agg = placed.groupBy("customer_id").agg(*[e.alias(n) for n, e in columns.items()],
-                                            *streak_columns(placed), *meta)
-    agg = agg.select([c for c in agg.columns if c != "_meta"] + (["_meta.*"] if meta else []))
+                                            *streak_columns(placed), *first_metadata(daily))
     return agg.withColumns({"cv_consumption": variation(), **recent_change(), **day_ratios(), **weather_ratios()})
 
 
@@ -249,9 +244,10 @@ def customer_features(daily: DataFrame, customers: DataFrame | None = None) -> D
     Attributes come from the readings, or better from the customer dimension: joined here, they need not be
     carried through the windows on every reading.
     """
-    df = aggregate_customers(daily)
-    if customers is not None:
-        df = attach_metadata(df, customers)
+    if customers is None:
+        df = aggregate_customers(daily)
+    else:
+        df = attach_metadata(aggregate_customers(daily.drop(*K.CUSTOMER_COLUMNS)), customers)
     df = payment_scores(df)
     if "customer_type" not in df.columns:
         df = df.withColumn("customer_type", F.lit("unknown"))
