@@ -126,7 +126,7 @@ SELECT s.customer_id, s.date, s.consumption_kwh, d.customer_type, d.area_id, d.t
        COALESCE(w.weather_demand_pressure, f.weather_demand_pressure, 0) AS weather_demand_pressure
 FROM s_raw s LEFT JOIN s_dim d ON d.customer_id = s.customer_id
 LEFT JOIN w ON w.date = s.date AND w.city = d.city
-LEFT JOIN w f ON f.date = s.date AND f.city = 'ALGERIA'""")
+LEFT JOIN w f ON f.date = s.date AND f.city = 'NATION_0'""")
 
 # ---------------------------------------------------------------- daily context of the S track
 WINDOWED = """

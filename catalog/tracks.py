@@ -104,7 +104,7 @@ def nation_weather(spark, folder) -> DataFrame:
     return out.withColumns(temperature_context(F.col("temp_mean")))
 
 
-WEATHER_HOME = "ALGERIA"
+WEATHER_HOME = "NATION_0"
 
 
 def supplier_weather(spark, folder, attributes=("city",)) -> DataFrame:

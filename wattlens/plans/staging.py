@@ -7,19 +7,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=None)
+def local_folder(application_id: str) -> str:
+    """Temporary folder of a local test run."""
+    return tempfile.mkdtemp(prefix="wattlens-")
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's `spark.checkpoint.dir`; a temporary one only in local tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="wattlens-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = local_folder(spark.sparkContext.applicationId)
     return configured.rstrip("/") + "/wattlens-" + spark.sparkContext.applicationId
 
 
