@@ -1,10 +1,15 @@
 """Queries of the llm operators over the given tables, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from wattlens.llm import packing, tokens
+from wattlens.llm import hnsw, html_text, language, packing, quality, shingle_join, tokens
 
 QUERIES = {
+    "op2_hnsw_near_dedup": hnsw.op2_hnsw_near_dedup,
+    "op3_string_kernel_language": language.op3_string_kernel_language,
+    "op5_parity_sketch_join": shingle_join.op5_parity_sketch_join,
+    "op6_text_density": html_text.op6_text_density,
     "op7_token_counts": tokens.op7_token_counts,
+    "op9_mcd_quality": quality.op9_mcd_quality,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}

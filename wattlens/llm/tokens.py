@@ -1,7 +1,7 @@
 """Token counts: every distinct pre-token is split into pieces once, its count is joined to the documents' pre-tokens.
 
-A text is cut at ASCII white space. No token of the vocabularies used here spans white space, and neither does a
-normalization step, so a text's ids are its pre-tokens' ids in order. A task gathers the distinct pre-tokens of a
+A text is cut where the tokenizer's own normalization and pre-tokenization never look across: at ASCII white space, between
+letters and ASCII punctuation, and around digits. So a text's ids are its pre-tokens' ids in order. A task gathers the distinct pre-tokens of a
 slice of rows, splits those that it has not met before, and joins the counts back through their codes. The frequencies
 of a document never leave the task: shuffling (document, pre-token) pairs would move several times the input.
 """
@@ -14,10 +14,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattlens.llm.arrow_text import SPACE, add_columns, flat, span_hashes, spans
+from wattlens.llm.arrow_text import LOWER, SPACE, add_columns, flat, span_hashes
 
-KNOWN_PRETOKENS = 400_000  # distinct pre-tokens a worker remembers; beyond that it starts anew, results stay the same
+KNOWN_PRETOKENS = 800_000  # distinct pre-tokens a worker remembers; beyond that it starts anew, results stay the same
 TOKEN_LIMIT = 2048
+LETTER, DIGIT, POINT, OTHER = 1, 2, 3, 0  # classes of bytes; OTHER never is cut from a neighbour
+CLASS = np.zeros(256, np.uint8)
+CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+CLASS[48:58] = DIGIT
+CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = POINT
+CUT = np.array([[a and b and (a != b or a == DIGIT) for b in range(4)] for a in range(4)], bool)
+
+
+def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts, ends and text indexes of the pre-tokens, and the bytes of each text.
+
+    An apostrophe and the signs of special tokens stay with their neighbours, as do characters beyond Latin-1 letters.
+    Pre-tokens of letters alone are lower-cased here (the tokenizers' normalization does it anyway), so that
+    fewer are distinct.
+    """
+    data, offsets = flat(texts)
+    size = np.diff(offsets)
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return data, none, none, none, size
+    kind = CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[~np.isin(data[lead + 1], (0x97, 0xB7))]  # letters from U+00C0 to U+00FF
+    kind[lead] = kind[lead + 1] = LETTER
+    inside = ~SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | CUT[kind[:-1], kind[1:]]
+    firsts = offsets[:-1][size > 0]
+    begins[firsts] = inside[firsts]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:] | begins[1:]
+    closes[firsts[1:] - 1] = inside[firsts[1:] - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    odd = np.concatenate([[0], np.cumsum((kind == OTHER) & inside)])
+    plain = np.repeat(odd[ends] == odd[starts], ends - starts)
+    where = np.flatnonzero(inside)[plain]
+    data = data.copy()
+    data[where] = LOWER[data[where]]
+    return data, starts, ends, np.searchsorted(offsets[:-1], starts, "right") - 1, size
 
 
 def default_tokenizer() -> str:
@@ -73,17 +112,15 @@ class Pieces:
 
     def count_tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of each text."""
-        data, offsets = flat(texts)
-        starts, ends, doc = spans(~SPACE[data], offsets)
+        data, starts, ends, doc, size = pre_tokens(texts)
         if not len(starts):
-            return np.diff(offsets), np.zeros(len(texts), np.int64)
+            return size, np.zeros(len(texts), np.int64)
         codes = self.codes(data, starts, ends)  # may grow self.count
-        return np.diff(offsets), np.bincount(doc, self.count[codes], len(texts)).astype(np.int64)
+        return size, np.bincount(doc, self.count[codes], len(texts)).astype(np.int64)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
-        data, offsets = flat(texts)
-        starts, ends, doc = spans(~SPACE[data], offsets)
+        data, starts, ends, doc, _ = pre_tokens(texts)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         codes = self.codes(data, starts, ends)
