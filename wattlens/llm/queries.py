@@ -1,12 +1,13 @@
 """Queries of the llm operators over the given tables, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from wattlens.llm import hnsw, html_text, language, packing, quality, sharding, shingle_join, tokens
+from wattlens.llm import hnsw, html_text, language, packing, pii, quality, sharding, shingle_join, tokens
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
     "op2_hnsw_near_dedup": hnsw.op2_hnsw_near_dedup,
     "op3_string_kernel_language": language.op3_string_kernel_language,
+    "op4_surrogate_pii": pii.op4_surrogate_pii,
     "op5_parity_sketch_join": shingle_join.op5_parity_sketch_join,
     "op6_text_density": html_text.op6_text_density,
     "op7_token_counts": tokens.op7_token_counts,
