@@ -3,10 +3,53 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattlens.llm import packing
-from wattlens.plans.staging import staging_root
+from wattlens.llm import language, mixing, packing, pii, shingle_join
+from wattlens.plans.staging import stage, staging_root
+
+BROADCAST_ROWS = 1_000_000  # ids and a number: 16 MB
+
+
+def _hint(table: DataFrame) -> DataFrame:
+    """A stored table of ids, broadcast if it is small; otherwise the join shuffles both sides."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents of which no language can be told (no text or no letter); fill in languages that are missing."""
+    found = language.identify(docs, language.learn_from_documents(docs))
+    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word shingles with a similarity of 0.8 connect, the one with the smallest id stays.
+
+    Of rows that repeat an id and its text one stays; rows without an id stay.
+    """
+    rows = stage(shingle_join.jaccard_components(docs), "near-copies")
+    gone = stage(rows.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    kept = docs.join(_hint(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates for all personal data and secrets; n_chars follows the text."""
+    done = pii.replace_entities(docs)
+    chars = F.when(F.col("n_replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", chars).select(docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say; only ids that are not taken exactly once are joined."""
+    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    other = stage(rates.filter("doc_id is not null").groupBy("doc_id").agg(F.min("copies").alias("_copies"))
+                  .filter("_copies <> 1"), "copies")
+    counted = docs.join(_hint(other), "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    taken = counted.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return taken.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,15 +57,16 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack_sequences)]
-ORACLE_SQL = None
+STAGES = [("language", identify_language), ("near_copies", drop_near_copies), ("personal_data", replace_personal_data),
+          ("mixing", mix_to_targets), ("best_fit_packing", pack_sequences)]
+ORACLE_SQL = None  # models, graph search and packing are beyond SQL; tests compare with plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; what is between them goes to the folder that the cluster shares."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, step in STAGES[:-1]:
         path = f"{staging_root(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,7 +1,7 @@
 """Queries of the llm operators over the given tables, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from wattlens.llm import hnsw, html_text, language, packing, pii, quality, sharding, shingle_join, tokens
+from wattlens.llm import hnsw, html_text, language, mixing, packing, pii, quality, sharding, shingle_join, tokens
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_parity_sketch_join": shingle_join.op5_parity_sketch_join,
     "op6_text_density": html_text.op6_text_density,
     "op7_token_counts": tokens.op7_token_counts,
+    "op8_soft_mixing": mixing.op8_soft_mixing,
     "op9_mcd_quality": quality.op9_mcd_quality,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
