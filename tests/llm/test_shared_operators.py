@@ -1,0 +1,301 @@
+"""Sharding, near copies of vectors and texts, personal data and mixing: against plain versions, and on awkward rows."""
+import collections
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wattlens.llm import components, hnsw, mixing, pii, sharding, shingle_join
+
+WORDS = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def components_of(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    random.seed(4)
+    links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(7, 300), (301, 300)]
+    random.shuffle(links)
+    found = components.components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()
+    assert {r.node: r.component for r in found} == components_of({x for p in links for x in p}, links)
+    assert components.components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_hypergeometric_numbers_have_the_right_distribution(spark):
+    from math import comb
+    n, k, big, draws = 6, 9, 20, 8000
+    rows = spark.range(draws).select(sharding.hypergeometric(
+        sharding._uniform(F.col("id"), F.lit(3)), F.lit(n), F.lit(k), F.lit(big)).alias("x")).groupBy("x").count().collect()
+    expected = {x: draws * comb(k, x) * comb(big - k, n - x) / comb(big, n) for x in range(n + 1)}
+    found = {r.x: r["count"] for r in rows}
+    assert sum((found.get(x, 0) - e) ** 2 / e for x, e in expected.items()) < 30  # chi-square with 6 degrees of freedom
+
+
+def test_matrix_has_the_given_sums(spark):
+    parts = spark.createDataFrame([(i, (i * 37) % 90) for i in range(23)], "src int, rows bigint")
+    rows = sharding.communication_matrix(parts, 5, 1).collect()
+    matrix = {r.src: np.diff(r.bounds) for r in rows}
+    assert all(m.sum() == (i * 37) % 90 and (m >= 0).all() for i, m in matrix.items())
+    total = sum(matrix.values())
+    assert total.max() - total.min() <= 1 and len(matrix) == 23
+
+
+def test_shards_have_exact_sizes_and_gapless_slots(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "'x' as shard", "lang")
+    rows = sharding.shuffle_to_shards(docs, 7).collect()
+    shards = collections.defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and sorted(shards) == list(range(7))
+    assert {len(s) for s in shards.values()} <= {142, 143} and {r.doc_id for r in rows} == set(range(1000))
+    assert {(r.doc_id, r.shard, r.slot) for r in rows} == {(r.doc_id, r.shard, r.slot) for r in
+                                                            sharding.shuffle_to_shards(docs, 7).collect()}
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert abs(np.corrcoef(order, range(1000))[0, 1]) < 0.12
+
+
+def test_sharding_of_nulls_copies_few_rows_and_none(spark):
+    docs = spark.createDataFrame([(None, None), (None, None), (1, ""), (1, "x" * 100_000)], "doc_id bigint, text string")
+    rows = sharding.shuffle_to_shards(docs, 24, stored=False).collect()
+    assert len(rows) == 4 and len({r.shard for r in rows}) == 4 and {r.slot for r in rows} == {0}
+    assert sharding.shuffle_to_shards(docs.limit(0), 3, stored=False).columns == ["doc_id", "text", "shard", "slot"]
+
+
+def plain_sets(rows, words):
+    out = {}
+    for i, text in rows:
+        w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        out[i] = frozenset(zip(*[w[k:] for k in range(words)])) if len(w) >= words else frozenset([tuple(w)] if w else [])
+    return out
+
+
+def plain_links(sets, percent):
+    ids = sorted(i for i in sets if sets[i])
+    holders = collections.defaultdict(list)
+    for i in ids:
+        for s in sets[i]:
+            holders[s].append(i)
+    common = collections.Counter((a, b) for h in holders.values() for n, a in enumerate(h) for b in h[n + 1:])
+    return [(a, b) for (a, b), c in common.items() if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c)]
+
+
+def near_texts(seed=5):
+    """Bases of many lengths with edited copies around the threshold, and two that share a long passage."""
+    random.seed(seed)
+    word = lambda: "".join(random.choice("abcdefghijkl") for _ in range(random.randint(2, 6)))
+    texts = []
+    for length in (1, 2, 3, 4, 5, 6, 8, 11, 15, 22, 30, 45, 70, 120, 300, 900):
+        base = [word() for _ in range(length)]
+        texts.append(" ".join(base))
+        for edits in (0, 1, 1, 2, 3, 5, 8):
+            copy = list(base)
+            for _ in range(min(edits * max(1, length // 100), length)):
+                copy[random.randrange(len(copy))] = word()
+            texts.append(("  " if edits % 2 else "\n").join(copy).upper() if edits == 2 else " ".join(copy))
+        texts.append(" ".join(base[:max(1, int(length * 0.87))]))
+    passage = " ".join(word() for _ in range(60))
+    texts += [f"{passage} {' '.join(word() for _ in range(30))}" for _ in range(12)]
+    return [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, " \n "), (903, "a"), (904, "A")]
+
+
+@pytest.mark.parametrize("words,percent", [(4, 85), (5, 80), (2, 60)])
+def test_every_link_between_texts_is_found(spark, words, percent):
+    rows = near_texts()
+    sets = plain_sets(rows, words)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as component_id", "1 as n1")
+    found = shingle_join.jaccard_components(docs, words=words, percent=percent).collect()
+    expected = components_of(list(sets), plain_links(sets, percent))
+    assert {r.doc_id: r.component_id for r in found} == expected
+    assert {r.doc_id: r.n_shingles for r in found} == {i: len(s) for i, s in sets.items()}
+
+
+def test_clusters_of_many_tiles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "TILE_ROWS", 8)
+    random.seed(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(random.randint(0, 6)):
+            copy[random.randrange(120)] = f"x{random.random()}"
+        rows.append((i, " ".join(copy)))
+    sets = plain_sets(rows, 4)
+    found = shingle_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, percent=85)
+    assert {r.doc_id: r.component_id for r in found.collect()} == components_of(list(sets), plain_links(sets, 85))
+
+
+def test_repeated_rows_null_ids_and_no_rows_in_the_join(spark):
+    rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (2, "z y x w v u t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = shingle_join.jaccard_components(docs, words=4, percent=85)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found.collect()) == [
+        ("2", "2"), ("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
+    assert shingle_join.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_sketch_distance_never_exceeds_the_symmetric_difference():
+    random.seed(7)
+    for _ in range(300):
+        size = random.randint(8, 400)
+        a = np.unique(np.array([random.getrandbits(64) for _ in range(size)], np.uint64))
+        drop = random.randint(0, max(1, int(0.09 * size)))
+        b = np.unique(np.concatenate([a[drop:], np.array([random.getrandbits(64) for _ in range(drop)], np.uint64)]))
+        inter = len(np.intersect1d(a, b))
+        if 100 * inter >= 85 * (len(a) + len(b) - inter) and inter < max(len(a), len(b)):
+            assert np.intersect1d(shingle_join.signatures(a, 85), shingle_join.signatures(b, 85)).size
+
+
+def vectors(seed=8, n=900, dim=24):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    for start in range(0, 300, 10):
+        x[start + 1:start + 10] = x[start] + rng.normal(scale=0.25, size=(9, dim))
+    x[310:420] = x[300] + rng.normal(scale=0.1, size=(110, dim))
+    x[500] = x[501] = x[502]
+    x[503] = 3 * x[502]
+    return x
+
+
+def test_vector_links_are_found(spark, monkeypatch):
+    x = vectors()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    expected = components_of(range(len(x)), zip(*np.nonzero(near)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {r.vec_id: r for r in hnsw.near_vectors(df.selectExpr("*", "1 as kept")).collect()}
+    assert sum(r.n_links for r in found.values()) >= 0.98 * near.sum()
+    assert all(found[i].n_links <= near[i].sum() for i in found)
+    assert np.mean([found[i].component_id == expected[i] for i in found]) >= 0.98
+    assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
+
+
+def test_vectors_that_link_with_nothing(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]),
+            (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.01]), (2, [1.0, 0.0])]
+    found = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    links = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in found)
+    assert links == [("1", 3, "1", True), ("2", 3, "1", False), ("2", 3, "1", False), ("3", 0, "3", True), ("4", 0, "4", True),
+                     ("5", 0, "5", True), ("6", 0, "6", True), ("7", 0, "7", True), ("8", 0, "8", True), ("9", 0, "9", True),
+                     ("None", 3, "1", False)]
+    assert hnsw.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+TEXTS = ["call +1 (555) 123-4567 or 555-123-4567 now",
+         "mail John.Smith@Mail7.Example.com, john.smith@mail7.example.com and ann@mail7.example.com.",
+         "card 4532015112830366 bad 4532015112830367 4532-0151-1283-0366", "ip 192.168.1.20 and 8.8.4.4, v 1.2.3.4.5",
+         'token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" TOKEN = "4D44C79E8BF7C55759C4958DD60ED83D2EF8CD4E"!!',
+         "Dear Mrs. Anna Lindt and Mr. Lindt, Herr Иван Петров", "ssn 123-45-6789 date 2024-01-02 12:30 year 1999",
+         "", None, "no entity here", "a" * 100_000 + " x@y.org", "call +1 (555) 123-4567 or 555-123-4567 now"]
+
+
+def luhn(digits):
+    turned = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+    return sum(turned) % 10 == 0
+
+
+def test_surrogates_keep_type_format_and_coreference(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").selectExpr("*", "9 as n_replaced")
+    rows = {r.doc_id: r for r in pii.replace_entities(docs).collect()}
+    out = {i: r.text for i, r in rows.items()}
+    assert [rows[i].n_replaced for i in range(12)] == [2, 3, 2, 2, 2, 3, 1, 0, 0, 0, 1, 2]
+    a, b = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}) now", out[0]).group(1, 2), out[0].split()[-2]
+    assert f"{a[0]}-{a[1]}" == b and "123-4567" not in out[0] and out[11] == out[0]
+    mails = re.findall(r"[\w.]+@[\w.]+\w", out[1])
+    assert mails[0].lower() == mails[1] and mails[2].split("@")[1] == mails[1].split("@")[1] and mails[0] != mails[1]
+    cards = re.findall(r"[\d-]{16,}", out[2])
+    assert cards[0] == cards[2].replace("-", "") and luhn(cards[0]) and cards[1] == "4532015112830367" and cards[0][0] == "4"
+    assert re.fullmatch(r"ip 10\.\d+\.\d+\.\d+ and [\d.]+, v 1\.2\.3\.4\.5", out[3]) and "8.8.4.4" not in out[3]
+    low, high = re.findall(r"[0-9a-fA-F]{40}", out[4])
+    assert low.upper() == high and low not in TEXTS[4]
+    names = re.fullmatch(r"Dear Mrs\. (\w+) (\w+) and Mr\. (\w+), Herr (\w+) (\w+)", out[5]).groups()
+    assert names[0] in pii.FEMALE_NAMES and names[1] == names[2] != "Lindt" and re.fullmatch("[А-Яа-я]+", names[4])
+    assert out[6].endswith("date 2024-01-02 12:30 year 1999") and "123-45-6789" not in out[6]
+    assert out[7] == "" and out[8] is None and out[9] == TEXTS[9] and out[10].startswith("a" * 100_000 + " ")
+    assert pii.replace_entities(docs.limit(0)).count() == 0
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    found = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, canonical string")
+    rows = pii.assign(found.withColumn("kind", F.lit("ssn")), "k").collect()  # three digits leave 1000 surrogates, 300 taken
+    assert len(rows) == 300 and len({r.surrogate for r in rows}) == 300
+    assert not {r.surrogate for r in rows} & {r.canonical for r in rows}
+
+
+def test_given_documents_lose_their_personal_data(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    pattern = re.compile(r"[\w.]+@[\w.]+\.\w+|\+1 \(\d{3}\) \d{3}-\d{4}|[0-9a-fA-F]{40}|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])")
+    for r in pii.replace_entities(docs).collect():
+        found = pattern.findall(before[r.doc_id]) + [m for m in re.findall(r"\b\d{16}\b", before[r.doc_id]) if luhn(m)]
+        assert not [m for m in found if m in r.text] and (r.text == before[r.doc_id]) == (not found)
+
+
+def test_expected_tokens_meet_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = mixing.mix(docs.selectExpr("*", "1 as rate"), labels, targets={"good": 6, "poor": 3, "toxic": 1}).collect()
+    total = sum(r.n_tokens for r in rows)
+    for domain, share in (("good", 0.6), ("poor", 0.3), ("toxic", 0.1)):
+        assert sum(r.rate * r.n_tokens * r[f"p_{domain}"] for r in rows) / total == pytest.approx(share, abs=1e-4)
+    assert min(r.rate for r in rows) >= 0 and abs(sum(r.copies - r.rate for r in rows)) < 0.1 * len(rows)
+    assert all(abs(r.copies - r.rate) < 1 for r in rows)
+    known = {r.doc_id: r.domain for r in labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")).collect()}
+    best = [max(("good", "poor", "toxic"), key=lambda d: r[f"p_{d}"]) == known[r.doc_id] for r in rows if r.doc_id in known]
+    assert np.mean(best) >= 0.9
+
+
+def test_targets_out_of_reach_are_met_as_nearly_as_rates_allow(spark):
+    rows = [(i, 100, 0.8 if i % 2 else 0.6, 0.2 if i % 2 else 0.4) for i in range(50)]
+    scored = spark.createDataFrame(rows, "_id bigint, n_tokens bigint, p_a double, p_b double")
+    steps = mixing.fit_rates(scored, {"a": 0.1, "b": 0.9})
+    rates = {r._id: r.rate for r in scored.withColumn("rate", mixing.rate_of(steps, ["a", "b"])).collect()}
+    # least squares over nonnegative rates by hand: only the rows richest in b are taken
+    p = np.array([0.6, 0.4])
+    best = 2 * (p @ [0.1, 0.9]) / (p @ p)
+    assert rates[1] == pytest.approx(0, abs=1e-6) and rates[0] == pytest.approx(best, rel=0.02)
+
+
+def test_mixing_without_labels_rows_or_text(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "a b"), (None, None), (2, ""), (2, "")], "doc_id bigint, text string")
+    rows = mixing.mix(docs, labels).collect()
+    assert sorted(r.n_tokens for r in rows) == [0, 0, 0, 2] and len({r.rate for r in rows}) == 1
+    assert mixing.mix(docs.limit(0), labels).count() == 0
+
+
+def test_pipeline_stages_keep_the_columns_and_pack_what_is_left(spark):
+    import corpus_pipeline
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = plain_sets(texts.items(), 5)
+    groups = components_of(list(sets), plain_links(sets, 80))
+    same = collections.defaultdict(list)
+    for i, s in sets.items():
+        same[s].append(i)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, folder)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        if name == "language":
+            assert {r.doc_id for r in docs.collect()} == {i for i, t in texts.items() if any(c.isalpha() for c in t)}
+        if name == "near_copies":
+            lowest = {min(m for s in sets for m in [s] if groups[s] == groups[i]) for i in groups}
+            assert {r.doc_id for r in docs.collect()} == lowest
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}

@@ -98,22 +98,24 @@ class KernelModel:
     """Landmark presence over the n-grams that landmarks have, and one weight per landmark and language."""
 
     def __init__(self, sample: pd.DataFrame):
-        self.languages = sorted(sample["lang"].unique())
+        self.languages, self.weights = sorted(sample["lang"].unique()), None
+        if not self.languages:
+            return
         grams, label = sample["grams"].to_list(), sample["lang"].to_numpy()
         order = sample.groupby("lang").cumcount().to_numpy()
         chosen = np.argsort(order, kind="stable")[:LANDMARKS]  # in turn from each language
         self.place = np.full(PLACES, -1, np.int32)
-        used = np.unique(np.concatenate([grams[i] for i in chosen])) if len(chosen) else np.zeros(0, int)
+        used = np.unique(np.concatenate([grams[i] for i in chosen]))
         self.place[used] = np.arange(len(used))
         self.landmarks = self.presence([grams[i] for i in chosen]).T.copy()
         self.norms = np.sqrt([len(grams[i]) for i in chosen]).astype(np.float32)
-        kernel = np.concatenate([self.kernel(grams[i:i + BATCH_ROWS]) for i in range(0, len(grams), BATCH_ROWS)] or
-                                [np.zeros((0, 0))]).astype(float)
+        kernel = np.concatenate([self.kernel(grams[i:i + BATCH_ROWS])
+                                 for i in range(0, len(grams), BATCH_ROWS)]).astype(float)
         between = kernel[chosen]
-        target = np.array([[1.0 if x == lang else 0.0 for lang in self.languages] for x in label]).reshape(len(label), -1)
+        target = np.array([[1.0 if x == lang else 0.0 for lang in self.languages] for x in label])
         # ridge in the landmarks' space: min |K w - y|^2 + ridge * n * w' K_landmarks w
         left = kernel.T @ kernel + RIDGE * len(grams) * between + 1e-9 * len(grams) * np.eye(len(chosen))
-        self.weights = np.linalg.solve(left, kernel.T @ target).astype(np.float32) if len(chosen) else None
+        self.weights = np.linalg.solve(left, kernel.T @ target).astype(np.float32)
 
     def presence(self, grams: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(grams), int(self.place.max()) + 1), np.float32)

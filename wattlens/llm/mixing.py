@@ -20,7 +20,7 @@ from wattlens.plans.staging import stage
 TARGETS = {"good": 0.85, "poor": 0.12, "toxic": 0.03}
 TRAINING_ROWS = 20_000  # bound of the labelled sample that the classifier and its word list are learned from
 LIST_WORDS, LEAST_SUPPORT = 40, 5
-MAX_STEPS, CLOSE = 25, 1e-7
+MAX_STEPS, CLOSE = 60, 1e-7
 SHARPNESS = 0.5  # the classes' log-likelihoods are weighted down, as the features are not independent
 FEATURES = ["symbols", "capitals", "repeats", "word_length", "listed"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,28 +124,42 @@ def rate_of(steps: list[list[float]], domains: list[str]) -> Column:
 
 
 def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """Steps that bring the domains' expected tokens to their targets' shares of all tokens."""
-    domains, steps = list(targets), []
+    """Steps that bring the domains' expected tokens as near to their targets' shares of all tokens as rates of 0 or more can.
+
+    Steps are scaled by the second moments as long as each at least halves the distance. Targets out of reach end that;
+    from the best point on, plain gradient steps of a length that never overshoots go on until the distance stays.
+    """
+    domains, steps, scaled = list(targets), [], True
     p = [F.col(f"p_{d}") for d in domains]
-    total_weight = sum(targets.values())
-    best, best_steps = math.inf, []
-    while True:
-        rate = rate_of(steps, domains)
+    k, weight = len(domains), sum(targets.values())
+    best, best_steps, last = math.inf, [], math.inf
+    for _ in range(MAX_STEPS):
+        rated = scored.withColumn("_rate", rate_of(steps, domains))
         moving = F.when(F.col("_rate") > 0, F.col("n_tokens")).otherwise(0)
-        row = scored.withColumn("_rate", rate).agg(
+        row = rated.agg(
             F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col("_rate") * x) for x in p],
-            *[F.sum(moving * a * b) for a in p for b in p]).first()
-        tokens, k = row[0], len(domains)
+            *[F.sum(moving * a * b) for a in p for b in p], *[F.sum(F.col("n_tokens") * a * a) for a in p]).first()
+        tokens = row[0]
         if not tokens:
             return []
-        gaps = [row[1 + i] / tokens - targets[d] / total_weight for i, d in enumerate(domains)]
+        gaps = [row[1 + i] / tokens - targets[d] / weight for i, d in enumerate(domains)]
         error = sum(g * g for g in gaps)
+        if error < CLOSE ** 2:
+            return steps
+        if scaled and error > 0.25 * last:
+            scaled, steps, last = False, list(best_steps), math.inf
+            continue
+        if not scaled and error > (1 - 1e-6) * last:
+            break
+        last = error
         if error < best:
             best, best_steps = error, list(steps)
-        if error < CLOSE ** 2 or len(steps) == MAX_STEPS:
-            return best_steps
-        moments = [[row[1 + k + i * k + j] / tokens for j in range(k)] for i in range(k)]
-        steps.append(solve(moments, gaps))
+        if scaled:
+            moments = [[row[1 + k + i * k + j] / tokens for j in range(k)] for i in range(k)]
+            steps.append(solve(moments, gaps))
+        else:
+            steps.append([g * tokens / sum(row[1 + k + k * k:]) for g in gaps])
+    return best_steps
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
