@@ -22,9 +22,9 @@ from wattlens.llm.components import components
 from wattlens.plans.staging import stage
 
 LINKS, BASE_LINKS = 12, 24
-BUILD_BEAM, BEAM, UPPER_BEAM = 48, 32, 8
+BUILD_BEAM, BEAM, UPPER_BEAM = 32, 16, 8
 TOP = 64  # a layer of at most so many nodes is searched whole
-BATCH = 512
+BATCH = 256
 FLAG_BYTES = 32_000_000  # visited flags of a batch of queries
 MIN_SHARDS, SHARD_BYTES = 6, 64_000_000
 AUDITED, RECALL = 512, 0.99
@@ -37,6 +37,11 @@ def _top(ids: np.ndarray, sims: np.ndarray, count: int) -> tuple[np.ndarray, np.
     return ids, sims
 
 
+def _dots(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Similarities of each query with its row of positions."""
+    return np.matmul(vectors[ids], queries[:, :, None])[:, :, 0]
+
+
 def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int,
                 filled: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (-1: none) and similarities of the best `beam` nodes found for each query; `entry` has start nodes."""
@@ -51,7 +56,7 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
     ids = np.full((rows, beam), filled, np.int64)
     sims = np.full((rows, beam), -np.inf, np.float32)
     width = min(beam, entry.shape[1])
-    start = np.einsum("bkd,bd->bk", vectors[np.minimum(entry, filled - 1)], queries)
+    start = _dots(vectors, np.minimum(entry, filled - 1), queries)
     start[entry == filled] = -np.inf
     ids[:, :width], sims[:, :width] = _top(entry, start.astype(np.float32), width)
     expanded = np.zeros((rows, beam), bool)
@@ -69,7 +74,7 @@ def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ent
         new = ~seen[active[:, None], near]
         seen[active[:, None], near] = True
         near = np.where(new, near, filled)
-        value = np.einsum("bkd,bd->bk", vectors[np.minimum(near, filled - 1)], queries[active])
+        value = _dots(vectors, np.minimum(near, filled - 1), queries[active])
         value[~new] = -np.inf
         joined = np.concatenate([sims[active], value], axis=1)
         at = np.argpartition(-joined, beam - 1, axis=1)[:, :beam]
@@ -86,7 +91,7 @@ def choose_links(vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     valid = np.isfinite(sims) & (ids >= 0) & (ids != own[:, None])
     gathered = vectors[np.maximum(ids, 0)]
-    between = np.einsum("bkd,bjd->bkj", gathered, gathered)
+    between = np.matmul(gathered, gathered.transpose(0, 2, 1))
     rows, width = ids.shape
     taken = np.zeros((rows, width), bool)
     nearest_taken = np.full((rows, width), -np.inf, np.float32)
@@ -164,7 +169,7 @@ class Graph:
             ids = np.concatenate([links[own].astype(np.int64), fresh[low:low + 1024]], axis=1)
             ids = np.sort(ids, axis=1)
             ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-            sims = np.einsum("bkd,bd->bk", self.vectors[np.maximum(ids, 0)], self.vectors[own])
+            sims = _dots(self.vectors, np.maximum(ids, 0), self.vectors[own])
             sims[ids < 0] = -np.inf
             links[own] = choose_links(self.vectors, own, ids, sims, count)
 
