@@ -20,21 +20,21 @@ KEY = "surrogates-1"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sir", "Mrs|Ms|Miss|Frau|Madame|Señora|Madam"
 _END = r"(?![\p{L}\p{N}])"
 _START = r"(?<![\p{L}\p{N}])"
-TYPES = {  # in the order in which they are tried at a place
-    "email": r"[\p{L}\p{N}._%+\-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?){1,8}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+TYPES = {  # in the order in which they are tried at a place; each begins with what rules most places out at little cost
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?){1,8}",
+    "secret": r"(?<=[\"'=:\s])(?=[A-Za-z0-9+/_\-]{12})(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
               r"[A-Za-z0-9+/_\-]{12,512}={0,2}"
-              r"|" + _START + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_\-]{20,255})" + _END,
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
-    "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}" + _END
-             + r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}" + _END,
-    "card": r"(?<![\p{L}\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}]|[.\-][0-9])",
-    "name": _START + rf"(?:{MALE}|{FEMALE})\.?\s{{1,3}}\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?" + _END,
+              r"|(?=[Ags])" + _START + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_\-]{20,255})" + _END,
+    "ip": r"(?=[0-9])(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
+    "ssn": r"(?=[0-9])(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
+    "phone": r"(?=[+(0-9])(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}" + _END
+             + r"|(?=\+)(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}" + _END,
+    "card": r"(?=[0-9])(?<![\p{L}\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}]|[.\-][0-9])",
+    "name": r"(?=[FHMS])" + _START + rf"(?:{MALE}|{FEMALE})\.?\s{{1,3}}\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?" + _END,
 }
 TITLED = rf"\A((?:{MALE}|{FEMALE})\.?\s{{1,3}})(.*)\z"
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
-GATE = rf"[0-9@]|(?:{MALE}|{FEMALE})\.?\s"
+GATE = rf"[0-9@]|(?=[FHMS])\b(?:{MALE}|{FEMALE})\.?\s"
 _PAIRS = 128
 LATIN, CYRILLIC, GREEK = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 NAME_PARTS = ["bar", "del", "mon", "tal", "rin", "vos", "ker", "lan"]
