@@ -96,51 +96,64 @@ def _pick(letters: str, number: Column) -> Column:
     return F.substring(F.lit(letters), number + 1, F.lit(1))
 
 
-def surrogate_of(kind: Column, canonical: Column, attempt: int, key: str) -> Column:
-    """Keyed surrogate of a canonical form, a canonical form of the same type itself."""
-    def digest(part: int) -> Column:
-        return F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit(f"{attempt}.{part}"), kind, canonical), 512)
-
-    def shaped(text: Column, stream: Column) -> Column:
-        hexa = text.rlike(r"\A[0-9a-f]+\z") & text.rlike("[a-f]")
-        return F.array_join(F.transform(F.split(text, ""), lambda c, i: F
-            .when(hexa, _pick("0123456789abcdef", _value(stream, i, 16)))
-            .when(c.rlike("[0-9]"), _value(stream, i, 10).cast("string"))
-            .when(c.rlike("[a-z]"), _pick(LATIN, _value(stream, i, 26)))
-            .when(c.rlike("[A-Z]"), F.upper(_pick(LATIN, _value(stream, i, 26))))
-            .when(c.rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, _value(stream, i, len(CYRILLIC))))
-            .when(c.rlike(r"\p{IsGreek}"), _pick(GREEK, _value(stream, i, len(GREEK))))
-            .when(c.rlike(r"\p{IsLatin}"), _pick(LATIN, _value(stream, i, 26))).otherwise(c)), "")
-
-    stream = F.concat(digest(0), digest(1))
-    # the domain's surrogate depends on the domain alone, so people of one domain stay together; its ending stays
+def shaped(text: Column, stream: Column) -> Column:
+    """Keyed characters in place of a text's: of the same class, case and script; signs stay."""
+    hexa = text.rlike(r"\A[0-9a-f]+\z") & text.rlike("[a-f]")
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F
+        .when(hexa, _pick("0123456789abcdef", _value(stream, i, 16)))
+        .when(c.rlike("[0-9]"), _value(stream, i, 10).cast("string"))
+        .when(c.rlike("[a-z]"), _pick(LATIN, _value(stream, i, 26)))
+        .when(c.rlike("[A-Z]"), F.upper(_pick(LATIN, _value(stream, i, 26))))
+        .when(c.rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, _value(stream, i, len(CYRILLIC))))
+        .when(c.rlike(r"\p{IsGreek}"), _pick(GREEK, _value(stream, i, len(GREEK))))
+        .when(c.rlike(r"\p{IsLatin}"), _pick(LATIN, _value(stream, i, 26))).otherwise(c)), "")
+
+
+def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
+    """Add the keyed `surrogate` of each (kind, canonical), a canonical form of the same type itself.
+
+    A canonical form has one or two parts that are shaped: a mail's local part and domain, a name's first and family name,
+    otherwise all of it. The second part's digest depends on that part alone, so people of one domain stay together
+    and a family keeps its surrogate whoever bears it.
+    """
+    kind, canonical = F.col("kind"), F.col("canonical")
+
+    def digest(*parts) -> Column:
+        return F.concat(*[F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit(n), *parts), 512) for n in ("0", "1")])
+
+    whole_name = F.substring_index(canonical, ":", -1)
     domain = F.substring_index(canonical, "@", -1)
-    ending = F.substring_index(domain, ".", -1)
-    body = F.regexp_replace(domain, r"\.[^.]*\z", "")
-    of_domain = F.concat(F.sha2(F.concat_ws("\u0001", F.lit(key), domain), 512), F.sha2(F.concat(domain, F.lit(key)), 512))
-    email = F.concat(shaped(F.substring_index(canonical, "@", 1), stream), F.lit("@"), shaped(body, of_domain), F.lit("."), ending)
-    numbers = shaped(canonical, stream)
-    phone = F.concat((_value(stream, F.lit(0), 8) + 2).cast("string"), F.substring(numbers, F.lit(2), F.length(numbers)))
-    without_check = F.concat(F.left(canonical, F.lit(1)), F.substring(numbers, F.lit(2), F.length(numbers) - 2))
-    check = F.pmod(-_luhn_sum(without_check, 0), F.lit(10))
-    card = F.concat(without_check, check.cast("string"))
-    octets = [(11 + _value(stream, F.lit(0), 100)).cast("string")] + [
-        (1 + _value(stream, F.lit(i), 254)).cast("string") for i in (1, 2, 3)]
+    main = F.when(kind == "email", F.substring_index(canonical, "@", 1)).when(
+        kind == "name", F.substring_index(whole_name, " ", 1)).otherwise(canonical)
+    second = F.when(kind == "email", F.regexp_replace(domain, r"\.[^.]*\z", "")).when(
+        kind == "name", F.substring_index(whole_name, " ", -1)).otherwise("")
+    parts = entities_.withColumns({"_main": main, "_second": second, "_stream": digest(F.lit(str(attempt)), kind, canonical)})
+    again = F.when(kind == "name", F.lit(str(attempt))).otherwise("")
+    parts = parts.withColumn("_stream2", digest(again, kind, F.col("_second")))
+    parts = parts.withColumns({"_a": shaped(F.col("_main"), F.col("_stream")), "_b": shaped(F.col("_second"), F.col("_stream2"))})
+    stream, a, b = F.col("_stream"), F.col("_a"), F.col("_b")
+
+    def number(i: int, below: int) -> Column:
+        return _value(stream, F.lit(i), below)
+
+    def choice(values: list[str], i: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), number(i, len(values)) + 1)
+
+    email = F.concat(a, F.lit("@"), b, F.lit("."), F.substring_index(domain, ".", -1))
+    phone = F.concat((number(0, 8) + 2).cast("string"), F.substring(a, F.lit(2), F.length(a)))
+    without_check = F.concat(F.left(canonical, F.lit(1)), F.substring(a, F.lit(2), F.length(a) - 2))
+    card = F.concat(without_check, F.pmod(-_luhn_sum(without_check, 0), F.lit(10)).cast("string"))
     local = canonical.rlike(r"\A(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
-    ip = F.concat_ws(".", F.when(local, F.lit("10")).otherwise(octets[0]), *octets[1:])
-    # a family keeps its surrogate whoever bears it; first names are of the gender, and longer the more often they were drawn
-    family = F.substring_index(F.substring_index(canonical, ":", -1), " ", -1)
-    of_family = F.concat(F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit(str(attempt)), family), 512), F.sha2(family, 512))
-    first = F.concat(F.when(canonical.startswith("f:"), F.element_at(F.array(*map(F.lit, FEMALE_NAMES)), _value(stream, F.lit(0), 16) + 1))
-                     .otherwise(F.element_at(F.array(*map(F.lit, MALE_NAMES)), _value(stream, F.lit(0), 16) + 1)),
-                     *[F.element_at(F.array(*map(F.lit, NAME_PARTS)), _value(stream, F.lit(i + 1), 8) + 1)
-                       for i in range(attempt // 4)])
-    first = F.when(canonical.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), shaped(
-        F.substring_index(F.substring_index(canonical, ":", -1), " ", 1), stream)).otherwise(F.lower(first))
-    name = F.concat(F.left(canonical, F.lit(2)), F.when(canonical.contains(" "), F.concat(first, F.lit(" "))).otherwise(""),
-                    shaped(family, of_family))
-    return (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-            .when(kind == "ssn", numbers).when(kind == "name", name).otherwise(shaped(canonical, stream)))
+    ip = F.concat_ws(".", F.when(local, "10").otherwise((11 + number(0, 100)).cast("string")),
+                     *[(1 + number(i, 254)).cast("string") for i in (1, 2, 3)])
+    # first names are of the gender, and longer the more often they were drawn
+    first = F.concat(F.when(canonical.startswith("f:"), choice(FEMALE_NAMES, 0)).otherwise(choice(MALE_NAMES, 0)),
+                     *[choice(NAME_PARTS, i + 1) for i in range(attempt // 4)])
+    first = F.when(canonical.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), a).otherwise(F.lower(first))
+    name = F.concat(F.left(canonical, F.lit(2)), F.when(canonical.contains(" "), F.concat(first, F.lit(" "))).otherwise(""), b)
+    surrogate = (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
+                 .when(kind == "name", name).otherwise(a))
+    return parts.withColumn("surrogate", surrogate).select("kind", "canonical", "surrogate")
 
 
 def assign(found: DataFrame, key: str) -> DataFrame:
@@ -152,7 +165,7 @@ def assign(found: DataFrame, key: str) -> DataFrame:
     real = stage(found.select("kind", "canonical").distinct(), "entities")
     left, settled, attempt = real, None, 0
     while True:
-        drawn = stage(left.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canonical"), attempt, key)), "drawn")
+        drawn = stage(with_surrogates(left, attempt, key), "drawn")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
         taken = real.select("kind", F.col("canonical").alias("surrogate"))
         if settled is not None:
