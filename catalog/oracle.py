@@ -390,7 +390,7 @@ SELECT SUM(n)::BIGINT AS rows, 3 AS columns, SUM(CASE WHEN value IS NULL THEN n
 oracle_sql("wide_to_long", f"""
 SELECT customer_id, date, {r('ROUND(v, 2)')} AS consumption_kwh, fraud_label
 FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS customer_id, CASE WHEN user_id % 9 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS fraud_label FROM events)
-JOIN (SELECT CAST(UNNEST(GENERATE_SERIES(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) ON TRUE
+JOIN (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events) ON TRUE
 LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS customer_id, CAST(ts AS DATE) AS date, SUM(value) AS v FROM events GROUP BY 1, 2) USING (customer_id, date)""")
 oracle("sch_8", "customer_id, date, ~consumption_kwh, ~fraud_label", "FROM e_raw")
 oracle("cln_2", "customer_id, date, ~consumption_kwh, ~fraud_label", "FROM e_raw")
@@ -409,10 +409,37 @@ oracle_sql("fill_missing", f"SELECT customer_id, date, {r('COALESCE(kwh, (SELECT
 oracle_sql("cln_15", f"""
 SELECT customer_id, date, {r('FIRST_VALUE(fraud_label IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS fraud_label
 FROM e_positive""")
-step("e_valid", "SELECT TRIM(customer_id) AS customer_id, date, consumption_kwh, sequence FROM e_raw WHERE LENGTH(TRIM(customer_id)) > 0")
+step("e_valid", "SELECT TRIM(customer_id) AS customer_id, date, consumption_kwh, sequence, fraud_label FROM e_raw WHERE LENGTH(TRIM(customer_id)) > 0")
+step("e_first", """
+SELECT customer_id, date, ARG_MIN(l, sequence) FILTER (WHERE l IS NOT NULL) AS l
+FROM (SELECT *, CASE WHEN sequence % 4 = 0 THEN CASE WHEN sequence % 8 = 0 THEN 1.0 ELSE 0.0 END END AS l FROM e_valid WHERE date IS NOT NULL) GROUP BY 1, 2""")
+oracle_sql("pipeline_labels", f"""
+SELECT customer_id, date, {r('FIRST_VALUE(l IGNORE NULLS) OVER (PARTITION BY customer_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS fraud_label FROM e_first""")
+step("e_lab", "SELECT customer_id, date, ARG_MIN(fraud_label, sequence) FILTER (WHERE fraud_label IS NOT NULL) AS l FROM e_valid WHERE date IS NOT NULL GROUP BY 1, 2")
+step("sampled", "SELECT customer_id FROM (SELECT DISTINCT customer_id FROM o_raw) ORDER BY MD5(customer_id || ':42'), customer_id LIMIT 100")
+oracle("sample_customers", "customer_id, date, ~consumption_kwh", "FROM o_raw SEMI JOIN sampled USING (customer_id)")
+oracle_sql("stratified_split", f"""
+SELECT {r('l')} AS fraud_label, h AS is_holdout, COUNT(*) AS rows
+FROM (SELECT l, n <= ROUND(0.25 * COUNT(*) OVER (PARTITION BY l)) AS h
+      FROM (SELECT fraud_label AS l, ROW_NUMBER() OVER (PARTITION BY fraud_label ORDER BY customer_id) AS n FROM o_dim)) GROUP BY 1, 2""")
+step("clients", """
+SELECT CAST(s_suppkey AS VARCHAR) AS client_id, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS target, s_nationkey AS disrict, s_nationkey % 5 AS region,
+       s_suppkey % 3 AS client_catg, STRFTIME(DATE '1990-01-01' + CAST(s_suppkey % 3000 AS INTEGER), '%d/%m/%Y') AS creation_date FROM supplier""")
+step("client_order", "SELECT *, ROW_NUMBER() OVER (PARTITION BY target ORDER BY MD5(client_id || ':42'), client_id) AS place FROM clients")
+step("client_pool", "SELECT *, CASE WHEN target = 1 AND place <= 14 THEN 0 WHEN target = 0 THEN 1 ELSE 2 END AS choice FROM client_order")
+step("client_sample", "SELECT client_id, target, disrict, region, client_catg, creation_date FROM client_pool ORDER BY choice, place, client_id LIMIT 40")
+oracle_sql("sample_balanced", "SELECT * FROM client_sample")
+oracle_sql("jn_10", "SELECT * FROM clients ANTI JOIN client_sample USING (client_id)")
 step("e_vm", "SELECT customer_id, date, AVG(consumption_kwh) AS kwh, COUNT(*) AS copies FROM e_valid WHERE date IS NOT NULL GROUP BY 1, 2")
 step("e_vp", "SELECT *, CASE WHEN kwh >= 0 THEN kwh END AS kept FROM e_vm")
 step("e_vc", "SELECT QUANTILE_CONT(kept, 0.995) AS cap FROM e_vp")
+step("e_vf", """
+SELECT p.customer_id, p.date, COALESCE(CASE WHEN cap > 0 AND kept > cap THEN cap ELSE kept END, MEDIAN(CASE WHEN cap > 0 AND kept > cap THEN cap ELSE kept END) OVER (PARTITION BY p.customer_id)) AS kwh
+FROM e_vp p, e_vc""")
+oracle_sql("cln_16", f"""
+SELECT f.customer_id, f.date, {r('COALESCE(kwh, (SELECT MEDIAN(kwh) FROM e_vf), 0)')} AS consumption_kwh,
+       {r('FIRST_VALUE(l IGNORE NULLS) OVER (PARTITION BY f.customer_id ORDER BY f.date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS fraud_label
+FROM e_vf f JOIN e_lab b ON b.customer_id = f.customer_id AND b.date = f.date""")
 step("e_counts", """
 SELECT (SELECT COUNT(*) FROM e_raw) AS initial_rows, (SELECT COUNT(*) FROM e_valid WHERE date IS NULL) AS invalid_dates_removed,
        COUNT(*) AS clean_rows, COUNT(DISTINCT customer_id) AS customers, MIN(date) AS date_min, MAX(date) AS date_max,
@@ -444,6 +471,9 @@ step("s_normal", f"""
 SELECT date, city, ROUND({NORMAL}, 2) AS temp_mean
 FROM (SELECT DISTINCT city FROM s_dim WHERE customer_id IN (SELECT customer_id FROM s_raw)) JOIN s_days ON TRUE""")
 step("s_extended", "SELECT date, city, temp_mean FROM w UNION ALL SELECT date, city, temp_mean FROM s_normal n WHERE NOT EXISTS (SELECT 1 FROM w_temp x WHERE x.city = n.city AND x.date = n.date)")
+oracle_sql("extend_weather_duplicates", f"""
+SELECT d.city, COUNT(*) AS readings, {r('AVG(x.temp_mean)')} AS temp_mean
+FROM s_raw s JOIN s_dim d ON d.customer_id = s.customer_id JOIN s_extended x ON x.city = d.city AND x.date = s.date GROUP BY 1""")
 oracle_sql("jn_5", f"SELECT date, city, {r('temp_mean')} AS temp_mean, CASE WHEN temp_mean < 10 THEN -1 WHEN temp_mean > 26 THEN 1 ELSE 0 END AS weather_class FROM s_extended")
 oracle("jn_6", "customer_id, ~last_30_mean, ~avg_temp_mean, longest_low_streak::INTEGER AS longest_low_streak, ~consumption_trend_slope, area_id, ~meter_age, account_status", "FROM s_features0")
 PEER = "customer_type, consumption_band, ~peer_avg_last_30, ~peer_median_last_30, ~peer_avg_total, peer_count"
@@ -538,9 +568,10 @@ SELECT area_id, customers, high_risk_customers, critical_customers, {r('mean_sco
        {rounded('~avg_ai_anomaly, ~estimated_loss_all_30d, ~latitude, ~longitude, ~anomaly_density, ~area_risk_score, area_risk_level')} FROM a_all""")
 step("c_high", "SELECT customer_id FROM c_all WHERE risk_score >= 61 ORDER BY risk_score DESC, customer_id LIMIT 500")
 step("c_best", "SELECT customer_id FROM c_all ORDER BY risk_score DESC, customer_id LIMIT 30")
-oracle("daily_subset", "customer_id, date, ~consumption_kwh", """
-FROM s_raw WHERE customer_id IN (SELECT customer_id FROM c_high)
-   OR ((SELECT COUNT(*) FROM c_high) < 30 AND customer_id IN (SELECT customer_id FROM c_best))""")
+step("c_chosen", "SELECT customer_id FROM c_high UNION SELECT customer_id FROM c_best WHERE (SELECT COUNT(*) FROM c_high) < 30")
+oracle("daily_subset", "customer_id, date, ~consumption_kwh", "FROM s_raw SEMI JOIN c_chosen USING (customer_id)")
+oracle("rsk_12", "customer_id, ~preliminary_risk_score, ~geographic_risk_score, ~risk_score, risk_level, ~estimated_missing_kwh_30d, ~estimated_loss_all_30d, main_reason, recommended_action, alert_explanation", "FROM c_all")
+oracle_sql("register_kpis", f"SELECT COUNT(*) AS customers, {r('AVG(risk_score)')} AS average_risk, {r('COALESCE(SUM(estimated_loss_all_30d), 0)')} AS estimated_loss FROM c_all")
 
 # ---------------------------------------------------------------- explanations and maps
 oracle("reasons", "customer_id, main_reason", "FROM c_all")
@@ -694,8 +725,9 @@ UNION ALL SELECT 'Model sensitivity', 'High/Critical queue is very small (' || P
        'Review score thresholds and compare with known inspection outcomes.', 'Medium' FROM audit_facts WHERE rate < 1
 UNION ALL SELECT 'Historical depth', 'Only ' || CAST(days AS VARCHAR) || ' days are available in the dashboard sample.', 'Seasonal and trend detection may be weak.',
        'Use at least 6-12 months of meter readings for production NTL detection.', 'High' FROM audit_facts WHERE days < 60
-UNION ALL SELECT 'Data quality', 'Missing-cell rate is 3.25%.', 'Missing readings can create false anomalies.',
+UNION ALL SELECT 'Data quality', 'Missing-cell rate is ' || PRINTF('%.2f', pct) || '%.', 'Missing readings can create false anomalies.',
        'Add missing-reading reason codes, meter communication status and billing correction flags.', 'Medium'
+       FROM (SELECT ROUND(SUM(CASE WHEN value IS NULL THEN n ELSE 0 END) * 100.0 / (SUM(n) * 3), 2) AS pct FROM profiled) WHERE pct > 2
 UNION ALL SELECT 'Financial impact', 'Estimated loss is missing or zero.', 'Managers cannot compare inspection value by case.',
        'Add tariff class, contract power, customer category and historical billing amount.', 'Medium' FROM audit_facts WHERE loss <= 0""")
 
@@ -795,11 +827,22 @@ oracle_sql("building_daily", f"""
 SELECT date, {r('SUM(consumption_kwh)')} AS total_consumption_kwh, {r('SUM(expected_kwh)')} AS expected_consumption_kwh, SUM(weather_low_mismatch)::BIGINT AS weather_mismatch_events,
        SUM(zero_flag)::BIGINT AS zero_events, SUM(sudden_drop_flag)::BIGINT AS sudden_drop_events, {r('AVG(temp_mean)')} AS avg_temperature,
        {r('GREATEST(SUM(expected_kwh) - SUM(consumption_kwh), 0)')} AS estimated_missing_kwh FROM u GROUP BY date""")
+step("us_ranked", "SELECT fraud_label, RANK() OVER (ORDER BY risk_score) + (COUNT(*) OVER (PARTITION BY risk_score) - 1) / 2.0 AS mid FROM us")
+step("us_steps", "SELECT SUM(fraud_label) AS ones, SUM(SUM(fraud_label)) OVER (ORDER BY risk_score DESC) AS ones_to, SUM(COUNT(*)) OVER (ORDER BY risk_score DESC) AS n_to FROM us GROUP BY risk_score")
+oracle_sql("unit_anomaly_type", """
+SELECT unit_id, COALESCE(MAX(kind) FILTER (WHERE place = 1), 'unknown') AS anomaly_type
+FROM (SELECT unit_id, kind, ROW_NUMBER() OVER (PARTITION BY unit_id ORDER BY (kind IS NULL)::INTEGER, n DESC, kind) AS place
+      FROM (SELECT unit_id, CASE WHEN DAY(date) % 3 = 0 THEN 'normal' WHEN MONTH(date) % 2 = 0 THEN 'theft_' || CAST(CAST(unit_id AS BIGINT) % 4 AS VARCHAR)
+                                 WHEN DAY(date) % 2 = 0 THEN 'bypass' END AS kind, COUNT(*) AS n FROM u0 GROUP BY 1, 2)) GROUP BY 1""")
+for key, table_ in (("bld_10", "us"), ("bld_11", "us"), ("expected_consumption", "s_features"), ("anomaly_score", "s_features"), ("fraud_probability", "s_features")):
+    oracle_sql(key, f"SELECT COUNT(*) AS rows, 0::BIGINT AS missing, 0::BIGINT AS out_of_range, TRUE AS varies FROM {table_}")
 oracle_sql("building_metrics", f"""
 SELECT COUNT(*) AS units, SUM(fraud_label)::BIGINT AS positive_units, COUNT(*) FILTER (WHERE risk_level IN ('High', 'Critical')) AS high_risk_units,
        COUNT(*) FILTER (WHERE risk_level = 'Critical') AS critical_units, {r('SUM(estimated_loss_lek_30d)')} AS estimated_loss_lek_30d,
        (SELECT COUNT(*) FROM u1) AS records, (SELECT MIN(date) FROM u1) AS date_min, (SELECT MAX(date) FROM u1) AS date_max,
-       (SELECT COUNT(*) FROM bs) AS buildings, (SELECT COUNT(*) FROM bs WHERE risk_level IN ('High', 'Critical')) AS high_risk_buildings FROM us""")
+       (SELECT COUNT(*) FROM bs) AS buildings, (SELECT COUNT(*) FROM bs WHERE risk_level IN ('High', 'Critical')) AS high_risk_buildings,
+       (SELECT {r('(SUM(mid * fraud_label) - SUM(fraud_label) * (SUM(fraud_label) + 1) / 2.0) / (SUM(fraud_label) * (COUNT(*) - SUM(fraud_label)))')} FROM us_ranked) AS fraud_classifier_roc_auc,
+       (SELECT {r('SUM(ones * ones_to / n_to::DOUBLE) / SUM(ones)')} FROM us_steps) AS fraud_classifier_average_precision FROM us""")
 oracle_sql("city_exposure", f"""
 SELECT city, location_type, {r('AVG(risk_score)')} AS risk_score, COUNT(*) FILTER (WHERE risk_level IN ('High', 'Critical')) AS high_risk_buildings, COUNT(*) AS buildings FROM bs GROUP BY 1, 2""")
 oracle("bld_25", "priority_rank, unit_id, building_id, ~risk_score, risk_level", """
@@ -898,3 +941,17 @@ UNION ALL SELECT 'weather', ROW_NUMBER() OVER (ORDER BY weather_context_score DE
 UNION ALL SELECT 'transformers', ROW_NUMBER() OVER (ORDER BY transformer_risk_score DESC, transformer_id), transformer_id, transformer_risk_score, 80 FROM t_pre
 UNION ALL SELECT 'area_forecast', forecast_priority, area_id, forecasted_area_risk_next_30d, 30 FROM af_ranked
 UNION ALL SELECT 'customer_forecast', forecast_priority, customer_id, forecasted_customer_risk_next_30d, 50 FROM cf_ranked) WHERE place <= n""")
+
+
+# ---------------------------------------------------------------- model inputs
+_MODEL = """avg_consumption std_consumption cv_consumption last_30_mean previous_90_mean recent_drop_pct recent_spike_pct zero_day_ratio low_day_ratio
+flatline_ratio sudden_drop_count sudden_spike_count longest_zero_streak longest_low_streak consumption_trend_slope peer_deviation_pct customer_vs_peer_ratio
+meter_age contract_power_kw sudden_behavior_score avg_temp_mean avg_heating_degree_days avg_cooling_degree_days avg_weather_demand_pressure
+weather_mismatch_ratio extreme_weather_day_ratio weather_context_score low_extreme_weather_days high_normal_weather_days payment_late_count_12m unpaid_bills
+avg_payment_delay_days arrears_amount_lek disconnections_12m months_since_last_payment payment_on_time_ratio payment_risk_score""".split()
+step("vector_input", "SELECT customer_id, " + ", ".join(
+    f"CAST({'weather_context_raw' if f == 'weather_context_score' else f} AS DOUBLE) AS {f}" for f in _MODEL) + " FROM s_features")
+oracle_sql("feature_vector", f"""
+SELECT customer_id, feature, {r('COALESCE(CASE WHEN value IS NULL THEN MEDIAN(value) OVER (PARTITION BY feature) ELSE value END, 0)')} AS value
+FROM (SELECT * FROM vector_input UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_MODEL)})))""")
+oracle_sql("feature_importance", f"SELECT {len(_MODEL)}::BIGINT AS rows, 1.0::DOUBLE AS total, 0::BIGINT AS negative")

@@ -6,7 +6,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from catalog import tracks as T
-from wattlens import constants as K
+from wattlens import constants as K, pipeline
 from wattlens.functions import columns as C
 from wattlens.operators import (audit, clean, daily, enrich, explain, features, forecast, geo, metrics, models, ops,
                                 risk, units)
@@ -82,7 +82,8 @@ def profile_table(s, d):
 def wide_events(s, d) -> tuple[DataFrame, list[str]]:
     """E track with one column per day of January 2024, as delivered in wide files."""
     e = T.table(s, d, "events").select(T.text("user_id").alias("CONS_NO"), F.to_date("ts").alias("day"), "value")
-    days = [dt.date(2024, 1, i) for i in range(1, 31)]
+    seen = e.select("day").distinct().orderBy("day").collect()  # one row per calendar day
+    days = [r["day"] for r in seen]
     cells = [F.round(F.sum(F.when(F.col("day") == F.lit(x), F.col("value"))), 2).cast("string").alias(f"{x.month}/{x.day}/{x.year}")
              for x in days]
     return e.groupBy("CONS_NO").agg(*cells, F.max((F.col("CONS_NO").cast("int") % 9 == 0).cast("int")).alias("FLAG"))
@@ -170,6 +171,15 @@ def cln_15(s, d):
     return clean.propagate_labels(merged(s, d)).select("customer_id", "date", "fraud_label")
 
 
+@query
+def pipeline_labels(s, d):
+    """First labels by the pipeline's own path: copies of a day disagree, and the file's order decides."""
+    label = F.when(F.col("sequence") % 4 == 0, F.when(F.col("sequence") % 8 == 0, 1.0).otherwise(0.0))
+    raw = T.events_raw(s, d).withColumn("fraud_label", label).drop("sequence")
+    rows = reshape.to_long(reshape.in_file_order(raw), detect.detect_layout(raw))
+    return pipeline.clean_and_split(rows)[0].select("customer_id", "date", "fraud_label")
+
+
 @query
 def cln_16(s, d):
     cleaned, _ = clean.clean_readings(T.events_raw(s, d), "sequence")
@@ -221,6 +231,17 @@ def jn_5(s, d):
     return enrich.extend_weather(weather, readings).select("date", "city", "temp_mean", "weather_class")
 
 
+@query
+def extend_weather_duplicates(s, d):
+    """Every delivered day twice, the second time warmer: each reading still meets one row, the first."""
+    readings = enrich.attach_metadata(T.supplier_readings(s, d), T.supplier_dimension(s, d).select("customer_id", "city"))
+    weather = T.nation_weather(s, d)
+    twice = weather.withColumn("_order", F.lit(1)).unionByName(
+        weather.withColumn("temp_mean", F.col("temp_mean") + 30).withColumn("_order", F.lit(2)))
+    out = enrich.attach_weather(readings, enrich.extend_weather(twice, readings), T.WEATHER_HOME)
+    return out.groupBy("city").agg(F.count("*").alias("readings"), F.avg("temp_mean").alias("temp_mean"))
+
+
 @query
 def jn_6(s, d):
     agg = enrich.attach_metadata(features.aggregate_customers(T.supplier_daily(s, d)), T.supplier_dimension(s, d))
@@ -409,24 +430,33 @@ def weather_score(s, d):
 # ---------------------------------------------------------------- models and their quality
 @query
 def feature_vector(s, d):
-    return models.feature_vector(T.feature_table(s, d)).select("customer_id", F.size("x").alias("features"))
+    rows = models.feature_vector(T.feature_table(s, d)).select("customer_id", F.posexplode("x").alias("position", "value"))
+    return rows.select("customer_id", F.element_at(F.array(*map(F.lit, K.MODEL_FEATURES)), F.col("position") + 1).alias("feature"),
+                       "value")
+
+
+def facts(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """What must hold of a model's output whatever its trees are: rows, gaps, values out of range."""
+    v = F.col(value)
+    return df.agg(F.count("*").alias("rows"), F.count_if(v.isNull()).alias("missing"),
+                  F.count_if((v < low) | (v > high)).alias("out_of_range"), (F.max(v) > F.min(v)).alias("varies"))
 
 
 @query
 def expected_consumption(s, d):
     out = models.expected_consumption(T.feature_table(s, d))
-    return out.select("customer_id", "last_30_mean", "expected_last_30_consumption", "expected_deviation_pct")
+    top = T.feature_table(s, d).agg(F.max("last_30_mean")).scalar()  # a forest never predicts beyond its labels
+    return facts(out.withColumn("v", F.col("expected_last_30_consumption") / F.greatest(top, F.lit(0.01))), "v", 0, 1.000001)
 
 
 @query
 def anomaly_score(s, d):
-    out = models.anomaly_score(T.feature_table(s, d), K.MODEL_FEATURES)
-    return out.select("customer_id", "ai_anomaly_score", "isolation_forest_flag")
+    return facts(models.anomaly_score(T.feature_table(s, d), K.MODEL_FEATURES), "ai_anomaly_score", 0, 100)
 
 
 @query
 def fraud_probability(s, d):
-    return models.fraud_probability(T.feature_table(s, d)).select("customer_id", "fraud_label", "fraud_probability")
+    return facts(models.fraud_probability(T.feature_table(s, d)), "fraud_probability", 0, 100)
 
 
 @query
@@ -440,7 +470,8 @@ def feature_importance(s, d):
     table = T.feature_table(s, d)
     used = [f for f in K.MODEL_FEATURES if f in table.columns]
     model = models.fit_classifier(table.filter(F.col("fraud_label").isNotNull()), used)
-    return models.feature_importance(model, used, s)
+    shares = models.feature_importance(model, used, s)
+    return shares.agg(F.count("*").alias("rows"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
 
 
 def scored_orders(s, d):
@@ -542,13 +573,15 @@ def area_risk(s, d):
 @query
 def rsk_12(s, d):
     """All scores of the customers, with explanations."""
-    return T.supplier_scores(s, d)[0]
+    return T.supplier_scores(s, d)[0].select(
+        "customer_id", "preliminary_risk_score", "geographic_risk_score", "risk_score", "risk_level", "estimated_missing_kwh_30d",
+        "estimated_loss_all_30d", "main_reason", "recommended_action", "alert_explanation")
 
 
 @query
 def daily_subset(s, d):
-    customers = T.supplier_scores(s, d)[0]
-    return risk.daily_subset(customers, T.supplier_readings(s, d))
+    daily_rows = T.daily_table(s, d).select("customer_id", "date", "consumption_kwh")
+    return risk.daily_subset(T.supplier_scores(s, d)[0], daily_rows)
 
 
 def scored_forecast(s, d):
@@ -747,7 +780,8 @@ def fc_13(s, d):
 @query
 def operational_audit(s, d):
     customers = T.supplier_scores(s, d)[0].drop("latitude")
-    return audit.operational_audit(customers, T.supplier_readings(s, d), missing_percent=3.25)
+    missing = QUERIES["profile_table"](s, d).first()["missing_percent"]
+    return audit.operational_audit(customers, T.supplier_readings(s, d), missing_percent=missing)
 
 
 # ---------------------------------------------------------------- units and buildings
@@ -809,12 +843,22 @@ def unit_loss(s, d):
 
 @query
 def bld_10(s, d):
-    return units.unit_anomaly(unit_features(s, d)).select("unit_id", "building_ai_anomaly_score")
+    return facts(units.unit_anomaly(unit_features(s, d)), "building_ai_anomaly_score", 0, 100)
 
 
 @query
 def bld_11(s, d):
-    return units.unit_probability(unit_features(s, d))[0].select("unit_id", "fraud_label", "fraud_probability")
+    return facts(units.unit_probability(unit_features(s, d))[0], "fraud_probability", 0, 1)
+
+
+@query
+def unit_anomaly_type(s, d):
+    """A kind of anomaly that changes from reading to reading: the most frequent one counts."""
+    key, day = F.col("flat_id").cast("long"), F.col("reading_date")
+    kind = (F.when(F.dayofmonth(day) % 3 == 0, "normal").when(F.month(day) % 2 == 0, F.concat(F.lit("theft_"), T.text(key % 4)))
+            .when(F.dayofmonth(day) % 2 == 0, "bypass"))
+    standard = units.building_standardize(T.unit_rows(s, d).withColumn("anomaly_type", kind))
+    return units.unit_agg(units.unit_lag_flags(units.unit_daily_flags(standard))).select("unit_id", "anomaly_type")
 
 
 @query
@@ -868,7 +912,8 @@ def building_daily(s, d):
 @query
 def building_metrics(s, d):
     scored = T.unit_scored(s, d)
-    return units.building_metrics(T.unit_flagged(s, d), scored, units.building_scores(scored))
+    quality = units.ranking_quality(scored, "risk_score")  # the score stands in for a model's probability
+    return units.building_metrics(T.unit_flagged(s, d), scored, units.building_scores(scored), quality)
 
 
 @query
@@ -1034,6 +1079,11 @@ def context_snapshot(s, d):
     return ops.context_snapshot(customers, areas, queue, ops.create_cases(queue, T.TEAMS), loss, forecast.area_forecast(areas))
 
 
+@query
+def register_kpis(s, d):
+    return ops.register_kpis(T.supplier_scores(s, d)[0])
+
+
 @query
 def top_lists(s, d):
     customers, areas, transformers, _ = T.supplier_scores(s, d)

@@ -97,4 +97,4 @@ def test_live_panel_follows_appended_events(spark, tmp_path):
         stream.processAllAvailable()
     finally:
         stream.stop()
-    assert {r.case_id: r.status for r in spark.read.parquet(target).collect()} == {"a": "In Field", "b": "False Alarm"}
+    assert {r.case_id: r.status for r in live.read_panel(spark, target).collect()} == {"a": "In Field", "b": "False Alarm"}

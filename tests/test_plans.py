@@ -59,9 +59,9 @@ def test_quantile_of_nothing(spark):
 def test_lookup_join_gives_the_same_rows_beyond_the_broadcast_limit(spark, skewed, limit):
     rows, df = skewed
     table = spark.createDataFrame([("hot", 1), ("g0", 2), (None, 3)], "g string, x int")
-    got = {r.id: r.x for r in lookup_join(df, table, ["g"], ["id"], broadcast_rows=limit).collect()}
+    got = {r.id: r.x for r in lookup_join(df, table, ["g"], ["id"], broadcast_bytes=limit).collect()}
     assert got == {r[0]: {"hot": 1, "g0": 2}.get(r[1]) for r in rows}
-    kept = lookup_join(df, table.select("g"), ["g"], ["id"], how="left_semi", broadcast_rows=limit)
+    kept = lookup_join(df, table.select("g"), ["g"], ["id"], how="left_semi", broadcast_bytes=limit)
     assert kept.columns == df.columns
     assert kept.count() == sum(r[1] in ("hot", "g0") for r in rows)
 

@@ -33,6 +33,9 @@ NULL_TOKENS = ["", "nan", "None", "NULL", "-"]
 # --- date formats besides ISO, tried in order: year first, month first, day first (fixed values) ---
 DATE_FORMATS = ["yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]
 HEADER_YEARS = (2000, 2100)
+# --- day headers that are picked by hand, besides the strict forms ---
+MAPPED_DAY_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%y", "%Y%m%d",
+                      "%d %b %Y", "%d %B %Y", "%b %d %Y", "%B %d %Y", "%d-%b-%Y", "%d-%b-%y"]
 
 # --- columns that travel with a customer ---
 LOCATION_COLUMNS = ["area_id", "transformer_id", "latitude", "longitude", "customer_type", "city",

@@ -117,21 +117,21 @@ def propagate_labels(df: DataFrame) -> DataFrame:
 def clean_readings(df: DataFrame, sequence: str | None = None, approximate_cap: bool = False
                    ) -> tuple[DataFrame, DataFrame]:
     """Cleaned readings and a one-row report of what was done."""
-    typed = typed_rows(df)
-    valid = typed.filter(F.col("date").isNotNull())
-    # staged: the cap, the fill and the report all read the merged rows
-    merged = stage(merge_duplicates(valid, sequence), "merged")
+    # staged: the cap, the fill and the report all read the merged rows; rows without a valid date merge to one per customer,
+    # so that the report can count them without parsing the dates again
+    groups = stage(merge_duplicates(typed_rows(df), sequence), "merged")
+    merged = groups.filter(F.col("date").isNotNull())
     positive = drop_negatives(merged)
     limit = cap_value(positive, approximate_cap)
     clean = propagate_labels(fill_missing(cap_outliers(positive, limit))).drop("copies")
-    return clean, cleaning_report(df, merged, limit)
+    return clean, cleaning_report(df, groups, limit)
 
 
-def cleaning_report(raw: DataFrame, merged: DataFrame, limit: Column) -> DataFrame:
-    """Counters of the cleaning steps and the readiness score, one row."""
-    day = F.col("date") if dict(raw.dtypes)["date"] == "date" else parse_date(F.col("date"))
-    undated = (F.length(F.trim(F.col("customer_id").cast("string"))) > 0) & day.isNull()
-    scanned = raw.agg(F.struct(F.count("*").alias("rows"), F.count_if(undated).alias("undated"))).scalar()
+def cleaning_report(raw: DataFrame, groups: DataFrame, limit: Column) -> DataFrame:
+    """Counters of the cleaning steps and the readiness score, one row. Of the raw rows only their number is read."""
+    undated = F.coalesce(F.sum(F.when(F.col("date").isNull(), F.col("copies"))), F.lit(0))
+    scanned = {"rows": raw.agg(F.count("*")).scalar(), "undated": groups.agg(undated).scalar()}
+    merged = groups.filter(F.col("date").isNotNull())
     kwh = F.col("consumption_kwh")
     kept = F.when(kwh >= 0, kwh)
     per_customer = merged.groupBy("customer_id").agg(

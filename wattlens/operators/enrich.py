@@ -27,7 +27,8 @@ def attach_metadata(readings: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def default_metadata(df: DataFrame) -> DataFrame:
-    """Customer attributes the scoring needs, with constant defaults where the upload has none."""
+    """Customer attributes the scoring needs, with constant defaults where the upload has none; coordinates stay unknown."""
+    df = df.withColumns({c: F.lit(None).cast("double") for c in ("latitude", "longitude") if c not in df.columns})
     for name, value in DEFAULT_METADATA.items():
         known = F.col(name) if name in df.columns else F.lit(None).cast("string")
         df = df.withColumn(name, F.coalesce(known, F.lit(value)))
@@ -49,7 +50,17 @@ def first_attributes(df: DataFrame, key: str, columns: list[str], order: str = "
 
 
 def split_customers(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(readings without attributes, customer dimension with the earliest known attributes)."""
+    """(readings without attributes, customer dimension with the earliest known attributes).
+
+    A creation date (`_created`) becomes the meter's age on the customer's earliest reading: it is equal on all readings of
+    a customer, where the age itself would make every one of them different.
+    """
+    if "_created" in readings.columns:
+        rest, customers = split_customers(readings.withColumnRenamed("_created", "_made"))
+        made = readings.groupBy("customer_id").agg(F.min("_created").alias("_made"), F.min("date").alias("_from"))
+        age = F.greatest(F.datediff("_from", "_made") / 365.25, F.lit(0.0))
+        return rest.drop("_made"), customers.join(made, "customer_id", "left").withColumn(
+            "meter_age", F.when(age.isNotNull(), age)).drop("_made", "_from")
     present = [c for c in K.CUSTOMER_COLUMNS if c in readings.columns]
     if not present:
         return readings, readings.select("customer_id").distinct()
@@ -97,21 +108,39 @@ def climatology(cities: DataFrame, start, end) -> DataFrame:
 
 
 def extend_weather(weather: DataFrame | None, readings: DataFrame) -> DataFrame:
-    """Weather that covers all cities and days of the readings; delivered rows win over seasonal normals."""
+    """Weather that covers all cities and days of the readings, one row per day and city; the first delivered row
+    wins, delivered rows win over seasonal normals."""
     span = readings.agg(F.struct(F.min("date").alias("a"), F.max("date").alias("b"))).scalar()
     cities = readings.select("city").filter(F.col("city").isNotNull()).distinct()
     normal = climatology(cities, span["a"], span["b"])
     if weather is None:
         return normal
+    weather = first_per_day(weather)
     missing = normal.join(weather.select("date", "city"), ["date", "city"], "left_anti")
     return weather.unionByName(missing, allowMissingColumns=True)
 
 
-def first_per_day(weather: DataFrame) -> DataFrame:
-    """One weather row per day and city."""
+def first_per_day(weather: DataFrame, order: str = "_order") -> DataFrame:
+    """One weather row per day and city: the first by the `order` column if there is one, else the smallest."""
+    values = [c for c in weather.columns if c not in ("date", "city", order)]
+    row = F.struct(*values)
+    first = F.min_by(row, F.col(order)) if order in weather.columns else F.min(row)
+    return weather.groupBy("date", "city").agg(first.alias("w")).select("date", "city", "w.*")
+
+
+def settled_weather(weather: DataFrame, cities: DataFrame, default_city: str) -> DataFrame:
+    """One row per day and city in which the default city of that day has filled what is missing.
+
+    Cities without weather of their own get the default city's days. All of it happens in the small table, so the
+    readings need one join.
+    """
+    weather = first_per_day(weather)
     values = [c for c in weather.columns if c not in ("date", "city")]
-    one = weather.groupBy("date", "city").agg(F.min(F.struct(*values)).alias("w"))
-    return one.select("date", "city", "w.*")
+    default = weather.filter(F.col("city") == default_city).select("date", *[F.col(c).alias(f"_fb_{c}") for c in values])
+    names = cities.filter(F.col("city").isNotNull()).agg(F.collect_set("city")).scalar()  # distinct city names
+    keys = default.select("date", F.explode(names).alias("city")).unionByName(weather.select("date", "city")).distinct()
+    filled = keys.join(weather, ["date", "city"], "left").join(default, "date", "left")
+    return filled.select("date", "city", *[F.coalesce(c, f"_fb_{c}").alias(c) for c in values])
 
 
 def attach_weather(readings: DataFrame, weather: DataFrame, default_city: str = K.DEFAULT_CITY) -> DataFrame:
@@ -120,16 +149,16 @@ def attach_weather(readings: DataFrame, weather: DataFrame, default_city: str =
     readings = readings.withColumn("city", F.coalesce(city, F.lit(default_city)))
     renamed = weather.withColumnsRenamed({"latitude": "weather_latitude", "longitude": "weather_longitude"})
     values = [c for c in renamed.columns if c not in ("date", "city") and c not in readings.columns]
-    day_city = renamed.select("date", "city", *values)
-    fallback = (renamed.filter(F.col("city") == default_city)
-                .select("date", *[F.col(c).alias(f"_fb_{c}") for c in values]))
-    # one city can hold a large share of all readings: both joins spread a key over salts
-    out = lookup_join(readings, day_city, ["date", "city"], spread=["customer_id"])
-    out = lookup_join(out, fallback, ["date"], spread=["customer_id"])
+    order = [c for c in ("_order",) if c in weather.columns]
+    table = settled_weather(renamed.select("date", "city", *order, *[c for c in values if c not in order]),
+                            readings.select("city").distinct(), default_city)
+    values = [c for c in values if c not in order]
+    # one city can hold a large share of all readings: beyond the broadcast size the join spreads a key over salts
+    out = lookup_join(readings, table, ["date", "city"], spread=["customer_id"])
     filled = {}
     for c in values:
-        value = F.coalesce(F.col(c), F.col(f"_fb_{c}"))
+        value = F.col(c)
         default = K.WEATHER_DEFAULTS.get(c)
         filled[c] = value if default is None else F.coalesce(num(value), F.lit(default)).cast(
             "double" if isinstance(default, float) else "int")
-    return out.withColumns(filled).drop(*[f"_fb_{c}" for c in values])
+    return out.withColumns(filled)

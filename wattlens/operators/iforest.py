@@ -17,7 +17,7 @@ from wattlens.functions.columns import clip
 # the tree functions travel with the job, so workers need no installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 256
+SAMPLE = 256  # rows per tree, the published algorithm's default; `sample` of every function below changes it
 NODES = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
 
@@ -28,9 +28,9 @@ def path_length(n):
     return np.where(n > 2, inner, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
+def grow_tree(rows: pd.DataFrame, seed: int, sample: int = SAMPLE) -> pd.DataFrame:
     """One random tree. Rows are put in hash order first, so partitioning does not change the result."""
-    rows = rows.sort_values(["hash", "id"]).head(SAMPLE)
+    rows = rows.sort_values(["hash", "id"]).head(sample)
     x = np.array(rows["x"].tolist(), dtype=float)
     tree = int(rows["tree"].iloc[0])
     rng = np.random.default_rng([seed, tree])
@@ -54,14 +54,14 @@ def grow_tree(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "size", "depth"])
 
 
-def grow_forest(df: DataFrame, id_column: str, trees: int, seed: int) -> DataFrame:
+def grow_forest(df: DataFrame, id_column: str, trees: int, seed: int, sample: int = SAMPLE) -> DataFrame:
     """Nodes of all trees from a table with the id and the feature array `x`.
 
     Each tree keeps the rows whose hash falls below a threshold that yields about three times the sample size,
-    then the 256 smallest hashes; only those rows are shuffled.
+    then the `sample` smallest hashes; only those rows are shuffled.
     """
     limit = 1 << 31
-    threshold = int(min(1.0, 3.0 * SAMPLE / max(df.count(), 1)) * limit)
+    threshold = int(min(1.0, 3.0 * sample / max(df.count(), 1)) * limit)
 
     def draw(t):
         return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed), t), F.lit(limit))
@@ -69,21 +69,21 @@ def grow_forest(df: DataFrame, id_column: str, trees: int, seed: int) -> DataFra
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < threshold)
     picks = df.select(F.col(id_column).alias("id"), "x", F.explode(chosen).alias("tree"))
     picks = picks.withColumn("hash", F.pmod(F.xxhash64("id", F.lit(seed), "tree"), F.lit(limit)))
-    return picks.groupBy("tree").applyInPandas(lambda rows: grow_tree(rows, seed), NODES)
+    return picks.groupBy("tree").applyInPandas(lambda rows: grow_tree(rows, seed, sample), NODES)
 
 
-def forest_score(df: DataFrame, id_column: str, trees: int = 250, seed: int = 42) -> DataFrame:
+def forest_score(df: DataFrame, id_column: str, trees: int = 250, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
     """Adds `isolation_score` in (0, 1): near 1 is easy to isolate."""
-    nodes = grow_forest(df, id_column, trees, seed).toPandas()  # at most trees x 511 rows
+    nodes = grow_forest(df, id_column, trees, seed, sample).toPandas()  # at most trees x (2 x sample - 1) rows
     if nodes.empty:
         return df.withColumn("isolation_score", F.lit(0.0))
-    forest, sample = {}, 1
+    forest, grown = {}, 1
     for tree, part in nodes.sort_values(["tree", "node"]).groupby("tree"):
         forest[int(tree)] = (part["feature"].to_numpy(), part["cut"].to_numpy(), part["left"].to_numpy(),
                              part["right"].to_numpy(), (part["depth"] + path_length(part["size"])).to_numpy())
-        sample = max(sample, int(part["size"].iloc[0]))
+        grown = max(grown, int(part["size"].iloc[0]))
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    norm = float(path_length(sample)) or 1.0
+    norm = float(path_length(grown)) or 1.0
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from wattlens import constants as K
 from wattlens.functions.columns import num, ratio
 from wattlens.operators import iforest, metrics
-from wattlens.plans.ordering import group_rank
+from wattlens.plans.joins import lookup_join
+from wattlens.plans.ordering import group_quantile, group_rank
 from wattlens.plans.staging import stage
 
-MAX_DEPTH = 12
+MAX_DEPTH = 30  # trees without a limit stop at Spark's deepest; a parameter of every fit
 
 
 def feature_frame(df: DataFrame, features: list[str]) -> DataFrame:
@@ -24,11 +25,20 @@ def feature_frame(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f"f_{f}": num(F.col(f)) if f in present and known[f] else F.lit(0.0) for f in features})
 
 
-def input_stages(features: list[str]) -> list:
+def medians(frame: DataFrame, features: list[str]) -> dict[str, float]:
+    """Exact median of each feature's known values (NaN is unknown); one run for all features."""
     names = [f"f_{f}" for f in features]
-    filled = [f"i_{f}" for f in features]
-    return [Imputer(strategy="median", inputCols=names, outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="features")]
+    long = frame.select(*names).unpivot([], names, "name", "value").filter(~F.isnan("value"))
+    found = group_quantile(long, ["name"], "value", 0.5, "median").collect()  # one row per feature
+    return {r["name"][2:]: r["median"] for r in found}
+
+
+def input_stages(frame: DataFrame, features: list[str]) -> list:
+    """Pipeline stages that fill gaps with the exact medians of `frame` and build the feature vector."""
+    middle = medians(frame, features)
+    filled = ", ".join(f"coalesce(nanvl(`f_{f}`, null), {middle.get(f, 0.0)!r}D) AS `i_{f}`" for f in features)
+    return [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"i_{f}" for f in features], outputCol="features")]
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:
@@ -38,7 +48,7 @@ def drop_helpers(df: DataFrame) -> DataFrame:
 def feature_vector(df: DataFrame, features: list[str] = K.MODEL_FEATURES, id_column: str = "customer_id") -> DataFrame:
     """Id and imputed feature array `x`."""
     frame = stage(feature_frame(df, features).select(id_column, *[f"f_{f}" for f in features]), "frame")
-    fitted = Pipeline(stages=input_stages(features)).fit(frame)
+    fitted = Pipeline(stages=input_stages(frame, features)).fit(frame)
     return fitted.transform(frame).select(id_column, vector_to_array("features").alias("x"))
 
 
@@ -52,24 +62,19 @@ def stratified_split(df: DataFrame, label: str, id_column: str = "customer_id",
     """Adds `is_holdout`: the same share of every class, chosen by hash order."""
     order = df.withColumn("_draw", F.xxhash64(F.col(id_column), F.lit(seed)))
     ranked = group_rank(order, [label], ["_draw", id_column], "_rank")
-    sizes = {r[label]: r["n"] for r in ranked.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one row per class
-    quota = F.lit(None).cast("double")
-    for value, n in sizes.items():
-        quota = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(share * n)).otherwise(quota)
-    return ranked.withColumn("is_holdout", F.col("_rank") <= F.round(quota)).drop("_rank", "_draw")
+    sizes = ranked.groupBy(label).agg(F.count("*").alias("_n"))  # one row per class
+    sized = lookup_join(ranked, sizes, [label], spread=[id_column], null_safe=True)
+    return sized.withColumn("is_holdout", F.col("_rank") <= F.round(F.lit(share) * F.col("_n"))).drop("_rank", "_draw", "_n")
 
 
-def regressor(trees: int, seed: int) -> Pipeline:
+def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42, depth: int = MAX_DEPTH) -> PipelineModel:
     forest = RandomForestRegressor(labelCol="label", featuresCol="features", predictionCol="prediction",
-                                   numTrees=trees, minInstancesPerNode=3, maxDepth=MAX_DEPTH,
+                                   numTrees=trees, minInstancesPerNode=3, maxDepth=depth,
                                    featureSubsetStrategy="all", seed=seed)
-    return Pipeline(stages=[*input_stages(K.EXPECTED_FEATURES), forest])
-
-
-def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42) -> PipelineModel:
     label = F.coalesce(num(F.col("last_30_mean")), F.lit(0.0)).alias("label")
     frame = feature_frame(features, K.EXPECTED_FEATURES).select(label, *[f"f_{f}" for f in K.EXPECTED_FEATURES])
-    return regressor(trees, seed).fit(stage(frame, "training"))  # read several times while fitting
+    frame = stage(frame, "training")  # read several times while fitting
+    return Pipeline(stages=[*input_stages(frame, K.EXPECTED_FEATURES), forest]).fit(frame)
 
 
 def expected_consumption(features: DataFrame, model: PipelineModel | None = None, trees: int = 120,
@@ -120,8 +125,8 @@ def fit_classifier(labelled: DataFrame, features: list[str], label: str = "fraud
                                     numTrees=trees, minInstancesPerNode=3, maxDepth=depth,
                                     featureSubsetStrategy="sqrt", seed=seed)
     weighted = class_weights(feature_frame(labelled, features), label).withColumn("_label", F.col(label).cast("int"))
-    frame = weighted.select("_label", "_weight", *[f"f_{f}" for f in features])
-    return Pipeline(stages=[*input_stages(features), forest]).fit(stage(frame, "training"))
+    frame = stage(weighted.select("_label", "_weight", *[f"f_{f}" for f in features]), "training")
+    return Pipeline(stages=[*input_stages(frame, features), forest]).fit(frame)
 
 
 def classify(df: DataFrame, model: PipelineModel, features: list[str], name: str) -> DataFrame:
@@ -138,14 +143,23 @@ def label_counts(df: DataFrame, label: str):
     return row["known"], row["ones"]
 
 
+def classifier_features(df: DataFrame, features: list[str] = K.MODEL_FEATURES) -> list[str]:
+    return [f for f in [*features, "expected_deviation_pct"] if f in df.columns]
+
+
+def enough_labels(df: DataFrame, label: str = "fraud_label") -> bool:
+    """Whether more than 20 labels of two classes are known."""
+    known, ones = label_counts(df, label)
+    return known > 20 and ones not in (0, known)
+
+
 def fraud_probability(df: DataFrame, features: list[str] = K.MODEL_FEATURES, trees: int = 350,
-                      seed: int = 42) -> DataFrame:
-    """Probability of fraud in percent, if more than 20 labels of two classes are known; else NULL."""
-    known, ones = label_counts(df, "fraud_label")
-    if known <= 20 or ones in (0, known):
+                      seed: int = 42, model: PipelineModel | None = None) -> DataFrame:
+    """Probability of fraud in percent, by the given model, or by a new one if there are enough labels; else NULL."""
+    if model is None and not enough_labels(df):
         return df.withColumn("fraud_probability", F.lit(None).cast("double"))
-    used = [f for f in [*features, "expected_deviation_pct"] if f in df.columns]
-    model = fit_classifier(df.filter(F.col("fraud_label").isNotNull()), used, trees=trees, seed=seed)
+    used = classifier_features(df, features)
+    model = model or fit_classifier(df.filter(F.col("fraud_label").isNotNull()), used, trees=trees, seed=seed)
     return classify(df, model, used, "_p").withColumn("fraud_probability", F.col("_p") * 100).drop("_p")
 
 
@@ -175,8 +189,36 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def score_models(features: DataFrame, trees: tuple[int, int, int] = (120, 250, 350), seed: int = 42) -> DataFrame:
-    """All three models in order: expected consumption, anomaly, fraud probability."""
-    expected = stage(expected_consumption(features, trees=trees[0], seed=seed), "expected")
-    scored = anomaly_score(expected, [*K.MODEL_FEATURES, "expected_deviation_pct"], trees=trees[1], seed=seed)
-    return fraud_probability(stage(scored, "anomaly"), trees=trees[2], seed=seed)
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def score_models(features: DataFrame, trees: tuple[int, int, int] = (120, 250, 350), seed: int = 42,
+                 saved: dict[str, PipelineModel] | None = None, keep: dict[str, PipelineModel] | None = None) -> DataFrame:
+    """All three models in order: expected consumption, anomaly, fraud probability.
+
+    `saved` may hold models of an earlier run (`expected`, `fraud`), which are then used and not fitted again; `keep` is
+    filled with the models that were used.
+    """
+    saved, keep = saved or {}, {} if keep is None else keep
+    keep["expected"] = saved.get("expected") or fit_expected(features, trees[0], seed)
+    expected = stage(expected_consumption(features, keep["expected"]), "expected")
+    scored = stage(anomaly_score(expected, [*K.MODEL_FEATURES, "expected_deviation_pct"], trees=trees[1], seed=seed), "anomaly")
+    if saved.get("fraud"):
+        keep["fraud"] = saved["fraud"]
+    elif enough_labels(scored):
+        keep["fraud"] = fit_classifier(scored.filter(F.col("fraud_label").isNotNull()), classifier_features(scored),
+                                       trees=trees[2], seed=seed)
+    return fraud_probability(scored, model=keep.get("fraud"))
+
+
+def model_metrics(scored: DataFrame, trees: tuple[int, int, int] = (120, 250, 350), seed: int = 42) -> DataFrame:
+    """One row: the error of the expected consumption and the classifier's quality on hold-outs; NULL where a model has too
+    few rows."""
+    error = expected_error(scored, trees[0], seed)
+    row = scored.sparkSession.range(1).select(error.select("expected_consumption_mae").agg(
+        F.max("expected_consumption_mae")).scalar().alias("expected_consumption_mae"))
+    if not enough_labels(scored):
+        return row
+    quality = classifier_metrics(scored, classifier_features(scored), trees=trees[2], seed=seed)
+    return quality.withColumn("expected_consumption_mae", row.select("expected_consumption_mae").scalar())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattlens import constants as K
 from wattlens.functions.columns import (at_least, clip, clip100, first_known, flag, is_high, num, num_or, ratio,
                                         unit_level)
-from wattlens.operators import models
+from wattlens.operators import metrics, models
 from wattlens.operators.clean import coerce_numeric, parse_date
 from wattlens.operators.enrich import (city_climate, first_attributes, seasonal_temperature, temperature_context,
                                         text_columns)
@@ -26,6 +26,7 @@ ATTRIBUTES = ["building_id", "city", "location_type", "building_type", "unit_typ
               "transformer_id", "floor", "floors", "area_sqm", "household_size", "contracted_power_kw", "latitude",
               "longitude"]
 PEER_LEVELS = [["city", "location_type", "unit_type"], ["location_type", "unit_type"]]
+UNIT_DEPTH = 8  # of the unit classifier's trees, as the definition has it
 DRIVER_COLUMNS = list(K.UNIT_DRIVERS)
 RISK_WEIGHTS = {"building_ai_anomaly_score": 0.23, "consumption_deviation_score": 0.22, "peer_deviation_score": 0.18,
                 "meter_behavior_score": 0.17, "weather_context_score": 0.12, "loss_impact_score": 0.08}
@@ -36,7 +37,9 @@ def building_standardize(df: DataFrame, mapping: dict[str, str] | None = None) -
 
     Columns are found by header unless mapped by hand; all other columns are carried along. Readings of one
     unit and day are averaged before any per-unit step, so a window over a unit is bounded by the calendar.
-    Text columns describe the unit: its earliest known value stands on all its rows.
+    The text attributes of the unit (ATTRIBUTES) take its earliest known value. A text that varies per reading, such as
+    the kind of anomaly, stays per day: its most frequent value, and the smallest of equally frequent ones. The most
+    frequent kind over all readings of the unit is `unit_anomaly_type`.
     """
     found = {role: find_unit_header(df.columns, names) for role, names in K.UNIT_HEADERS.items()}
     found.update(mapping or {})
@@ -56,12 +59,25 @@ def building_standardize(df: DataFrame, mapping: dict[str, str] | None = None) -
         "consumption_kwh": at_least(kwh, 0),
         **{c: num(F.col(c)) for c in NUMBERS if c in out.columns}})
     out = out.filter(F.col("date").isNotNull() & F.col("consumption_kwh").isNotNull() & F.col("unit_id").isNotNull())
-    texts = text_columns(out, ["unit_id"])
-    merged = one_per_day(out.drop(*texts)).join(first_attributes(out, "unit_id", texts), "unit_id", "left")
+    texts = [c for c in text_columns(out, ["unit_id"]) if c in ATTRIBUTES]
+    varying = [c for c in text_columns(out, ["unit_id"]) if c not in ATTRIBUTES]
+    merged = one_per_day(out.drop(*texts, *varying)).join(first_attributes(out, "unit_id", texts), "unit_id", "left")
+    for name in varying:
+        merged = merged.join(most_frequent(out, ["unit_id", "date"], name), ["unit_id", "date"], "left")
+    if "anomaly_type" in varying:
+        merged = merged.join(most_frequent(out, ["unit_id"], "anomaly_type")
+                             .withColumnRenamed("anomaly_type", "unit_anomaly_type"), "unit_id", "left")
     # the number of floors and the rows themselves both need the merged readings
     return expected_kwh(with_unit_defaults(stage(merged, "unit_days")))
 
 
+def most_frequent(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The most frequent known value per key, the smallest of equally frequent ones; counted before anything moves."""
+    counts = df.filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("_n"), F.col(name).alias("v"))).alias("_best")).select(
+        *keys, F.col("_best.v").alias(name))
+
+
 def one_per_day(df: DataFrame) -> DataFrame:
     others = [c for c in df.columns if c not in ("unit_id", "date", "consumption_kwh", "fraud_label", "expected_kwh")]
     means = [c for c in ("consumption_kwh", "expected_kwh") if c in df.columns]
@@ -150,7 +166,8 @@ def unit_agg(flagged: DataFrame) -> DataFrame:
         total("normal_high_mismatch").alias("normal_high_mismatch_days"),
         F.avg("temp_mean").alias("avg_temp_mean"), F.avg("weather_demand_pressure").alias("avg_weather_demand_pressure"),
         F.max("fraud_label").alias("fraud_label"),
-        F.coalesce(F.mode("anomaly_type", True), F.lit("unknown")).alias("anomaly_type"))
+        F.coalesce(F.min("unit_anomaly_type") if "unit_anomaly_type" in flagged.columns else F.mode("anomaly_type", True),
+                   F.lit("unknown")).alias("anomaly_type"))
 
 
 def unit_ratios(units: DataFrame) -> DataFrame:
@@ -202,19 +219,28 @@ def unit_anomaly(units: DataFrame, trees: int = 180, seed: int = 42) -> DataFram
     """Isolation-forest score of the units; 0 with fewer than ten."""
     if units.limit(10).count() < 10:
         return units.withColumn("building_ai_anomaly_score", F.lit(0.0))
-    filled = units.withColumns({c: F.coalesce(num(F.col(c)), F.lit(0.0)) for c in K.UNIT_FEATURES if c in units.columns})
+    filled = known_features(units)
     scored = models.anomaly_score(filled, K.UNIT_FEATURES, "_score", "unit_id", trees, seed)
     slim = scored.select("unit_id", F.round("_score", 2).alias("building_ai_anomaly_score"))
     return units.join(slim, "unit_id", "left")
 
 
+def enough_unit_labels(units: DataFrame) -> bool:
+    """At least 40 units and 5 of each class."""
+    known, ones = models.label_counts(units, "fraud_label")
+    return known >= 40 and min(ones, known - ones) >= 5
+
+
+def known_features(units: DataFrame) -> DataFrame:
+    return units.withColumns({c: F.coalesce(num(F.col(c)), F.lit(0.0)) for c in K.UNIT_FEATURES if c in units.columns})
+
+
 def unit_probability(units: DataFrame, trees: int = 260, seed: int = 42):
     """(units with fraud_probability or NULL, fitted model or None). Needs 40 units and 5 of each class."""
-    known, ones = models.label_counts(units, "fraud_label")
-    if known < 40 or min(ones, known - ones) < 5:
+    if not enough_unit_labels(units):
         return units.withColumn("fraud_probability", F.lit(None).cast("double")), None
-    filled = units.withColumns({c: F.coalesce(num(F.col(c)), F.lit(0.0)) for c in K.UNIT_FEATURES if c in units.columns})
-    model = models.fit_classifier(filled, K.UNIT_FEATURES, trees=trees, depth=8, seed=seed)
+    filled = known_features(units)
+    model = models.fit_classifier(filled, K.UNIT_FEATURES, trees=trees, depth=UNIT_DEPTH, seed=seed)
     scored = models.classify(filled, model, K.UNIT_FEATURES, "fraud_probability").select("unit_id", "fraud_probability")
     return units.join(scored, "unit_id", "left"), model
 
@@ -270,11 +296,14 @@ def top_driver(units: DataFrame) -> DataFrame:
     return units.withColumn("alert_explanation", text)
 
 
-def unit_scores(features: DataFrame, models_on: bool = True, trees: tuple[int, int] = (180, 260), seed: int = 42
-                ) -> DataFrame:
-    """Scored and ranked units. `models_on=False` leaves both models out (anomaly 0, logistic probability)."""
+def unit_scores(features: DataFrame, models_on: bool = True, trees: tuple[int, int] = (180, 260), seed: int = 42,
+                keep: dict | None = None) -> DataFrame:
+    """Scored and ranked units. `models_on=False` leaves both models out (anomaly 0, logistic probability). `keep` gets the
+    fitted classifier as `fraud`."""
     if models_on:
         units, model = unit_probability(unit_anomaly(features, trees[0], seed), trees[1], seed)
+        if keep is not None:
+            keep["fraud"] = model
     else:
         units, model = features.withColumn("building_ai_anomaly_score", F.lit(0.0)), None
     scored = top_driver(unit_risk(unit_components(units), supervised=model is not None))
@@ -331,8 +360,30 @@ def building_daily(flagged: DataFrame) -> DataFrame:
     return days.withColumn("estimated_missing_kwh", F.greatest(gap, F.lit(0.0)))
 
 
-def building_metrics(flagged: DataFrame, units: DataFrame, buildings: DataFrame) -> DataFrame:
-    """One row of counts and totals."""
+def ranking_quality(units: DataFrame, score: str) -> DataFrame:
+    """One row: ROC AUC and average precision of a score against the units' labels."""
+    auc = metrics.roc_auc(units, "fraud_label", score).scalar()
+    precision = metrics.average_precision(units, "fraud_label", score).scalar()
+    return units.sparkSession.range(1).select(auc.alias("fraud_classifier_roc_auc"),
+                                              precision.alias("fraud_classifier_average_precision"))
+
+
+def unit_model_quality(features: DataFrame, trees: int = 260, seed: int = 42) -> DataFrame | None:
+    """Quality of the unit classifier on a stratified 28 % hold-out; None where labels are too few for it."""
+    if not enough_unit_labels(features):
+        return None
+    filled = known_features(features)
+    out = models.classifier_metrics(filled, K.UNIT_FEATURES, "fraud_label", "unit_id", 0.28, trees, UNIT_DEPTH, seed)
+    return out.select("fraud_classifier_roc_auc",
+                      F.col("fraud_classifier_avg_precision").alias("fraud_classifier_average_precision"))
+
+
+def building_metrics(flagged: DataFrame, units: DataFrame, buildings: DataFrame,
+                     quality: DataFrame | None = None) -> DataFrame:
+    """One row of counts and totals, with the quality of a model's scores if it is given."""
+    if quality is not None:
+        row = stage(quality, "quality")
+        return building_metrics(flagged, units, buildings).withColumns({c: row.select(c).scalar() for c in row.columns})
     readings = flagged.agg(F.struct(F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("b"))).scalar()
     places = buildings.agg(F.struct(F.count("*").alias("n"), F.count_if(is_high(F.col("risk_level"))).alias("high"))).scalar()
     out = units.agg(F.count("*").alias("units"), F.coalesce(F.sum("fraud_label"), F.lit(0)).alias("positive_units"),
@@ -355,10 +406,21 @@ def analyze_units(df: DataFrame, mapping: dict[str, str] | None = None, models_o
     """The whole unit analysis as named tables."""
     readings = stage(building_standardize(df, mapping), "unit_readings")
     flagged = unit_lag_flags(unit_daily_flags(readings))
-    units = unit_scores(unit_features(readings), models_on, trees, seed)
+    features = unit_features(readings)
+    used: dict = {}
+    units = unit_scores(features, models_on, trees, seed, used)
     buildings = building_scores(units)
-    return {"unit_scores": units, "building_scores": buildings, "floor_scores": floor_scores(units),
-            "daily_summary": building_daily(flagged), "metrics": building_metrics(flagged, units, buildings)}
+    quality = unit_model_quality(features, trees[1], seed) if models_on else None
+    return {"raw": readings, "unit_scores": units, "building_scores": buildings, "floor_scores": floor_scores(units),
+            "daily_summary": building_daily(flagged), "feature_importance": importance_table(readings.sparkSession, used.get("fraud")),
+            "metrics": building_metrics(flagged, units, buildings, quality)}
+
+
+def importance_table(spark, model) -> DataFrame:
+    """Importance of every unit feature, unknown without a model."""
+    if model is not None:
+        return models.feature_importance(model, K.UNIT_FEATURES, spark)
+    return spark.createDataFrame([(f, None) for f in K.UNIT_FEATURES], "feature string, importance double")
 
 
 def save_unit_results(results: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:

@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame, functions as F
 from wattlens.plans.staging import stage
 
 SALTS = 16
-BROADCAST_ROWS = 100_000  # lookup rows are keys and a few numbers: well below 100 MB
+BROADCAST_BYTES = 32_000_000  # of the stored files
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """The optimizer's size of a stored table: the bytes of its files."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def lookup_join(left: DataFrame, table: DataFrame, on: list[str], spread: list[str], how: str = "left",
-                null_safe: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a large table to a lookup table with one row per key.
+                null_safe: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a large table to a lookup table. The lookup table must have one row per key; others would multiply rows.
 
-    The lookup side is computed once into a stored table, and its rows are counted. Up to `broadcast_rows` it
+    The lookup side is computed once into a stored table. If its files have up to `broadcast_bytes` it
     is broadcast. Beyond that both sides shuffle, and a salt (a hash of the `spread` columns) splits every key
     of the large side into parts; the lookup rows are repeated once per salt, so the result is the same.
     """
     table = stage(table, "lookup")
     keys = [f"_key_{i}" for i in range(len(on))]
     small = table.withColumnsRenamed(dict(zip(on, keys)))
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if stored_bytes(table) <= broadcast_bytes:
         big, small, condition = left, F.broadcast(small), F.lit(True)
     else:
         big = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))

@@ -10,7 +10,9 @@ import uuid
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_FINISHED: dict[tuple[str, str], str] = {}  # finished tables of `stored` by application and key
 
 
 @lru_cache(maxsize=None)
@@ -36,11 +38,26 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, key: str, build) -> DataFrame:
-    """A staged table that later calls of the same application read again; rebuilt if its files are gone."""
-    path = f"{staging_root(spark)}/stored-{uuid.uuid5(uuid.NAMESPACE_URL, key).hex}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+def identity(spark: SparkSession, folder: str) -> str:
+    """Digest of the names, sizes and times of a folder's files; only their listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    one = F.xxhash64("path", "length", "modificationTime")
+    return str(files.agg(F.count("*").alias("n"), F.bit_xor(one).alias("x")).first())
+
+
+def stored(spark: SparkSession, key: str, build, inputs: str | None = None) -> DataFrame:
+    """A staged table that later calls of the same application read again.
+
+    Every attempt writes to a fresh path, which counts only once the write has ended, so an interrupted one is
+    simply done again. The table is also built again if its files are gone, or if files below `inputs` have changed.
+    """
+    known = (spark.sparkContext.applicationId, key + (identity(spark, inputs) if inputs else ""))
+    if known in _FINISHED:
+        try:
+            return spark.read.parquet(_FINISHED[known])
+        except AnalysisException:
+            del _FINISHED[known]
+    path = f"{staging_root(spark)}/stored-{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    _FINISHED[known] = path
+    return spark.read.parquet(path)

@@ -147,16 +147,16 @@ def detect_layout(df: DataFrame) -> Layout:
         layout.confidence = ((0.45 if len(days) >= 20 else 0.30 if len(days) >= 5 else 0.0)
                              + (0.30 if id_column else 0.0) + (0.15 if label else 0.05) + 0.10)
         if id_column is None:
-            layout.issues.append("Customer ID column was not detected; row numbers will be used as temporary IDs.")
+            layout.issues.append("No column holds customer ids; numbers of the rows stand in for them.")
         if label is None:
-            layout.issues.append("No fraud/flag label detected; platform will run unsupervised anomaly detection.")
+            layout.issues.append("No label column; only models that need no labels will run.")
         if len(days) < 30:
-            layout.issues.append("Few date columns detected; risk scoring works better with longer consumption history.")
+            layout.issues.append("Fewer than 30 day columns; scores gain from a longer history.")
     elif id_column and date and consumption:
         layout = Layout("long", id_column, label, date, consumption)
         layout.confidence = 0.35 + 0.25 + 0.25 + (0.15 if label else 0.05)
         if label is None:
-            layout.issues.append("No fraud/flag label detected; platform will run unsupervised anomaly detection.")
+            layout.issues.append("No label column; only models that need no labels will run.")
     else:
         raise ValueError("no usable layout: need day columns, or an id, a date and a consumption column")
     layout.confidence = round(min(layout.confidence, 1.0), 3)
@@ -168,13 +168,14 @@ def profile_table(df: DataFrame) -> DataFrame:
     numeric = sum(t in ("int", "bigint", "smallint", "tinyint", "float", "double") or t.startswith("decimal")
                   for _, t in df.dtypes)
     days = sum(header_date(c) is not None for c in df.columns)
-    # equal rows are counted before the shuffle; the size of each set gives rows and copies in one pass
-    sets = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
+    # equal rows are counted by a digest, so rows themselves don't move; equal rows miss equally many cells
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    digest = F.struct(F.xxhash64(F.lit(1), *[part for c in cells for part in (c.isNull(), c)]).alias("a"),
+                      F.xxhash64(F.lit(2), *[part for c in reversed(cells) for part in (c, c.isNull())]).alias("b"))
+    absent = sum((c.isNull().cast("long") for c in cells), F.lit(0).cast("long"))
+    sets = df.groupBy(digest.alias("_row")).agg(F.count("*").alias("_copies"), F.sum(absent).alias("_missing"))
     copies = F.col("_copies")
-    weighted = [F.coalesce(F.sum(F.when(F.col(f"`{c}`").isNull(), copies)), F.lit(0)) for c in df.columns]
-    missing = weighted[0]
-    for cell in weighted[1:]:
-        missing = missing + cell
+    missing = F.coalesce(F.sum("_missing"), F.lit(0))
     width = len(df.columns)
     totals = sets.agg(F.coalesce(F.sum(copies), F.lit(0)).alias("rows"), missing.alias("missing_cells"),
                       F.coalesce(F.sum(copies - 1), F.lit(0)).alias("duplicate_rows"))

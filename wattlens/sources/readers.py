@@ -21,13 +21,25 @@ def clean_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean_header(c) for c in df.columns])
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Text lines of a file. UTF-8 unless some line is not valid UTF-8, which is checked on the executors."""
+def inspect_lines(spark: SparkSession, path: str) -> tuple[str, str | None, bool]:
+    """(encoding, first line with text, whether a quoted value runs over a line break), in one scan on the executors.
+
+    The encoding is UTF-8 unless some line is not valid UTF-8. An odd number of quotes in a line means that a value
+    goes on in the next one.
+    """
     lines = spark.read.text(path)
-    if encoding is None:
-        encoding = "UTF-8" if lines.filter(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
-    if encoding != "UTF-8":
-        lines = lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("invalid"), F.count_if(quotes % 2 == 1).alias("open")).first()
+    encoding = "ISO-8859-1" if found["invalid"] else "UTF-8"
+    text = F.decode(F.col("value").cast("binary"), encoding).alias("value")
+    head = lines.select(text).filter(F.length(F.trim("value")) > 0).first()
+    return encoding, head["value"] if head else None, found["open"] > 0
+
+
+def read_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines with text below the header, which is the first line of every file."""
+    lines = (spark.read.option("header", True).option("sep", "\u0001").option("quote", "").option("encoding", encoding)
+             .option("escape", "").schema("value string").csv(path))
     return lines.filter(F.length(F.trim("value")) > 0)
 
 
@@ -38,20 +50,29 @@ def detect_delimiter(header: str) -> str:
 
 def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Tolerant scan: delimiter and encoding are detected, lines with too many fields are skipped,
-    short lines are filled with NULL. All columns come back as text."""
-    lines = read_lines(spark, path, encoding)
-    head = lines.first()
-    if head is None:
+    short lines are filled with NULL. All columns come back as text. The first line of a file is its header.
+
+    Files in which quoted values hold line breaks can't be split between tasks; they are read whole by Spark's reader.
+    """
+    detected, header, broken = inspect_lines(spark, path)
+    encoding = encoding or detected
+    if header is None:
         return spark.createDataFrame([], T.StructType([]))
-    header = head["value"]
     delimiter = detect_delimiter(header)
     names = [clean_header(n) for n in next(csv.reader([header.replace("\ufeff", "")], delimiter=delimiter))]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    if broken:
+        extra = T.StructType([*schema.fields, T.StructField("_more", T.StringType())])
+        rows = (spark.read.schema(extra).option("header", True).option("sep", delimiter).option("encoding", encoding)
+                .option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True)
+                .option("ignoreTrailingWhiteSpace", True).option("enforceSchema", True).csv(path))
+        return rows.filter(F.col("_more").isNull()).drop("_more").dropna(how="all").toDF(*names)
+    lines = read_lines(spark, path, encoding)
     unquoted = F.regexp_replace("value", '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1
     cells = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "),
                        {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    rows = lines.filter((F.col("value") != header) & (fields <= len(names))).select(cells.alias("r")).select("r.*")
+    rows = lines.filter(fields <= len(names)).select(cells.alias("r")).select("r.*")
     return rows.toDF(*names)
 
 
@@ -73,7 +94,8 @@ def weather_dimension(table: DataFrame) -> DataFrame:
     city = F.col("city") if "city" in table.columns else F.lit(None).cast("string")
     numbers = [num(F.col(c)).alias(c) for c in table.columns if c not in ("date", "city")]
     return table.select(parse_date(F.col("date")).alias("date"),
-                        F.coalesce(city.cast("string"), F.lit(K.DEFAULT_CITY)).alias("city"), *numbers)
+                        F.coalesce(city.cast("string"), F.lit(K.DEFAULT_CITY)).alias("city"), *numbers,
+                        F.monotonically_increasing_id().alias("_order"))
 
 
 def read_result(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -13,6 +13,14 @@ from wattlens.sources.detect import Layout, header_date
 from wattlens.sources.readers import generated_ids
 
 
+SEQUENCE = "_sequence"  # optional column with the place of a row in the delivered file
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Add the place of each row in the scan, by which the first of several labels is found later."""
+    return df.withColumn(SEQUENCE, F.monotonically_increasing_id())
+
+
 def quoted(name: str):
     return F.col(f"`{name}`")
 
@@ -35,16 +43,17 @@ def wide_to_long(df: DataFrame, id_column: str, days: dict[str, dt.date], label:
     if len(set(names)) < len(names):  # the same day under two headers keeps both readings
         names = [f"{n}#{i}" for i, n in enumerate(names)]
     measures = [coerce_numeric(quoted(c).cast("string")).alias(n) for c, n in zip(days, names)]
-    slim = df.select(*fixed, *measures)
-    long = slim.unpivot(["customer_id", "fraud_label"], [quoted(n) for n in names], "day", "consumption_kwh")
+    order = [SEQUENCE] if SEQUENCE in df.columns else []
+    slim = df.select(*fixed, *measures, *order)
+    long = slim.unpivot(["customer_id", "fraud_label", *order], [quoted(n) for n in names], "day", "consumption_kwh")
     return long.select("customer_id", F.to_date(F.substring("day", 1, 10)).alias("date"),
-                       "consumption_kwh", "fraud_label")
+                       "consumption_kwh", "fraud_label", *order)
 
 
 def rename_long(df: DataFrame, id_column: str, date: str, consumption: str, label: str | None = None,
                 extras: list[str] | None = None) -> DataFrame:
     """Rename to the canonical columns; every known customer column is carried along."""
-    extras = [c for c in (K.CUSTOMER_COLUMNS if extras is None else extras) if c in df.columns]
+    extras = [c for c in [*(K.CUSTOMER_COLUMNS if extras is None else extras), SEQUENCE] if c in df.columns]
     fraud = num(quoted(label)) if label else F.lit(None).cast("double")
     return df.select(quoted(id_column).cast("string").alias("customer_id"),
                      parse_date(quoted(date)).alias("date"),
@@ -66,6 +75,20 @@ def to_long(df: DataFrame, layout: Layout, max_customers: int | None = None,
     return rename_long(df, id_column, layout.date_column, layout.consumption_column, layout.label_column)
 
 
+def mapped_day(name: str) -> dt.date | None:
+    """The day of a header that was picked by hand: the strict forms, then dates with a time or with month names."""
+    day = header_date(name)
+    if day is not None:
+        return day
+    text = " ".join(name.replace(",", " ").split())
+    for form in K.MAPPED_DAY_FORMATS:
+        try:
+            return dt.datetime.strptime(text, form).date()
+        except ValueError:
+            continue
+    return None
+
+
 def apply_mapping(df: DataFrame, mapping: dict, max_customers: int | None = None,
                   max_days: int | None = None, seed: int = 42) -> DataFrame:
     """Long readings from a mapping given by hand: schema_type, customer_col, label_col, and date_cols (wide)
@@ -77,7 +100,7 @@ def apply_mapping(df: DataFrame, mapping: dict, max_customers: int | None = None
     if max_customers and max_customers > 0:
         df = sample_customers(df, id_column, max_customers, seed)
     if str(mapping.get("schema_type", "wide")).lower() == "wide":
-        days = {c: header_date(c) for c in mapping.get("date_cols", []) if c in df.columns}
+        days = {c: mapped_day(c) for c in mapping.get("date_cols", []) if c in df.columns}
         days = {c: d for c, d in days.items() if d is not None}
         if not days:
             raise ValueError("the mapping needs at least one day column")
@@ -88,9 +111,14 @@ def apply_mapping(df: DataFrame, mapping: dict, max_customers: int | None = None
     return rename_long(df, id_column, date, consumption, label, extras=[])
 
 
+def hash_order(id_column: str, seed: int) -> list:
+    """A repeatable random order of ids that other engines share: the MD5 of id and seed, then the id."""
+    return [F.md5(F.concat_ws(":", quoted(id_column).cast("string"), F.lit(str(seed))).cast("binary")), quoted(id_column)]
+
+
 def sample_ids(ids: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """n ids in the order of a seeded hash: repeatable, independent of row order."""
-    return ids.orderBy(F.xxhash64(quoted(id_column), F.lit(seed)), quoted(id_column)).limit(n)
+    return ids.orderBy(*hash_order(id_column, seed)).limit(n)
 
 
 def sample_customers(df: DataFrame, id_column: str, max_customers: int, seed: int = 42) -> DataFrame:
@@ -107,7 +135,7 @@ def sample_balanced(clients: DataFrame, max_clients: int, id_column: str = "clie
     Each class contributes a bounded top-k, so no class is gathered in one task.
     """
     is_positive = num(quoted(label)) == 1
-    key = [F.xxhash64(quoted(id_column), F.lit(seed)), quoted(id_column)]
+    key = hash_order(id_column, seed)
     quota = max(1, int(max_clients * 0.35))
     positives = clients.filter(is_positive).orderBy(*key).limit(max_clients).withColumn("_class", F.lit(0))
     others = (clients.filter(~F.coalesce(is_positive, F.lit(False))).orderBy(*key).limit(max_clients)
@@ -142,6 +170,12 @@ def prefer_electricity(invoices: DataFrame, column: str = "counter_type") -> Dat
 def invoice_to_readings(invoices: DataFrame, clients: DataFrame, max_customers: int | None = None,
                         max_days: int | None = None, seed: int = 42) -> DataFrame:
     """Invoices as dated readings: levels summed, times the meter coefficient, per billed month."""
+    return invoice_rows(invoices, clients, max_customers, max_days, seed).transform(with_meter_age)
+
+
+def invoice_rows(invoices: DataFrame, clients: DataFrame, max_customers: int | None = None,
+                 max_days: int | None = None, seed: int = 42) -> DataFrame:
+    """The same with the clients' creation date (`_created`) in place of the meter's age on each invoice."""
     if max_customers and max_customers > 0:
         clients = sample_balanced(clients, max_customers, seed=seed)
         ids = clients.select("client_id")
@@ -163,8 +197,7 @@ def invoice_to_readings(invoices: DataFrame, clients: DataFrame, max_customers:
                            ratio(kwh * or_one("counter_coefficient"), or_one("months_number"))
                            .alias("consumption_kwh"))
     rows = recent_days(rows, max_days)
-    return lookup_join(rows, client_dimension(clients), ["customer_id"], spread=["customer_id", "date", "consumption_kwh"]
-                       ).transform(with_meter_age)
+    return lookup_join(rows, client_dimension(clients), ["customer_id"], spread=["customer_id", "date", "consumption_kwh"])
 
 
 def client_dimension(clients: DataFrame) -> DataFrame:

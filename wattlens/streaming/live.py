@@ -1,7 +1,7 @@
 """Live panels: the batch definitions of case state and activity, kept up to date from appended event files."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wattlens.operators.ops import latest
@@ -18,9 +18,21 @@ def latest_case_events(events: DataFrame) -> DataFrame:
 
 
 def start_panel(state: DataFrame, target: str, checkpoint: str, every: str = "6 seconds") -> StreamingQuery:
-    """Rewrite the panel's table after every batch, as often as the pages look at it."""
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    """Write the panel's table after every batch as a version of its own, as often as the pages look at it.
+
+    A version counts once its number stands in the list of finished ones, so a reader never meets a half-written table
+    and a failed batch changes nothing. There is no watermark: the state holds one row per case and cases never expire.
+    """
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/versions/{number}")
+        done = batch.sparkSession.range(1).select(F.lit(number).cast("long").alias("version"))
+        done.coalesce(1).write.mode("append").parquet(f"{target}/finished")
 
     return (state.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
             .trigger(processingTime=every).foreachBatch(publish).start())
+
+
+def read_panel(spark: SparkSession, target: str) -> DataFrame:
+    """The newest finished version of the panel's table."""
+    newest = spark.read.parquet(f"{target}/finished").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{target}/versions/{newest}")
