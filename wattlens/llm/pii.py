@@ -205,7 +205,8 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     text = F.col(text_col)
     gate = F.coalesce(text.rlike(GATE), F.lit(False))
     near = docs.filter(gate).withColumn("_doc", F.xxhash64(text_col)).withColumn("_found", entities(text))
-    found = near.select("_doc", F.explode("_found").alias("e")).filter("e.kind is not null")
+    # the outer form: for the inner one the optimizer adds a filter that would look for the entities a second time
+    found = near.select("_doc", F.explode_outer("_found").alias("e")).filter("e.kind is not null")
     found = stage(found.select("_doc", "e.kind", "e.canonical").distinct(), "occurrences")
     table = assign(found, key)
     pair = F.struct(F.concat_ws("\u0001", "kind", "canonical").alias("k"), F.col("surrogate").alias("v"))
