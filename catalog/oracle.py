@@ -955,3 +955,21 @@ oracle_sql("feature_vector", f"""
 SELECT customer_id, feature, {r('COALESCE(CASE WHEN value IS NULL THEN MEDIAN(value) OVER (PARTITION BY feature) ELSE value END, 0)')} AS value
 FROM (SELECT * FROM vector_input UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_MODEL)})))""")
 oracle_sql("feature_importance", f"SELECT {len(_MODEL)}::BIGINT AS rows, 1.0::DOUBLE AS total, 0::BIGINT AS negative")
+
+# ---------------------------------------------------------------- forecast without history, snapshot
+step("nh_totals", """
+SELECT AVG(COALESCE(avg_consumption, 0)) AS average_consumption, SUM(COALESCE(sudden_drop_count, 0)) / 30.0 AS sudden_drop_events,
+       SUM(COALESCE(zero_days, 0)) / 30.0 AS zero_events, SUM(COALESCE(flatline_days, 0)) / 30.0 AS flatline_events,
+       0.0 AS weather_mismatch_events, SUM(COALESCE(estimated_loss_all_30d, 0)) / 30.0 AS base FROM c_all""")
+step("nh_raw", """
+SELECT *, DATE '2024-01-31' + CAST(step AS INTEGER) AS date, base * (0.72 + 0.28 * LEAST(GREATEST((0.95 * zero_events + 0.80 * sudden_drop_events + 0.35 * flatline_events)
+       / GREATEST(sudden_drop_events + zero_events + flatline_events, 1), 0.35), 2.25)) * (1 + 0.05 * SIN(2 * PI() * (step - 1) / 7.0)) AS loss
+FROM nh_totals, (SELECT UNNEST(GENERATE_SERIES(1, 30)) AS step)""")
+step("nh_loss", "SELECT *, LEAST(GREATEST(loss, 0), GREATEST(base * 2, MAX(loss) OVER (), 1)) AS final FROM nh_raw")
+step("nh_table", STEPS["fb_table"].replace("fb_loss", "nh_loss"))
+oracle("fc_8", FULL, "FROM nh_table")
+oracle_sql("context_snapshot", f"""
+SELECT COUNT(*) AS customers, COUNT(*) FILTER (WHERE risk_level IN ('High', 'Critical')) AS high_or_critical, COUNT(*) FILTER (WHERE risk_level = 'Critical') AS critical,
+       {r('ROUND(COALESCE(SUM(estimated_loss_all_30d), 0), 0)')} AS loss, (SELECT customer_id FROM c_all ORDER BY risk_score DESC, customer_id LIMIT 1) AS first_customer,
+       (SELECT area_id FROM a_all ORDER BY area_risk_score DESC, area_id LIMIT 1) AS first_area, (SELECT LEAST(COUNT(*), 15) FROM q_all) AS queue_rows,
+       (SELECT {r('ROUND(SUM(predicted_loss_all), 0)')} FROM fs_table) AS forecast FROM c_all""")

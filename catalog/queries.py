@@ -1076,7 +1076,18 @@ def pending_requests(s, d):
 def context_snapshot(s, d):
     customers, areas, _, queue, context = scored_forecast(s, d)
     loss = forecast.loss_forecast(stage(forecast.daily_events(context)), forecast.total_loss(customers))
-    return ops.context_snapshot(customers, areas, queue, ops.create_cases(queue, T.TEAMS), loss, forecast.area_forecast(areas))
+    text = ops.context_snapshot(customers, areas, queue, ops.create_cases(queue, T.TEAMS), loss, forecast.area_forecast(areas))
+
+    def at(path, kind):
+        return F.get_json_object("context", f"$.{path}").cast(kind)
+
+    return text.select(
+        at("totals.customers_analyzed", "long").alias("customers"), at("totals.high_or_critical", "long").alias("high_or_critical"),
+        at("totals.critical", "long").alias("critical"), at("totals.estimated_current_30d_loss_lek", "double").alias("loss"),
+        at("top_20_customers_by_risk[0].customer_id", "string").alias("first_customer"),
+        at("top_areas_by_risk[0].area_id", "string").alias("first_area"),
+        F.json_array_length(at("top_15_inspection_priority", "string")).cast("long").alias("queue_rows"),
+        at("forecast_30d_total_loss_lek", "double").alias("forecast"))
 
 
 @query
