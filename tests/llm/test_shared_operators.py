@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,38 @@ def test_vectors_that_link_with_nothing(spark):
     assert hnsw.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["one shard", "two shards", "large group"])
+def test_audit_widens_beams_that_miss_links(monkeypatch, case):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 32))
+    if case == "large group":
+        x[:300] = x[0] + rng.normal(scale=0.1, size=(300, 32))
+    for i in range(1000, 1060 if case == "large group" else 1012, 2):
+        x[i + 1] = x[i] + rng.normal(scale=0.05, size=32)
+    if case == "two shards":
+        x = np.concatenate([x[1000:1012:2], x[1012:], x[1001:1012:2], x[:1000]])
+    cut = 1994 if case == "two shards" else 3000
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    near[:cut, :cut] &= case != "two shards"
+    near[cut:, cut:] &= case != "two shards"
+    np.fill_diagonal(near, False)
+
+    def poor(self, queries, least, beam):  # finds nothing but a query itself and the large group before beams are wide
+        row, col = np.nonzero(queries @ self.vectors.T >= least)
+        many = np.bincount(row, minlength=len(queries))[row] > 100
+        at = many | (beam >= 64) | ((queries is self.vectors) & (row == col))
+        return row[at], col[at]
+
+    monkeypatch.setattr(hnsw.Graph, "within", poor)
+    if case == "two shards":
+        monkeypatch.setattr(hnsw, "AUDITED", 32)  # so few that the sample has no match
+    shards = [pd.DataFrame({"dim": 32, "shard": n, "node": np.arange(len(x))[part], "copies": 1, "vector": list(x[part])})
+              for n, part in enumerate([slice(0, cut), slice(cut, 3000)]) if len(x[part])]
+    found = hnsw.search_cell(pd.concat([hnsw.build_shard(s) for s in shards]), 0.9).set_index("node")["links"]
+    assert near.any() and found.to_dict() == {i: n for i, n in enumerate(near.sum(axis=1)) if n}
+
+
 TEXTS = ["call +1 (555) 123-4567 or 555-123-4567 now",
          "mail John.Smith@Mail7.Example.com, john.smith@mail7.example.com and ann@mail7.example.com.",
          "card 4532015112830366 bad 4532015112830367 4532-0151-1283-0366", "ip 192.168.1.20 and 8.8.4.4, v 1.2.3.4.5",

@@ -2,8 +2,8 @@
 
 Vectors are dealt to shards by hash; each shard builds one graph and stores it. Every vector then queries every shard: a cell
 holds two shards' graphs and searches each with the vectors of the other. A search that fills its beam with
-matches is repeated with a wider one, and the beams of a cell are widened until the recall of an audited set of queries,
-compared with all vectors of the shard, reaches the target. Found pairs are verified in double precision. A cell returns one
+matches is repeated with a wider one, and the beams of a cell are widened until the mean recall of an audited set of queries,
+compared with all vectors of the shard, reaches the target; queries are audited until enough of them have matches, or all are. Found pairs are verified in double precision. A cell returns one
 row per linked vector (its links and a neighbour that stands for its component), so no list of pairs leaves a task.
 
 The graphs are built and searched for many vectors at once with NumPy; positions in a shard are ordered by level, so every
@@ -28,6 +28,7 @@ BATCH = 256
 FLAG_BYTES = 32_000_000  # visited flags of a batch of queries
 MIN_SHARDS, SHARD_BYTES = 6, 64_000_000
 AUDITED, RECALL = 512, 0.99
+ENOUGH, FEW = 128, 16  # queries with one to so many matches that an audit needs
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,18 +195,49 @@ class Graph:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def audited_search(graph: Graph, queries: np.ndarray, least: float) -> np.ndarray:
-    """Pairs as query * nodes + position; beams widen until the audited queries' recall reaches the target."""
+def audit(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """True (query, position) pairs of audited queries, and whether all queries were audited (then no pair is missing).
+
+    Queries are taken in a fixed random order until ENOUGH of them have one to FEW matches; a query's match with itself is none.
+    """
+    step = max(16, FLAG_BYTES // (4 * len(graph.vectors)))
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    rows, cols, done, enough = [], [], 0, 0
+    while done < len(order) and (done < AUDITED or enough < ENOUGH):
+        part = order[done:done + step]
+        row, col = np.nonzero(queries[part] @ graph.vectors.T >= least)
+        if queries is graph.vectors:
+            other = part[row] != col
+            row, col = row[other], col[other]
+        matches = np.bincount(row, minlength=len(part))
+        enough += int(((matches > 0) & (matches <= FEW)).sum())
+        rows.append(part[row])
+        cols.append(col)
+        done += len(part)
+    return np.concatenate(rows), np.concatenate(cols), done == len(order)
+
+
+def recalls(row: np.ndarray, hit: np.ndarray) -> float:
+    """The lower of the mean recall of all audited queries and of those with few matches, so that no large group hides them."""
+    number, found = np.bincount(row), np.bincount(row, hit)
+    share = found[number > 0] / number[number > 0]
+    few = share[number[number > 0] <= FEW]
+    return min(share.mean(), few.mean() if len(few) else 1.0)
+
+
+def audited_search(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, bool]:
+    """Pairs as query * nodes + position, and whether they are exact; beams widen until the audited queries' recall reaches the
+    target. Where matches are too rare to tell the recall, the audit ends up comparing all and no search is needed."""
     size, beam = graph.sizes[0], BEAM
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(np.int64))
-    row, col = np.nonzero(queries[sample] @ graph.vectors.T >= least)
-    truth = sample[row] * size + col
-    while True:
+    row, col, whole = audit(graph, queries, least)
+    truth = row * size + col
+    while not whole:
         q, x = graph.within(queries, least, beam)
         found = np.unique(q * size + x)
-        if beam >= size or not len(truth) or np.isin(truth, found).mean() >= RECALL:
-            return np.union1d(found, truth)
+        if beam >= size or recalls(row, np.isin(truth, found)) >= RECALL:
+            return np.union1d(found, truth), False
         beam *= 2
+    return np.unique(truth), True
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -257,10 +289,10 @@ def search_cell(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     (node_a, copies_a, unit_a, graph_a), (node_b, copies_b, unit_b, graph_b) = sides[0], sides[-1]
     loose = np.float32(least - 1e-4)
     size_a, size_b = len(node_a), len(node_b)
-    codes = audited_search(graph_a, graph_b.vectors, loose)
+    codes, exact = audited_search(graph_a, graph_b.vectors, loose)
     pairs = [(codes % size_a, codes // size_a)]
-    if len(sides) == 2:
-        codes = audited_search(graph_b, graph_a.vectors, loose)
+    if len(sides) == 2 and not exact:
+        codes, _ = audited_search(graph_b, graph_a.vectors, loose)
         pairs.append((codes // size_b, codes % size_b))
     code = np.unique(np.concatenate([a * size_b + b for a, b in pairs]))
     a, b = code // size_b, code % size_b
