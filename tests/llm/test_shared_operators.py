@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,15 @@ def test_every_link_between_texts_is_found(spark, words, percent):
     assert {r.doc_id: r.n_shingles for r in found} == {i: len(s) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_slices_of_few_words_have_their_sequence_as_shingle(words):
+    texts = ["a", "a b", "a b c", "a b c d"]
+    whole = shingle_join.document_sets(pa.array([*texts, "u v w x y z"]), words)
+    for text, expected in zip(texts, whole):
+        assert [s.tolist() for s in shingle_join.document_sets(pa.array([text]), words)] == [expected.tolist()]
+        assert expected.size == 1
+
+
 def test_clusters_of_many_tiles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "TILE_ROWS", 8)
     random.seed(6)

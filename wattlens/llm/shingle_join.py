@@ -44,7 +44,7 @@ def document_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
         return [np.zeros(0, U64)] * len(texts)
     word = span_hashes(LOWER[data], starts, ends)
     chain = np.zeros(len(word), U64)
-    for i in range(words):
+    for i in range(min(words, len(word))):
         chain[:len(word) - i] += mix(word[i:] + _salt(i + 1, 0))
     shingles, sets = mix(chain), []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
