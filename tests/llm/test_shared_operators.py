@@ -272,6 +272,15 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert pii.replace_entities(docs.limit(0)).count() == 0
 
 
+def test_each_type_is_found_in_a_text_without_digits(spark):
+    values = ["password: correcthorsebattery", "API_KEY = 'abcdefghijklmnop'", "Bearer: ABCDEFGHIJKLMNOP", "ghp_" + "aBcDeFgH" * 5,
+              "sk-" + "abcdefghij" * 3, "AKIA" + "ABCDEFGH" * 2, "ann@example.org", "see _Mrs. Lindt"]
+    docs = spark.createDataFrame([(i, f"a {v} b") for i, v in enumerate(values)], "doc_id bigint, text string")
+    for r in pii.replace_entities(docs).collect():
+        gone = re.split("[:= ']+", values[r.doc_id].strip("'"))[-1]
+        assert r.n_replaced == 1 and gone not in r.text
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     found = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, canonical string")
     rows = pii.assign(found.withColumn("kind", F.lit("ssn")), "k").collect()  # three digits leave 1000 surrogates, 300 taken

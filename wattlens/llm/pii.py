@@ -6,7 +6,7 @@ script and case, digits stay digits, separators, country codes, issuers' first d
 the gender of titled names are kept. Surrogates that meet another surrogate or any real entity are drawn again, so distinct
 entities stay distinct and equal ones stay equal across all documents.
 
-Everything is DataFrame operations; only texts with a digit, an at sign or a title are looked at closely or moved.
+Everything is DataFrame operations; only texts with a digit, an at sign, a title or the beginning of a secret are looked at closely or moved.
 """
 from __future__ import annotations
 
@@ -18,11 +18,12 @@ from wattlens.plans.staging import stage
 KEY = "surrogates-1"
 #: fixed values: titles that tell the gender of a name
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sir", "Mrs|Ms|Miss|Frau|Madame|Señora|Madam"
+SECRET_WORDS = r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|bearer)"
 _END = r"(?![\p{L}\p{N}])"
 _START = r"(?<![\p{L}\p{N}])"
 TYPES = {  # in the order in which they are tried at a place; each begins with what rules most places out at little cost
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?){1,8}",
-    "secret": r"(?<=[\"'=:\s])(?=[A-Za-z0-9+/_\-]{12})(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+    "secret": r"(?<=[\"'=:\s])(?=[A-Za-z0-9+/_\-]{12})(?<=" + SECRET_WORDS + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
               r"[A-Za-z0-9+/_\-]{12,512}={0,2}"
               r"|(?=[Ags])" + _START + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_\-]{20,255})" + _END,
     "ip": r"(?=[0-9])(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
@@ -34,7 +35,9 @@ TYPES = {  # in the order in which they are tried at a place; each begins with w
 }
 TITLED = rf"\A((?:{MALE}|{FEMALE})\.?\s{{1,3}})(.*)\z"
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
-GATE = rf"[0-9@]|(?=[FHMS])\b(?:{MALE}|{FEMALE})\.?\s"
+# implied by every alternative of PATTERN
+GATE = (rf"[0-9@]|(?=[FHMS]){_START}(?:{MALE}|{FEMALE})\.?\s|(?=[Ags]){_START}(?:AKIA|gh[pousr]_|sk-)"
+        rf"|(?=[AaBbPpSsTt]){SECRET_WORDS}[\"']?\s{{0,3}}[=:]")
 _PAIRS = 128
 LATIN, CYRILLIC, GREEK = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 NAME_PARTS = ["bar", "del", "mon", "tal", "rin", "vos", "ker", "lan"]
