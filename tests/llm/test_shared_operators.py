@@ -288,6 +288,23 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert not {r.surrogate for r in rows} & {r.canonical for r in rows}
 
 
+def test_rounds_end_for_entities_with_hardly_another_shape(spark, monkeypatch):
+    draw, last = pii.with_surrogates, 2 * pii.__dict__.get("ROUNDS", 8) + 4
+
+    def limited(entities_, attempt, key):
+        assert attempt <= last
+        return draw(entities_, attempt, key)
+
+    monkeypatch.setattr(pii, "with_surrogates", limited)
+    texts = ["Tel 1, Password: ______________", "token = ------------", "1: Mr. Աննա", " ".join(f"token={i}___________" for i in range(10)),
+             "_@a.org"]
+    out = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.n_replaced for r in out] == [0, 0, 1, 10, 1] and [r.text for r in out[:2]] == texts[:2]
+    assert re.fullmatch("1: Mr\\. [Ա-Ֆ][ա-ֆ]+", out[2].text) and out[2].text != texts[2]
+    found = re.findall(r"token=(\S+)", out[3].text)
+    assert len(set(found)) == 10 and not set(found) & set(re.findall(r"token=(\S+)", texts[3])) and out[4].text != texts[4]
+
+
 def test_given_documents_lose_their_personal_data(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     before = {r.doc_id: r.text for r in docs.collect()}

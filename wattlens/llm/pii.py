@@ -24,7 +24,7 @@ _START = r"(?<![\p{L}\p{N}])"
 TYPES = {  # in the order in which they are tried at a place; each begins with what rules most places out at little cost
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?){1,8}",
     "secret": r"(?<=[\"'=:\s])(?=[A-Za-z0-9+/_\-]{12})(?<=" + SECRET_WORDS + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
-              r"[A-Za-z0-9+/_\-]{12,512}={0,2}"
+              r"(?=[+/_\-]*[A-Za-z0-9])[A-Za-z0-9+/_\-]{12,512}={0,2}"
               r"|(?=[Ags])" + _START + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_\-]{20,255})" + _END,
     "ip": r"(?=[0-9])(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "ssn": r"(?=[0-9])(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
@@ -39,7 +39,16 @@ PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 GATE = (rf"[0-9@]|(?=[FHMS]){_START}(?:{MALE}|{FEMALE})\.?\s|(?=[Ags]){_START}(?:AKIA|gh[pousr]_|sk-)"
         rf"|(?=[AaBbPpSsTt]){SECRET_WORDS}[\"']?\s{{0,3}}[=:]")
 _PAIRS = 128
-LATIN, CYRILLIC, GREEK = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+ROUNDS = 8  # attempts in one length
+LATIN = "abcdefghijklmnopqrstuvwxyz"  # also for letters of scripts that are not listed
+SCRIPTS = {"Latin": LATIN, "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+           "Armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ", "Georgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+           "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+           "Devanagari": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "Thai": "กขคงจฉชซญฐณดตถทธนบปผฝพฟภมยรลวศสหอฮ",
+           "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+           "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+           "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후",
+           "Han": "一丁七三上下中丸主久乙九二五人今介仁元光全公六兵典冬千升南友口古司合吉同名向周和品四回土在地坂城夏夕大天"}
 NAME_PARTS = ["bar", "del", "mon", "tal", "rin", "vos", "ker", "lan"]
 MALE_NAMES = ["Adrian", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karel", "Leon",
               "Martin", "Niklas", "Oscar", "Paul"]
@@ -102,14 +111,18 @@ def _pick(letters: str, number: Column) -> Column:
 def shaped(text: Column, stream: Column) -> Column:
     """Keyed characters in place of a text's: of the same class, case and script; signs stay."""
     hexa = text.rlike(r"\A[0-9a-f]+\z") & text.rlike("[a-f]")
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F
-        .when(hexa, _pick("0123456789abcdef", _value(stream, i, 16)))
-        .when(c.rlike("[0-9]"), _value(stream, i, 10).cast("string"))
-        .when(c.rlike("[a-z]"), _pick(LATIN, _value(stream, i, 26)))
-        .when(c.rlike("[A-Z]"), F.upper(_pick(LATIN, _value(stream, i, 26))))
-        .when(c.rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, _value(stream, i, len(CYRILLIC))))
-        .when(c.rlike(r"\p{IsGreek}"), _pick(GREEK, _value(stream, i, len(GREEK))))
-        .when(c.rlike(r"\p{IsLatin}"), _pick(LATIN, _value(stream, i, 26))).otherwise(c)), "")
+
+    def drawn(c: Column, i: Column) -> Column:
+        out = (F.when(hexa, _pick("0123456789abcdef", _value(stream, i, 16)))
+               .when(c.rlike("[0-9]"), _value(stream, i, 10).cast("string"))
+               .when(c.rlike("[a-z]"), _pick(LATIN, _value(stream, i, 26)))
+               .when(c.rlike("[A-Z]"), F.upper(_pick(LATIN, _value(stream, i, 26))))
+               .when(~c.rlike(r"[\p{L}\p{M}\p{N}]"), c))
+        for script, letters in SCRIPTS.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), _pick(letters, _value(stream, i, len(letters))))
+        return out.otherwise(_pick(LATIN, _value(stream, i, 26)))
+
+    return F.array_join(F.transform(F.split(text, ""), drawn), "")
 
 
 def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
@@ -117,8 +130,10 @@ def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
 
     A canonical form has one or two parts that are shaped: a mail's local part and domain, a name's first and family name,
     otherwise all of it. The second part's digest depends on that part alone, so people of one domain stay together
-    and a family keeps its surrogate whoever bears it.
+    and a family keeps its surrogate whoever bears it. Every ROUNDS attempts the surrogate gets a character longer, so that
+    there always is a free one, however few have the entity's shape.
     """
+    longer = attempt // ROUNDS
     kind, canonical = F.col("kind"), F.col("canonical")
 
     def digest(*parts) -> Column:
@@ -133,7 +148,9 @@ def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
     parts = entities_.withColumns({"_main": main, "_second": second, "_stream": digest(F.lit(str(attempt)), kind, canonical)})
     again = F.when(kind == "name", F.lit(str(attempt))).otherwise("")
     parts = parts.withColumn("_stream2", digest(again, kind, F.col("_second")))
-    parts = parts.withColumns({"_a": shaped(F.col("_main"), F.col("_stream")), "_b": shaped(F.col("_second"), F.col("_stream2"))})
+    grown = F.when(kind == "name", F.col("_main")).otherwise(F.concat("_main", F.lit("0" * longer)))
+    grown2 = F.when(kind == "name", F.concat("_second", F.repeat(F.left("_second", F.lit(1)), F.lit(longer)))).otherwise(F.col("_second"))
+    parts = parts.withColumns({"_a": shaped(grown, F.col("_stream")), "_b": shaped(grown2, F.col("_stream2"))})
     stream, a, b = F.col("_stream"), F.col("_a"), F.col("_b")
 
     def number(i: int, below: int) -> Column:
@@ -147,12 +164,12 @@ def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
     without_check = F.concat(F.left(canonical, F.lit(1)), F.substring(a, F.lit(2), F.length(a) - 2))
     card = F.concat(without_check, F.pmod(-_luhn_sum(without_check, 0), F.lit(10)).cast("string"))
     local = canonical.rlike(r"\A(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
-    ip = F.concat_ws(".", F.when(local, "10").otherwise((11 + number(0, 100)).cast("string")),
-                     *[(1 + number(i, 254)).cast("string") for i in (1, 2, 3)])
+    ip = F.concat_ws(".", F.when(local & F.lit(not longer), "10").otherwise((11 + number(0, 100)).cast("string")),
+                     *[(1 + number(i, 254)).cast("string") for i in range(1, 3 + max(1, longer))])
     # first names are of the gender, and longer the more often they were drawn
     first = F.concat(F.when(canonical.startswith("f:"), choice(FEMALE_NAMES, 0)).otherwise(choice(MALE_NAMES, 0)),
                      *[choice(NAME_PARTS, i + 1) for i in range(attempt // 4)])
-    first = F.when(canonical.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"), a).otherwise(F.lower(first))
+    first = F.when(canonical.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), a).otherwise(F.lower(first))
     name = F.concat(F.left(canonical, F.lit(2)), F.when(canonical.contains(" "), F.concat(first, F.lit(" "))).otherwise(""), b)
     surrogate = (F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
                  .when(kind == "name", name).otherwise(a))
@@ -163,7 +180,7 @@ def assign(found: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, surrogate) for every distinct entity; no surrogate is another's or a real entity of its type.
 
     Of entities that draw the same surrogate the smallest keeps it, the others draw again; so do those that draw a real entity
-    or a surrogate that is taken. One round is the rule; rounds go on until all are settled.
+    or a surrogate that is taken. One round is the rule; rounds go on until all are settled, which later attempts' longer surrogates make sure of.
     """
     real = stage(found.select("kind", "canonical").distinct(), "entities")
     left, settled, attempt = real, None, 0
@@ -182,17 +199,19 @@ def assign(found: DataFrame, key: str) -> DataFrame:
         left = stage(left, "entities")
 
 
-def rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the spelling of the match: its separators, prefix, title and case."""
+def rendered(raw: Column, kind: Column, canonical: Column, surrogate: Column) -> Column:
+    """The surrogate in the spelling of the match: its separators, prefix, title and case. What it is longer follows at the end."""
     name = F.concat(F.regexp_extract(raw, TITLED, 1), F.initcap(F.substring_index(surrogate, ":", -1)))
     letters = F.array_join(F.zip_with(F.split(raw, ""), F.split(surrogate, ""), lambda a, b: F.when(
         (a == F.upper(a)) & (a != F.lower(a)), F.upper(b)).otherwise(b)), "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
+    placed = F.left(surrogate, F.length(canonical))
     digits = F.aggregate(F.reverse(F.split(raw, "")), start, lambda s, c: F.when(
-        c.rlike("[0-9]") & (s["used"] < F.length(surrogate)),
-        F.struct(F.concat(F.substring(surrogate, F.length(surrogate) - s["used"], F.lit(1)), s["out"]).alias("out"),
+        c.rlike("[0-9]") & (s["used"] < F.length(placed)),
+        F.struct(F.concat(F.substring(placed, F.length(placed) - s["used"], F.lit(1)), s["out"]).alias("out"),
                  (s["used"] + 1).alias("used")))
         .otherwise(F.struct(F.concat(c, s["out"]).alias("out"), s["used"].alias("used"))), lambda s: s["out"])
+    digits = F.concat(digits, F.substring(surrogate, F.length(canonical) + 1, F.length(surrogate)))
     return (F.when(surrogate.isNull(), raw).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "ip", surrogate)
             .when(kind == "name", name).when(raw == F.upper(raw), F.upper(surrogate)).otherwise(letters))
 
@@ -221,7 +240,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
 
     def new_text(e: Column, i: Column) -> Column:
         surrogate = F.when(e["kind"].isNotNull(), F.element_at("_map", F.concat_ws("\u0001", e["kind"], e["canonical"])))
-        return F.concat(rendered(e["raw"], e["kind"], surrogate), F.element_at("_between", i + 2))
+        return F.concat(rendered(e["raw"], e["kind"], e["canonical"], surrogate), F.element_at("_between", i + 2))
 
     written = hit.withColumn("_between", F.when(F.col("_map").isNotNull(), between)).withColumn(
         text_col, F.when(F.col("_map").isNotNull() & (number > 0), F.concat(
