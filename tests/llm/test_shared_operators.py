@@ -305,6 +305,21 @@ def test_rounds_end_for_entities_with_hardly_another_shape(spark, monkeypatch):
     assert len(set(found)) == 10 and not set(found) & set(re.findall(r"token=(\S+)", texts[3])) and out[4].text != texts[4]
 
 
+def test_whole_cards_secrets_and_mails_are_replaced(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    long, jwt = "aB3" * 400, "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSMeK"
+    cases = [(f"{card} 12/27", card, 1), (f"{spaced} 123", spaced, 1), (f"No 12 {card}", card, 1), (f"{card} {card}", card, 2),
+             ("2024 123-45-6789", "123-45-6789", 1), ("no 4532015112830367 here", None, 0), (f"token={long} x", long[-600:], 1),
+             (f"token: {jwt}. End", jwt[-12:], 1), (f"password: {'x' * 12}. End", "x" * 12, 1), ("password: 1234567890123456", "1234567890123456", 1),
+             ("a علي@x.org b", "علي", 1), ("a 王小明@x.org b", "王小明", 1), ("a रवि@x.org b", "रवि", 1), ("a דוד@x.org b", "דוד", 1)]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id bigint, text string")
+    out = {r.doc_id: r for r in pii.replace_entities(docs).collect()}
+    for i, (text, gone, number) in enumerate(cases):
+        assert (out[i].n_replaced, gone is None or gone not in out[i].text) == (number, True), (text, out[i].text)
+    assert out[0].text.endswith(" 12/27") and out[5].text == cases[5][0] and out[2].text[6:] == out[0].text[:16] and luhn(out[0].text[:16])
+    assert out[1].text[:19].replace(" ", "") == out[0].text[:16] and out[7].text.endswith(". End")
+
+
 def test_given_documents_lose_their_personal_data(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     before = {r.doc_id: r.text for r in docs.collect()}

@@ -21,20 +21,24 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sir", "Mrs|Ms|Miss|Frau|Madame|Señora|M
 SECRET_WORDS = r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|bearer)"
 _END = r"(?![\p{L}\p{N}])"
 _START = r"(?<![\p{L}\p{N}])"
+_SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"
+# digits that a card may have between separators: no beginning of another number, no part of a word or a decimal number
+_GROUP = rf"(?!{_SSN}|[0-9]{{3}}[.\-][0-9]{{3}}[ .\-][0-9]{{4}}{_END})[0-9]{{1,19}}+(?![\p{{L}}\p{{N}}]|\.[0-9])"
 TYPES = {  # in the order in which they are tried at a place; each begins with what rules most places out at little cost
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?){1,8}",
-    "secret": r"(?<=[\"'=:\s])(?=[A-Za-z0-9+/_\-]{12})(?<=" + SECRET_WORDS + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
-              r"(?=[+/_\-]*[A-Za-z0-9])[A-Za-z0-9+/_\-]{12,512}={0,2}"
-              r"|(?=[Ags])" + _START + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_\-]{20,255})" + _END,
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}[A-Za-z0-9])?){1,8}",
+    "secret": r"(?<=[\"'=:\s])(?=[A-Za-z0-9+/_\-.]{12})(?<=" + SECRET_WORDS + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+              r"(?=[+/_\-.]*[A-Za-z0-9])[A-Za-z0-9+/_\-.]{12,}(?<!\.)={0,2}"
+              r"|(?=[Ags])" + _START + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,})" + _END,
     "ip": r"(?=[0-9])(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
-    "ssn": r"(?=[0-9])(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
+    "ssn": r"(?=[0-9])" + _SSN,
     "phone": r"(?=[+(0-9])(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[ .\-][0-9]{4}" + _END
              + r"|(?=\+)(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}" + _END,
-    "card": r"(?=[0-9])(?<![\p{L}\p{N}.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}]|[.\-][0-9])",
+    # a run of digits that may hold cards
+    "card": rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.\-])(?=(?={_GROUP})[0-9](?:[0-9]|[ \-](?={_GROUP})[0-9]){{12}}){_GROUP}(?:[ \-]{_GROUP})*+",
     "name": r"(?=[FHMS])" + _START + rf"(?:{MALE}|{FEMALE})\.?\s{{1,3}}\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?" + _END,
 }
 TITLED = rf"\A((?:{MALE}|{FEMALE})\.?\s{{1,3}})(.*)\z"
-PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
+PATTERN = "|".join(f"({p})" if t == "card" else f"(?:{p})" for t, p in TYPES.items())  # its one group: a run of digits
 # implied by every alternative of PATTERN
 GATE = (rf"[0-9@]|(?=[FHMS]){_START}(?:{MALE}|{FEMALE})\.?\s|(?=[Ags]){_START}(?:AKIA|gh[pousr]_|sk-)"
         rf"|(?=[AaBbPpSsTt]){SECRET_WORDS}[\"']?\s{{0,3}}[=:]")
@@ -68,16 +72,60 @@ def _luhn_sum(digits: Column, doubled_first: int) -> Column:
 
 
 def kind_of(match: Column) -> Column:
-    """Type of a match of PATTERN; null if it fails the type's check."""
+    """Type of a match of PATTERN that is no run of digits."""
     whole = {t: match.rlike(rf"\A(?:{p})\z") for t, p in TYPES.items() if t in ("email", "ip", "ssn", "phone")}
-    digits = _digits(match)
-    card = match.rlike(r"\A[0-9](?:[ \-]?[0-9]){12,18}\z")
-    valid = (_luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike(r"\A(.)\1*\z")
     name = match.rlike(rf"\A(?:{MALE}|{FEMALE})\.?\s")
     out = F.when(whole["email"], "email")
     for t in ("ip", "ssn", "phone"):
         out = out.when(whole[t], t)
-    return out.when(card & valid, "card").when(card, None).when(name, "name").otherwise("secret")
+    return out.when(name, "name").otherwise("secret")
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+CARD_LENGTHS = [16, 15, 14, 13, 19, 18, 17]  # of cards that overlap, the one of the earlier length
+_WINDOW = "struct<rank:bigint,first:int,size:int>"
+
+
+def card_pieces(run: Column) -> Column:
+    """A run of digits cut into structs of raw and kind: the cards in it, and what is between them (kind null).
+
+    A card is one or more whole groups of the run with 13 to 19 digits in all, not all the same, and a valid check digit.
+    """
+    def windows(groups: Column) -> Column:
+        def best(_: Column, i: Column) -> Column:
+            sizes = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i))
+            tried = F.transform(sizes, lambda k: F.struct(k.alias("size"), _digits(F.array_join(F.slice(groups, i + 1, k), "")).alias("digits")))
+            fit = F.filter(F.filter(tried, lambda w: F.length(w["digits"]).between(13, 19)), lambda w: (
+                _luhn_sum(w["digits"], 1) % 10 == 0) & ~w["digits"].rlike(r"\A(.)\1*\z"))
+            lengths = F.array(*map(F.lit, CARD_LENGTHS))
+            return F.array_min(F.transform(fit, lambda w: F.struct(F.array_position(lengths, F.length(w["digits"])).alias("rank"),
+                                                                   i.alias("first"), w["size"].alias("size"))))
+
+        start = F.struct(F.array().cast(f"array<{_WINDOW}>").alias("done"), F.lit(None).cast(_WINDOW).alias("last"))
+        return F.aggregate(F.filter(F.transform(groups, best), lambda w: w.isNotNull()), start, lambda s, w: F
+                           .when(s["last"].isNull(), F.struct(s["done"].alias("done"), w.alias("last")))
+                           .when(w["first"] >= s["last"]["first"] + s["last"]["size"],
+                                 F.struct(F.concat(s["done"], F.array(s["last"])).alias("done"), w.alias("last")))
+                           .when(w["rank"] < s["last"]["rank"], F.struct(s["done"].alias("done"), w.alias("last"))).otherwise(s),
+                           lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
+
+    def cut(groups: Column, chosen: Column) -> Column:
+        def piece(first: Column, size: Column, kind: str | None) -> Column:
+            return F.struct(F.array_join(F.slice(groups, first + 1, size), "").alias("raw"), F.lit(kind).cast("string").alias("kind"))
+
+        def end(j: Column) -> Column:  # of the card before the j-th
+            return F.when(j > 0, F.get(chosen, j - 1)["first"] + F.get(chosen, j - 1)["size"]).otherwise(0)
+
+        cards = F.flatten(F.transform(chosen, lambda w, j: F.array(piece(end(j), w["first"] - end(j), None),
+                                                                   piece(w["first"], w["size"], "card"))))
+        return F.concat(cards, F.array(piece(end(F.size(chosen)), F.size(groups) - end(F.size(chosen)), None)))
+
+    groups_ = F.regexp_extract_all(run, F.lit(r"[0-9]+[ \-]?"), F.lit(0))
+    return _let(groups_, lambda groups: _let(windows(groups), lambda chosen: cut(groups, chosen)))
 
 
 def canonical_of(kind: Column, match: Column) -> Column:
@@ -91,11 +139,18 @@ def canonical_of(kind: Column, match: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """The matches in a text in order: structs of raw, kind (null: stays as it is), canonical."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    kinds = F.transform(matches, lambda m: F.struct(m.alias("raw"), kind_of(m).alias("kind")))
-    return F.transform(kinds, lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"),
-                                                 canonical_of(e["kind"], e["raw"]).alias("canonical")))
+    """The matches in a text in order: structs of raw, kind (null: stays as it is), canonical, and the number of the match that
+    ends with it (null: the next one is of the same match)."""
+    def pieces(matches: Column) -> Column:
+        digits = F.exists(matches, lambda m: m.rlike(r"\A[0-9]++(?:[ \-][0-9]++)*+\z"))
+        runs = F.when(digits, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))).otherwise(F.transform(matches, lambda m: F.lit("")))
+        cut = F.zip_with(matches, runs, lambda m, run: F.when(run != "", card_pieces(run)).otherwise(
+            F.array(F.struct(m.alias("raw"), kind_of(m).alias("kind")))))
+        return F.flatten(F.transform(cut, lambda parts, i: F.transform(parts, lambda e, j: F.struct(
+            e["raw"].alias("raw"), e["kind"].alias("kind"), canonical_of(e["kind"], e["raw"]).alias("canonical"),
+            F.when(j == F.size(parts) - 1, i).alias("match")))))
+
+    return _let(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), pieces)
 
 
 def _value(stream: Column, index: Column, below: Column | int) -> Column:
@@ -220,7 +275,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     """`docs` with all entities in the text column replaced, and `n_replaced`, how many.
 
     Texts without entities, null and empty texts stay as they are with 0. Digit strings that only look like card numbers (no
-    valid check digit) stay. Equal texts and repeated rows get equal results; other columns are kept, one called
+    valid check digit) stay; in a run of digits every row of whole groups is tried. Equal texts and repeated rows get equal results; other columns are kept, one called
     n_replaced is replaced. The same key gives the same surrogates for the same corpus; an empty table stays empty.
     """
     docs = docs.drop("n_replaced")
@@ -238,9 +293,9 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     between = F.split(text, PATTERN, -1)
     number = F.size("_found")
 
-    def new_text(e: Column, i: Column) -> Column:
+    def new_text(e: Column) -> Column:
         surrogate = F.when(e["kind"].isNotNull(), F.element_at("_map", F.concat_ws("\u0001", e["kind"], e["canonical"])))
-        return F.concat(rendered(e["raw"], e["kind"], e["canonical"], surrogate), F.element_at("_between", i + 2))
+        return F.concat(rendered(e["raw"], e["kind"], e["canonical"], surrogate), F.when(e["match"].isNotNull(), F.get(F.col("_between"), e["match"] + 1)).otherwise(""))
 
     written = hit.withColumn("_between", F.when(F.col("_map").isNotNull(), between)).withColumn(
         text_col, F.when(F.col("_map").isNotNull() & (number > 0), F.concat(
