@@ -218,6 +218,20 @@ def test_page_text(spark):
     assert rows[2].text == "" and rows[3].n_chars == 0 and rows[4].text == "plain text" and rows[5].text == "deep"
 
 
+@pytest.mark.parametrize("wrapper", ['div class="page has-sidebar"', 'div class="no-sidebar"', 'div class="menu"', "form action=x", 'div data-id="menu"'])
+def test_names_of_wrappers_and_headings_lose_no_text(wrapper):
+    text = "One sentence of an article that goes on for a while. " * 4
+    page = (f'<body><{wrapper}><div class="post-header"><p>{text}</p></div><h2 id="related-work">Work</h2><h2 id="notice">Note</h2>'
+            f'<section id="social-networks"><p>{text}</p></section><div class="sidebar"><p>side</p></div><form><p>f</p></form>'
+            f'</{wrapper.split()[0]}></body>')
+    assert html_text.main_text(page).split("\n") == [text.strip(), "Work", "Note", text.strip()]
+
+
+def test_comments_longer_than_the_article_are_dropped():
+    page = f'<body><article><p>Short text.</p></article><section class="comments"><p>{"a reader says " * 50}</p></section></body>'
+    assert html_text.main_text(page) == "Short text."
+
+
 def test_given_pages_give_their_articles(spark):
     import html
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():

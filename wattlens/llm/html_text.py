@@ -4,7 +4,8 @@ Every element has a density: its characters per tag, adjusted by how many of the
 The element whose children's densities add up to most is the centre of the main text. The smallest density on the path from
 the body to it is the threshold: what hangs off the path with a lower density is dropped, all below the centre stays. A centre
 inside an article or main element stands for all of that element.
-Parts that are not the article by their element or class (menus, forms, adverts, reader comments) never count as text.
+Parts that are not the article by their element, a whole class or their id (menus, forms, adverts, reader comments) never
+count as text, unless a form or such a name is around most of the page's text.
 """
 from __future__ import annotations
 
@@ -21,15 +22,16 @@ RAW = "script|style|textarea|title|noscript|iframe|template|svg|xmp"
 TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"""
                    r"""|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
                    re.S | re.I)
-NAME = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
              "strike strong sub sup time tt u var wbr".split())
-NOT_ARTICLE = set("nav footer aside form button select option menu dialog object audio video canvas head".split())
+NOT_ARTICLE = set("nav footer aside button select option menu dialog object audio video canvas head".split())
 NOT_ARTICLE_NAMES = set("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
                         "disclaimer footer header login masthead menu nav navbar navigation newsletter notice notices pagination "
                         "popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored "
                         "subscribe toolbar widget".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dd": {"dd", "dt"},
           "dt": {"dd", "dt"}, "option": {"option"}}
 CLOSES |= dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol "
@@ -37,10 +39,10 @@ CLOSES |= dict.fromkeys("address article aside blockquote div dl fieldset footer
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "dropped", "named", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, dropped: bool, parent: "Element | None"):
-        self.tag, self.dropped, self.parent, self.parts = tag, dropped, parent, []
+    def __init__(self, tag: str, dropped: bool, named: bool, parent: "Element | None"):
+        self.tag, self.dropped, self.named, self.parent, self.parts = tag, dropped, named, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
@@ -48,24 +50,29 @@ class Element:
         return (x for x in self.parts if isinstance(x, Element))
 
 
-def _boilerplate(tag: str, attributes: str, parent: Element) -> bool:
-    if tag in NOT_ARTICLE:
-        return True
+def _boilerplate(tag: str, parent: Element) -> bool:
     if tag == "header":  # a page's header; the one of an article has its title
         while parent:
             if parent.tag in ("article", "main"):
                 return False
             parent = parent.parent
         return True
-    if tag in ("body", "html", "article", "main") or "=" not in attributes:
+    return tag in NOT_ARTICLE
+
+
+def _named(tag: str, attributes: str) -> bool:
+    """A form, or an element that a whole class, its id or its role calls boilerplate."""
+    if tag == "form":
+        return True
+    if tag in HEADINGS or tag in ("body", "html", "article", "main") or "=" not in attributes:
         return False
-    words = {w for m in NAME.finditer(attributes) for w in re.split(r"[^a-z]+", "".join(filter(None, m.groups())).lower())}
-    return bool(words & NOT_ARTICLE_NAMES)
+    values = ((m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in ATTRIBUTE.finditer(attributes))
+    return any(name in ("class", "id", "role") and not NOT_ARTICLE_NAMES.isdisjoint(value.split()) for name, value in values)
 
 
 def parse(page: str) -> Element:
     """The page's elements as a tree; unclosed and misplaced tags are closed as browsers do in the common cases."""
-    root = node = Element("html", False, None)
+    root = node = Element("html", False, False, None)
     done = 0
     for m in TOKEN.finditer(page):
         if m.start() > done:
@@ -88,7 +95,7 @@ def parse(page: str) -> Element:
                 at = at.parent
             if at and at.tag in ends and at.parent:
                 node = at.parent
-        child = Element(tag, node.dropped or _boilerplate(tag, m[4] or "", node), node)
+        child = Element(tag, node.dropped or _boilerplate(tag, node), _named(tag, m[4] or ""), node)
         node.parts.append(child)
         if tag not in VOID and not (m[4] or "").endswith("/"):
             node = child
@@ -128,6 +135,22 @@ def measure(nodes: list[Element]) -> None:
             n.density = n.chars / max(1, n.tags) * math.log(max(value, 1.0)) / math.log(max(base, 1.0 + 1e-9))
 
 
+def drop_named(nodes: list[Element]) -> None:
+    """Drop forms and elements with a name of boilerplate, and all below them, unless they are a wrapper of the page: they hold
+    most of the body's text, and the marked article if there is one."""
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    marked, around = False, set()
+    for n in nodes:
+        if n.tag in ("article", "main") and n.chars:
+            marked, at = True, n.parent
+            while at and id(at) not in around:
+                around.add(id(at))
+                at = at.parent
+    for n in nodes:  # parents come first
+        wrapper = 2 * n.chars > body.chars and (not marked or id(n) in around)
+        n.dropped = n.dropped or bool(n.parent and n.parent.dropped) or (n.named and not wrapper)
+
+
 def _blocks(parts: list, chosen, blocks: list[list[str]]) -> None:
     """Texts of the chosen elements, a list per block, in page order."""
     stack = [iter(parts)]
@@ -152,6 +175,7 @@ def _blocks(parts: list, chosen, blocks: list[list[str]]) -> None:
 def main_text(page: str) -> str:
     nodes = _preorder(parse(page))
     measure(nodes)
+    drop_named(nodes)
     kept = [n for n in nodes if not n.dropped]
     centre = max(kept, key=lambda n: sum(c.density for c in n.children() if not c.dropped and c.tag not in INLINE)
                  or (n.density if n.tag not in INLINE else 0.0))
