@@ -1,7 +1,8 @@
 """Queries of the llm operators over the given tables, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from wattlens.llm import hnsw, html_text, language, mixing, packing, pii, quality, sharding, shingle_join, tokens
+from wattlens.llm import (hnsw, html_text, language, merkle, mixing, packing, pii, quality, sharding, shingle_join,
+                          tokens)
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
@@ -14,5 +15,6 @@ QUERIES = {
     "op8_soft_mixing": mixing.op8_soft_mixing,
     "op9_mcd_quality": quality.op9_mcd_quality,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_merkle_manifest": merkle.OP12_SQL}
