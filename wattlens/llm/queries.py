@@ -1,8 +1,8 @@
 """Queries of the llm operators over the given tables, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from wattlens.llm import (hnsw, html_text, language, licenses, merkle, mixing, packing, pii, quality, sharding,
-                          shingle_join, tokens)
+from wattlens.llm import (hnsw, html_text, language, licenses, merkle, mixing, packing, periodic_runs, pii,
+                          quality, sharding, shingle_join, tokens)
 
 QUERIES = {
     "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_soft_mixing": mixing.op8_soft_mixing,
     "op9_mcd_quality": quality.op9_mcd_quality,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_scale_tiled_runs": periodic_runs.op11_scale_tiled_runs,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_diagonal_licenses": licenses.op13_diagonal_licenses,
 }
