@@ -18,7 +18,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -266,7 +265,7 @@ def solve(rows: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(p).hexdigest() if r else None for p, r in zip(plain, rest)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()),
-                     pc.if_else(pa.array(rest), pa.scalar(None, pa.string()), part.column(2)),
+                     part.column(2).take(pa.array(np.arange(len(size)), mask=rest)),
                      pa.array(lists.to_pylist(), lists.type, mask=long) if long.any() else lists,
                      pa.nulls(len(size), piece_type)], names=schema.names)
                 for i in np.flatnonzero(long):
