@@ -973,3 +973,17 @@ SELECT COUNT(*) AS customers, COUNT(*) FILTER (WHERE risk_level IN ('High', 'Cri
        {r('ROUND(COALESCE(SUM(estimated_loss_all_30d), 0), 0)')} AS loss, (SELECT customer_id FROM c_all ORDER BY risk_score DESC, customer_id LIMIT 1) AS first_customer,
        (SELECT area_id FROM a_all ORDER BY area_risk_score DESC, area_id LIMIT 1) AS first_area, (SELECT LEAST(COUNT(*), 15) FROM q_all) AS queue_rows,
        (SELECT {r('ROUND(SUM(predicted_loss_all), 0)')} FROM fs_table) AS forecast FROM c_all""")
+
+# ---------------------------------------------------------------- deliveries, and results that are read back
+oracle_sql("src_1", """
+SELECT CASE WHEN event_id % 17 = 0 THEN 'skipped' WHEN event_id % 13 = 0 THEN 'repaired' ELSE 'row' END AS fate,
+       CASE WHEN event_id % 17 <> 0 THEN CAST(event_id AS VARCHAR) END AS event_id,
+       CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 13 = 0 THEN event_type WHEN event_id % 11 = 0 THEN event_type || CHR(10) || 'line two'
+            WHEN event_id % 7 = 0 THEN 'say "' || event_type || '", twice' ELSE event_type END AS event_type,
+       CASE WHEN event_id % 17 <> 0 THEN CAST(user_id AS VARCHAR) END AS user_id FROM events""")
+oracle_sql("cln_18", f"SELECT customer_id, date, {r('COALESCE(kwh, (SELECT MEDIAN(kwh) FROM e_vf), 0)')} AS consumption_kwh FROM e_vf")
+oracle("src_6", "date, city, ~temp_mean", "FROM w")
+oracle_sql("snk_3", "SELECT COUNT(*) AS records, 0::BIGINT AS repaired_records, 0::BIGINT AS skipped_records, 'long' AS schema_type, 'customer_id' AS customer_col FROM events")
+oracle("ops_29", "priority_rank::VARCHAR AS priority_rank, customer_id, risk_level, main_reason", "FROM q_all")
+for name, same in (("snk_1", "inspection_priority"), ("src_8", "area_risk"), ("snk_2", "area_forecast")):
+    ORACLE[name] = ORACLE[same]

@@ -17,7 +17,8 @@ def ingest(spark: SparkSession, path: str, folder: str | None = None, max_custom
     The delivered file is parsed once into a staged table; profile, detection and cleaning read its columns. `mapping`
     names the columns by hand (see `reshape.apply_mapping`) in place of the detection.
     """
-    raw = stage(readers.clean_headers(readers.read_table(spark, path)), "raw")
+    table, counts = readers.read_delivery(spark, path)
+    raw, scan = readers.clean_headers(table), counts.select(F.struct("*")).scalar()
     profile = detect.profile_table(raw).select(F.struct("*").alias("raw_profile")).scalar()
     ordered = reshape.in_file_order(raw)
     if mapping:
@@ -31,7 +32,7 @@ def ingest(spark: SparkSession, path: str, folder: str | None = None, max_custom
                                                       layout.issues)
     cleaned, customers, report = clean_and_split(rows)
     report = report.withColumns({
-        "raw_profile": profile,
+        "raw_profile": profile, "scan": scan,
         "schema": F.struct(F.lit(kind).alias("schema_type"), F.lit(id_column).alias("customer_col"),
                            F.lit(label).alias("label_col"), F.lit(confidence).alias("schema_confidence"),
                            F.array(*[F.lit(i) for i in issues]).cast("array<string>").alias("issues"))})
@@ -126,7 +127,7 @@ def saved_models(folder: str) -> dict:
 def run_units(spark: SparkSession, path: str, folder: str, mapping: dict[str, str] | None = None, models_on: bool = True,
               trees: tuple[int, int] = (180, 260), seed: int = 42) -> dict[str, DataFrame]:
     """The unit analysis from a delivered file to a folder of results."""
-    raw = stage(readers.clean_headers(readers.read_table(spark, path)), "raw")
+    raw = readers.clean_headers(readers.read_delivery(spark, path)[0])
     results = units.analyze_units(raw, mapping, models_on, trees, seed)
     units.save_unit_results(results, folder)
     return results

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from wattlens import constants as K
+from wattlens.plans.staging import stage
+from wattlens.sources import records
 
 DELIMITERS = [",", ";", "\t"]
 
@@ -48,37 +50,76 @@ def detect_delimiter(header: str) -> str:
     return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
 
 
-def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Tolerant scan: delimiter and encoding are detected, lines with too many fields are skipped,
-    short lines are filled with NULL. All columns come back as text. The first line of a file is its header.
+def scan_rows(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(rows, header). A row has `cells`, a struct of texts c0, c1, ..., and its `fate`: `row`, `repaired` (a stray quote
+    was taken out of it) or `skipped` (too many fields; cells are null). Rows come in file order, blank ones are left out.
 
-    Files in which quoted values hold line breaks can't be split between tasks; they are read whole by Spark's reader.
+    Where a value runs over line breaks, or a quote is left open, records are put together from lines by
+    `records`; splits stay splits in either case.
     """
     detected, header, broken = inspect_lines(spark, path)
     encoding = encoding or detected
     if header is None:
-        return spark.createDataFrame([], T.StructType([]))
+        return spark.createDataFrame([], "cells struct<>, fate string"), []
     delimiter = detect_delimiter(header)
     names = [clean_header(n) for n in next(csv.reader([header.replace("\ufeff", "")], delimiter=delimiter))]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    columns = [f"c{i}" for i in range(len(names))]
+    cells = F.from_csv("text", ", ".join(f"{c} string" for c in columns),
+                       {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     if broken:
-        extra = T.StructType([*schema.fields, T.StructField("_more", T.StringType())])
-        rows = (spark.read.schema(extra).option("header", True).option("sep", delimiter).option("encoding", encoding)
-                .option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True)
-                .option("ignoreTrailingWhiteSpace", True).option("enforceSchema", True).csv(path))
-        return rows.filter(F.col("_more").isNull()).drop("_more").dropna(how="all").toDF(*names)
-    lines = read_lines(spark, path, encoding)
-    unquoted = F.regexp_replace("value", '"[^"]*"', "")
-    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1
-    cells = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "),
-                       {"sep": delimiter, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    rows = lines.filter(fields <= len(names)).select(cells.alias("r")).select("r.*")
-    return rows.toDF(*names)
+        lines = records.numbered_lines(spark, path, encoding)
+        borders = stage(records.settled(records.split_rows(lines, delimiter), delimiter), "records")
+        rows = records.formed(lines, borders, delimiter).filter(F.length(F.trim("text")) > 0)
+        parts = F.split("text", f"\\Q{delimiter}\\E", -1)
+        plain = F.struct(*[F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")).alias(c) for i, c in enumerate(columns)])
+        cells = F.when(F.col("repaired"), plain).otherwise(cells)
+    else:
+        unquoted = F.regexp_replace("value", '"[^"]*"', "")
+        fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit(""))) + 1
+        rows = read_lines(spark, path, encoding).select(F.col("value").alias("text"), fields.alias("fields"),
+                                                        F.lit(False).alias("repaired"))
+    fate = F.when(F.col("fields") > len(names), "skipped").when(F.col("repaired"), "repaired").otherwise("row")
+    return rows.select(F.when(F.col("fields") <= len(names), cells).alias("cells"), fate.alias("fate")), names
+
+
+def scan_counts(rows: DataFrame) -> DataFrame:
+    """One row: how many records `scan_rows` has read, repaired and skipped."""
+    return rows.agg(F.count("*").alias("records"), F.count_if(F.col("fate") == "repaired").alias("repaired_records"),
+                    F.count_if(F.col("fate") == "skipped").alias("skipped_records"))
+
+
+def scanned_table(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of the records that were not skipped."""
+    if not names:
+        return rows.sparkSession.createDataFrame([], T.StructType([]))
+    return rows.filter(F.col("fate") != "skipped").select("cells.*").toDF(*names)
+
+
+def scan_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Tolerant scan: delimiter and encoding are detected, records with too many fields are skipped, short ones are filled
+    with NULL, a line with a stray quote stands for itself. All columns come back as text. The first line of a file is
+    its header. `scan_rows` also tells what became of each record."""
+    return scanned_table(*scan_rows(spark, path, encoding))
+
+
+def is_delimited(path: str) -> bool:
+    return path.lower().endswith((".csv", ".txt", ".tsv"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """One delivered table: CSV by the tolerant scan, Parquet as it is."""
-    return scan_csv(spark, path) if path.lower().endswith((".csv", ".txt", ".tsv")) else spark.read.parquet(path)
+    return scan_csv(spark, path) if is_delimited(path) else spark.read.parquet(path)
+
+
+def read_delivery(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(stored table, counts of its records): a delivered file is parsed once."""
+    if not is_delimited(path):
+        table = stage(spark.read.parquet(path), "raw")
+        return table, table.agg(F.count("*").alias("records"), F.lit(0).cast("long").alias("repaired_records"),
+                                F.lit(0).cast("long").alias("skipped_records"))
+    rows, names = scan_rows(spark, path)
+    rows = stage(rows, "raw") if names else rows
+    return scanned_table(rows, names), scan_counts(rows)
 
 
 def read_weather(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -111,7 +152,6 @@ def generated_ids(df: DataFrame, name: str = "Generated Customer ID") -> DataFra
 
     Ids follow the scan order; only one count per input partition is combined, rows stay where they are.
     """
-    from wattlens.plans.staging import stage
     staged = stage(df.withColumn("_pos", F.monotonically_increasing_id()), "rows")
     part, bits = F.shiftright("_pos", 33), 33
     sizes = staged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
