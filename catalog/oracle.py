@@ -987,3 +987,12 @@ oracle_sql("snk_3", "SELECT COUNT(*) AS records, 0::BIGINT AS repaired_records,
 oracle("ops_29", "priority_rank::VARCHAR AS priority_rank, customer_id, risk_level, main_reason", "FROM q_all")
 for name, same in (("snk_1", "inspection_priority"), ("src_8", "area_risk"), ("snk_2", "area_forecast")):
     ORACLE[name] = ORACLE[same]
+oracle_sql("choose_id_column", """
+SELECT (SELECT "column" FROM customer_cell_stats ORDER BY unique_ratio * 2 + LEAST(avg_length / 20, 1) + letter_share - number_share * 0.25 DESC, "column" DESC LIMIT 1) AS chosen,
+       c_name AS id FROM customer""")
+oracle_sql("choose_roles", """
+SELECT 'lineitem' AS "table", c AS "column", r AS role, (SELECT COUNT(*) FROM lineitem) AS n
+FROM (VALUES ('l_orderkey', 'id'), ('l_returnflag', 'category'), ('l_shipdate', 'date'), ('odd', 'label')) x(c, r)
+UNION ALL SELECT 'lineitem', 'l_quantity', CASE WHEN COUNT(*) FILTER (WHERE l_quantity <> FLOOR(l_quantity)) > 0 THEN 'consumption' ELSE 'id' END, COUNT(*) FROM lineitem
+UNION ALL SELECT 'events', 'event_key', CASE WHEN COUNT(DISTINCT event_id) = COUNT(*) THEN 'id' ELSE 'category' END, COUNT(*) FROM events
+UNION ALL SELECT 'events', 'user_key', CASE WHEN COUNT(DISTINCT user_id) = COUNT(*) THEN 'id' ELSE 'category' END, COUNT(*) FROM events""")

@@ -73,6 +73,29 @@ def infer_roles(s, d):
     return detect.infer_roles(flags)
 
 
+@query
+def choose_id_column(s, d):
+    """The id column as a run picks it, with the rows of the column that it names."""
+    c = T.table(s, d, "customer")
+    name = detect.choose_id_column(c, c.columns)
+    return c.select(F.lit(name).alias("chosen"), F.col(name).cast("string").alias("id"))
+
+
+@query
+def choose_roles(s, d):
+    """Roles from sketches; every column of the line items and events once."""
+    items, e = T.table(s, d, "lineitem"), T.table(s, d, "events")
+    days = items.select("l_orderkey", "l_quantity", "l_returnflag", F.to_date("l_shipdate").alias("l_shipdate"),
+                        (F.col("l_linenumber") % 2).alias("odd"))
+    ids = e.select(F.concat(F.lit("E"), "event_id").alias("event_key"), F.concat(F.lit("U"), "user_id").alias("user_key"))
+    found = [{"table": t, "column": c, "role": r} for t, df in (("lineitem", days), ("events", ids))
+             for c, r in detect.choose_roles(df).items()]
+    roles = s.createDataFrame(found, "table string, column string, role string")  # one row per column
+    counts = items.agg(F.count("*").alias("n")).withColumn("table", F.lit("lineitem")).unionByName(
+        e.agg(F.count("*").alias("n")).withColumn("table", F.lit("events")))
+    return roles.join(counts, "table").select("table", "column", "role", "n")
+
+
 @query
 def profile_table(s, d):
     e = T.table(s, d, "events")
