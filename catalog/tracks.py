@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattlens.operators import daily, enrich, explain, features, risk, units
 from wattlens.operators.enrich import temperature_context
+from wattlens.plans.clustered import dealt, stored_clustered
 from wattlens.plans.staging import stored
 
 
@@ -132,7 +133,10 @@ def model_inputs(df: DataFrame) -> DataFrame:
 # A run writes its result tables once and all later questions read them. The tables below are such results:
 # built from the given tables on first use in an application, then read back.
 def daily_table(spark, folder) -> DataFrame:
-    return stored(spark, f"{folder} daily", lambda: supplier_daily(spark, folder))
+    """Clustered by customer, as a run keeps it."""
+    def build():
+        return daily.daily_context(dealt(supplier_weather(spark, folder), "customer_id"))
+    return stored_clustered(spark, f"{folder} daily", build, "customer_id", ["date"], "daily")
 
 
 def feature_table(spark, folder) -> DataFrame:

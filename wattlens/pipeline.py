@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattlens.operators import clean, daily, enrich, features, forecast, models, risk, units
+from wattlens.plans.clustered import clustered, dealt
 from wattlens.plans.staging import stage
 from wattlens.sources import detect, readers, reshape, sinks
 
@@ -73,7 +74,8 @@ def analyze(readings: DataFrame, customers: DataFrame | None = None, weather: Da
     dimension = stage(enrich.default_metadata(own if customers is None else customers), "dimension")
     located = enrich.attach_metadata(readings, dimension.select("customer_id", "city"))
     covered = stage(enrich.extend_weather(weather, located), "weather")
-    context = stage(daily.daily_context(enrich.attach_weather(located, covered)), "daily")
+    weathered = enrich.attach_weather(located, covered)
+    context = clustered(daily.daily_context(dealt(weathered, "customer_id")), "customer_id", ["date"], "daily")
     table = stage(features.customer_features(context, dimension), "features")
     if models_on:
         table = stage(models.score_models(table, trees, seed, saved, keep), "scored")
