@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattlens.plans.joins import lookup_join
-from wattlens.plans.ordering import exact_quantile, global_rank, group_quantile, group_rank, running_totals
+from wattlens.plans.ordering import global_rank, group_rank, running_totals
+from wattlens.plans.selection import exact_quantile, group_quantile
 from wattlens.plans.staging import stage, staging_root, stored
 
 

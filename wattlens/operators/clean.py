@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattlens import constants as K
 from wattlens.functions.columns import num, ratio
-from wattlens.plans.ordering import exact_quantile
+from wattlens.plans.selection import exact_quantile
 from wattlens.plans.staging import stage
 
 KEYS = ["customer_id", "date"]

@@ -8,7 +8,7 @@ from wattlens.functions.columns import at_most, clip, col_or, num, num_or, ratio
 from wattlens.operators.daily import customer, in_order
 from wattlens.operators.enrich import attach_metadata
 from wattlens.plans.joins import lookup_join
-from wattlens.plans.ordering import global_rank, group_quantile
+from wattlens.plans.selection import at_ranks, group_quantile
 from wattlens.plans.staging import stage
 
 STREAKS = {"longest_zero_streak": "zero_flag", "longest_low_streak": "low_relative_flag",
@@ -189,20 +189,16 @@ def payment_scores(df: DataFrame) -> DataFrame:
 def consumption_bands(features: DataFrame) -> DataFrame:
     """Quintile 1-5 by the mean of the first 90 readings; ties by customer id.
 
-    Only the id and the mean are sorted; the features are read three times here, so they should be a stored table.
+    Band b ends at rank 1 + b (n - 1) / 5, rounded down. Only the four customers at these ranks are looked for; the features
+    are read a few times here, so they should be a stored table.
     """
-    value = F.col("first_90_mean")
-    known = features.select("customer_id", "first_90_mean").filter(value.isNotNull())
-    n = known.agg(F.count("*")).scalar()
-    ranked = global_rank(known, ["first_90_mean", "customer_id"], "_rank")
-    band = band_of(F.col("_rank"), n)
-    return features.join(ranked.select("customer_id", band.alias("consumption_band")), "customer_id", "left")
-
-
-def band_of(rank: Column, n: Column) -> Column:
-    """Quintile of a rank among n, in whole numbers: 5 (rank - 1) / (n - 1) rounded up, at least 1."""
-    raised = F.floor((5 * (rank - 1) + n - 2) / F.greatest(n - 1, F.lit(1)))
-    return F.when(n > 1, F.greatest(F.lit(1), raised)).otherwise(1).cast("int")
+    known = features.select("customer_id", "first_90_mean")
+    ends = at_ranks(known, [], "first_90_mean", [b / 5 for b in range(1, 5)],
+                    [(b - 1, 1 + F.floor(F.lit(b) * (F.col("n") - 1) / 5)) for b in range(1, 5)], "customer_id")
+    cuts = ends.agg(F.sort_array(F.collect_list(F.struct("v", "tie"))).alias("cuts")).scalar()  # four rows
+    own = F.struct(F.col("first_90_mean").alias("v"), F.col("customer_id").alias("tie"))
+    band = sum(((cuts[i] < own).cast("int") for i in range(4)), F.lit(1))
+    return features.withColumn("consumption_band", F.when(F.col("first_90_mean").isNotNull(), band).cast("int"))
 
 
 PEERS = ["customer_type", "consumption_band"]

@@ -31,7 +31,7 @@ def off_map_count(df: DataFrame) -> DataFrame:
 
 def map_center(df: DataFrame) -> DataFrame:
     """Median position of the valid points."""
-    from wattlens.plans.ordering import group_quantile
+    from wattlens.plans.selection import group_quantile
     points = valid_geo(df)
     lat = group_quantile(points, [], "latitude", 0.5, "latitude").scalar()
     lon = group_quantile(points, [], "longitude", 0.5, "longitude")

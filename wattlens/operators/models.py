@@ -12,7 +12,7 @@ from wattlens import constants as K
 from wattlens.functions.columns import num, ratio
 from wattlens.operators import iforest, metrics
 from wattlens.plans.joins import lookup_join
-from wattlens.plans.ordering import group_quantile, group_rank
+from wattlens.plans.selection import at_ranks, group_quantile
 from wattlens.plans.staging import stage
 
 MAX_DEPTH = 30  # trees without a limit stop at Spark's deepest; a parameter of every fit
@@ -59,12 +59,17 @@ def random_share(df: DataFrame, id_column: str, seed: int = 42):
 
 def stratified_split(df: DataFrame, label: str, id_column: str = "customer_id", share: float = 0.25,
                      seed: int = 42) -> DataFrame:
-    """Adds `is_holdout`: the same share of every class, chosen by hash order."""
-    order = df.withColumn("_draw", F.xxhash64(F.col(id_column), F.lit(seed)))
-    ranked = group_rank(order, [label], ["_draw", id_column], "_rank")
-    sizes = ranked.groupBy(label).agg(F.count("*").alias("_n"))  # one row per class
-    sized = lookup_join(ranked, sizes, [label], spread=[id_column], null_safe=True)
-    return sized.withColumn("is_holdout", F.col("_rank") <= F.round(F.lit(share) * F.col("_n"))).drop("_rank", "_draw", "_n")
+    """Adds `is_holdout`: the same share of every class, the rows with the smallest hashes of the id (equal ones by id).
+
+    Only the hash at which the share ends is looked for, so the rows stay where they are. Ids must be unique.
+    """
+    draw = F.xxhash64(F.col(id_column), F.lit(seed))
+    drawn = df.select(F.col(label).alias("_class"), draw.alias("_draw"), F.col(id_column).alias("_id"))
+    last = at_ranks(drawn, ["_class"], "_draw", [share], [(0, F.greatest(F.round(F.lit(share) * F.col("n")), F.lit(1)))], "_id")
+    cuts = last.select("_class", F.when(F.round(F.lit(share) * F.col("n")) >= 1, F.struct("v", "tie")).alias("_cut"))
+    joined = lookup_join(df.withColumn("_class", F.col(label)), cuts, ["_class"], spread=[id_column], null_safe=True)
+    own = F.struct(draw.alias("v"), F.col(id_column).alias("tie"))
+    return joined.withColumn("is_holdout", F.coalesce(own <= F.col("_cut"), F.lit(False))).drop("_class", "_cut")
 
 
 def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42, depth: int = MAX_DEPTH) -> PipelineModel:

@@ -129,7 +129,7 @@ INDICATORS = [
 
 def indicators(customers: DataFrame) -> DataFrame:
     """Seven statistics of the customer table, one per row."""
-    from wattlens.plans.ordering import exact_quantile
+    from wattlens.plans.selection import exact_quantile
     middle = exact_quantile(customers, "median_consumption", 0.5)
     row = customers.agg(
         F.avg("avg_consumption").alias("i0"), F.avg("std_consumption").alias("i2"), F.avg("risk_score").alias("i3"),

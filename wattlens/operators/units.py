@@ -13,7 +13,8 @@ from wattlens.operators.clean import coerce_numeric, parse_date
 from wattlens.operators.enrich import (city_climate, first_attributes, seasonal_temperature, temperature_context,
                                         text_columns)
 from wattlens.plans.joins import lookup_join
-from wattlens.plans.ordering import exact_quantile, global_rank, group_quantile
+from wattlens.plans.ordering import global_rank
+from wattlens.plans.selection import exact_quantile, group_quantile
 from wattlens.plans.staging import stage
 from wattlens.sources.detect import find_unit_header
 

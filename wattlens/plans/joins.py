@@ -15,14 +15,14 @@ def stored_bytes(table: DataFrame) -> int:
 
 
 def lookup_join(left: DataFrame, table: DataFrame, on: list[str], spread: list[str], how: str = "left",
-                null_safe: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                null_safe: bool = False, broadcast_bytes: int = BROADCAST_BYTES, stored: bool = False) -> DataFrame:
     """Join a large table to a lookup table. The lookup table must have one row per key; others would multiply rows.
 
-    The lookup side is computed once into a stored table. If its files have up to `broadcast_bytes` it
+    The lookup side is computed once into a stored table, unless it is `stored` already. If its files have up to `broadcast_bytes` it
     is broadcast. Beyond that both sides shuffle, and a salt (a hash of the `spread` columns) splits every key
     of the large side into parts; the lookup rows are repeated once per salt, so the result is the same.
     """
-    table = stage(table, "lookup")
+    table = table if stored else stage(table, "lookup")
     keys = [f"_key_{i}" for i in range(len(on))]
     small = table.withColumnsRenamed(dict(zip(on, keys)))
     if stored_bytes(table) <= broadcast_bytes:

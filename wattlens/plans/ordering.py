@@ -1,11 +1,11 @@
-"""Ranks, running totals and exact quantiles over whole tables without a one-task window.
+"""Ranks and running totals over whole tables without a one-task window.
 
-All three start from a range-partitioned sort that is staged with a row position (partition number and
+All start from a range-partitioned sort that is staged with a row position (partition number and
 offset inside it). Only one small row per sort partition is then needed to turn local positions into global ones.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.staging import stage
@@ -55,40 +55,3 @@ def group_rank(df: DataFrame, groups: list[str], order: list, name: str = "rank"
     starts = ranked.groupBy(*groups).agg(F.min("_global").alias("_start"))
     joined = lookup_join(ranked, starts, groups, spread=["_global"], null_safe=True)
     return joined.withColumn(name, F.col("_global") - F.col("_start") + 1).drop("_global", "_start")
-
-
-def group_quantile(df: DataFrame, groups: list[str], value: str, q: float, name: str) -> DataFrame:
-    """Exact interpolated quantile per group (or of the whole table when `groups` is empty).
-
-    Equal values collapse to one counted row before the sort, so a frequent value costs nothing, and no
-    task ever holds a whole group. Works where the built-in `percentile` would keep all distinct values
-    of a hot group in one buffer.
-    """
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*groups, value)
-              .agg(F.count("*").alias("_n")))
-    through = running_totals(counts, [*groups, value], {"_to": "_n"})
-    through = through.withColumn("_from", F.col("_to") - F.col("_n"))
-    bounds = through.groupBy(*groups).agg(F.min("_from").alias("_start"), F.max("_to").alias("_end"))
-    if groups:
-        placed = lookup_join(through, bounds, groups, spread=[value], null_safe=True)
-    else:
-        limits = bounds.select(F.struct("_start", "_end").alias("b")).scalar()
-        placed = through.withColumn("_start", limits["_start"]).withColumn("_end", limits["_end"])
-    position = F.lit(float(q)) * (F.col("_end") - F.col("_start") - 1)
-
-    def covers(index: Column) -> Column:
-        absolute = F.col("_start") + index
-        return (F.col("_from") <= absolute) & (absolute < F.col("_to"))
-
-    low, high = F.floor(position), F.ceil(position)
-    ends = (placed.withColumn("_share", position - low)
-            .filter(covers(low) | covers(high))
-            .groupBy(*groups)
-            .agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max("_share").alias("_share")))
-    blend = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")
-    return ends.select(*groups, blend.alias(name))
-
-
-def exact_quantile(df: DataFrame, value: str, q: float) -> Column:
-    """Scalar column with the exact quantile of one column."""
-    return group_quantile(df, [], value, q, "q").scalar()
