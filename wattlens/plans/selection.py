@@ -51,7 +51,7 @@ def kept_counts(df: DataFrame, groups: list[str], value: str, bounds: DataFrame,
 
 def through_counts(kept: DataFrame, groups: list[str], by_tie: list[str]) -> DataFrame:
     """Kept rows with the number of rows of their group up to them, `through`."""
-    if kept.count() <= WINDOW_ROWS:
+    if kept.count() <= WINDOW_ROWS:  # of a stored table
         along = Window.partitionBy(*groups, "j").orderBy("v", *by_tie).rowsBetween(Window.unboundedPreceding, 0)
         return kept.withColumn("through", F.sum("rows").over(along))
     total = running_totals(kept, [*groups, "j", "v", *by_tie], {"_to": "rows"})
@@ -62,23 +62,35 @@ def through_counts(kept: DataFrame, groups: list[str], by_tie: list[str]) -> Dat
 
 def at_ranks(df: DataFrame, groups: list[str], value: str, shares: list[float], ranks: list[tuple[int, Column]],
              tie: str | None = None) -> DataFrame:
-    """Stored: (groups, n, rank number r, v, [tie]): what stands at each rank of its group, from 1, by `value` and then `tie`.
+    """(groups, n, rank number r, v, [tie]): what stands at each rank of its group, from 1, by `value` and then `tie`.
 
     `ranks` are pairs of the share that a rank lies at and an expression of `n`, the group's rows with a value. Rows without a
     value don't count; groups without any give no rows. Without `tie`, equal values need no order.
     """
     df = df.filter(F.col(value).isNotNull())
     bounds, by_tie = brackets(df, groups, value, shares), ["tie"] if tie else []
+    wanted = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(j).alias("of"), rank.cast("long").alias("rank"))
+                                 for r, (j, rank) in enumerate(ranks)])).alias("w")
+    here = (F.col("w.rank") > F.col("through") - F.col("rows")) & (F.col("w.rank") <= F.col("through")) & F.col("v").isNotNull()
+
+    def pick(through: DataFrame, of: Column) -> DataFrame:
+        """`of`: whether a row is in the bracket of a wanted rank."""
+        return through.select("*", wanted).filter(here & of).select(*groups, "n", F.col("w.r").alias("r"), "v", *by_tie)
+
+    if not bounds.filter(F.col("n") > SMALL_GROUP).limit(1).count():
+        cells = df.select(*groups, F.col(value).alias("v"), *([F.col(tie).alias("tie")] if tie else []))
+        whole = Window.partitionBy(*groups)  # groups of a bounded size
+        along = whole.orderBy("v", *by_tie).rowsBetween(Window.unboundedPreceding, 0)
+        counted = cells.groupBy(*groups, "v", *by_tie).agg(F.count("*").alias("rows"))
+        return pick(counted.withColumns({"through": F.sum("rows").over(along), "n": F.sum("rows").over(whole)}), F.lit(True))
     for attempt in (bounds, None):
-        if attempt is None:  # no bracket: every value is kept
+        if attempt is None:  # a rank was missed: every value is kept
             open_ends = {f"{e}_{j}": F.nullif(F.col(f"lo_{j}"), F.col(f"lo_{j}")) for j in range(len(shares)) for e in ("hi", "lo")}
             attempt = stage(bounds.withColumns(open_ends), "brackets")
         through = through_counts(kept_counts(df, groups, value, attempt, len(shares), tie), groups, by_tie)
-        wanted = F.explode(F.filter(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(j).alias("of"), rank.cast("long").alias("rank"))
-                                              for r, (j, rank) in enumerate(ranks)]), lambda x: x["of"] == F.col("j")))
-        here = (F.col("w.rank") > F.col("through") - F.col("rows")) & (F.col("w.rank") <= F.col("through")) & F.col("v").isNotNull()
-        found = stage(through.withColumn("w", wanted).filter(here).select(*groups, "n", F.col("w.r").alias("r"), "v", *by_tie), "ranks")
-        if found.count() == bounds.filter("n > 0").count() * len(ranks):
+        found = stage(pick(through, F.col("w.of") == F.col("j")), "ranks")
+        due = bounds.select(F.lit(-len(ranks)).alias("x")).unionByName(found.select(F.lit(1).alias("x"))).agg(F.sum("x")).first()[0]
+        if not due:
             break
     return found
 
