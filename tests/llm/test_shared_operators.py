@@ -157,16 +157,44 @@ def test_repeated_rows_null_ids_and_no_rows_in_the_join(spark):
     assert shingle_join.jaccard_components(docs.limit(0)).count() == 0
 
 
-def test_sketch_distance_never_exceeds_the_symmetric_difference():
+def test_linked_sets_keep_a_common_block_whatever_is_left_out():
+    """Frequencies of blocks are drawn at random, so that often the common blocks are the ones that should go."""
     random.seed(7)
-    for _ in range(300):
-        size = random.randint(8, 400)
+    linked = 0
+    for _ in range(400):
+        size = random.choice([random.randint(8, 40), random.randint(8, 400)])
         a = np.unique(np.array([random.getrandbits(64) for _ in range(size)], np.uint64))
         drop = random.randint(0, max(1, int(0.09 * size)))
-        b = np.unique(np.concatenate([a[drop:], np.array([random.getrandbits(64) for _ in range(drop)], np.uint64)]))
+        b = np.unique(np.concatenate([a[drop:], np.array([random.getrandbits(64) for _ in range(random.randint(0, drop))], np.uint64)]))
         inter = len(np.intersect1d(a, b))
         if 100 * inter >= 85 * (len(a) + len(b) - inter) and inter < max(len(a), len(b)):
-            assert np.intersect1d(shingle_join.signatures(a, 85), shingle_join.signatures(b, 85)).size
+            linked += 1
+            own, other = shingle_join.signatures(a, 85), shingle_join.signatures(b, 85)
+            common = {k for layer, _ in own for k in layer.tolist()} & {k for layer, _ in other for k in layer.tolist()}
+            hot = {k: random.random() + (2 if random.random() < 0.7 else 0) for k in common}
+            kept = []
+            for layers in (own, other):
+                stay = set()
+                for keys, spare in layers:
+                    stay |= set(sorted(keys.tolist(), key=lambda k: (-hot.get(k, 0), k))[spare:])
+                kept.append(stay)
+            assert kept[0] & kept[1]
+    assert linked > 150
+
+
+def test_texts_that_share_only_a_passage_are_no_candidates(spark):
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefghijkl") for _ in range(6))
+    passage = [word() for _ in range(55)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(400)]
+        at = random.randrange(300)
+        rows.append((i, " ".join(own[:at] + passage + own[at:])))
+    rows.append((300, rows[0][1] + " and more"))
+    digest = shingle_join.digest(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 5, 80)
+    edges = shingle_join.candidate_edges(digest.withColumnRenamed("doc_id", "node")).collect()
+    assert [(r.src, r.dst) for r in edges if 300 in (r.src, r.dst)] == [(300, 0)] and len(edges) < 10
 
 
 def vectors(seed=8, n=900, dim=24):

@@ -3,10 +3,12 @@
 A text's distinct shingles are thrown into the bits of a wide sketch; a bit is the parity of the shingles that hit it, so
 the Hamming distance of two sketches never exceeds the size of their symmetric difference. Texts of a size band share one
 sketch layout of `blocks` blocks. A pair within the threshold differs in at most k bits, hence in at most k
-blocks, and any k + 1 blocks of a text hold one that both have (pigeonhole). A text joins on its k + 1 fullest blocks in
-one order that all texts share, so that the fuller side's choice is always met; sketches are kept as their set bits.
+blocks; all others, the layout has a quarter more than k + 1, they have in common (pigeonhole). So a text may leave out as
+many blocks as it has beyond k + 1, if all texts leave out by one order: the blocks that most texts have go first, and
+the rarest one that a pair shares stays with both. A passage that many documents quote fills a few blocks, which
+are left out; texts that are near as a whole share more than may be left out. Sketches are kept as their set bits.
 
-Texts that share a block form candidate clusters. Inside a cluster every pair is compared once by a dense sketch, and
+Texts that still share a block form candidate clusters. Inside a cluster every pair is compared once by a dense sketch, and
 a pair that the bound can't exclude is verified on the full shingle sets unless verified links already connect it. So links
 are exact (up to collisions of 64-bit hashes), though only a spanning set of them is ever written.
 """
@@ -17,14 +19,14 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from wattlens.llm.arrow_text import LOWER, SPACE, U64, flat, mix, ship, span_hashes, spans, sub_batches
 from wattlens.llm.components import components
 from wattlens.plans.staging import stage
 
-BLOCK_BITS = 4096
+BLOCK_BITS = 1 << 32  # sketches are sparse, so width costs nothing
 SPARE_BLOCKS = 1.25  # blocks per block that a text must offer: the emptier ones need not be used
 TILE_ROWS, TILE_HASHES = 1024, 1_000_000
 BROADCAST_BYTES = 32_000_000
@@ -69,12 +71,12 @@ def band_blocks(band: int, percent: int) -> int:
     return math.ceil(SPARE_BLOCKS * (most_differences(2 * (2 ** (band + 1) - 1), percent) + 1))
 
 
-def block_keys(hashes: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Join keys of a set in a band's sketch layout: its k + 1 first blocks by (set bits, content)."""
+def block_keys(hashes: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
+    """The blocks of a set in a band's sketch layout, as keys, and how many of them may be left out."""
     size, last = len(hashes), 2 ** (band + 1) - 1
     k = most_differences(size + min(100 * size // percent, last), percent)
     if k == 0:
-        return np.zeros(0, U64)  # a partner can only be an equal set, and equal sets are one node
+        return np.zeros(0, U64), 0  # a partner can only be an equal set, and equal sets are one node
     blocks = band_blocks(band, percent)
     mixed = mix(hashes + _salt(band + 1, 2))
     cells = np.sort((mixed >> U64(32)) % U64(blocks) * U64(BLOCK_BITS) + (mixed & U64(BLOCK_BITS - 1)))
@@ -87,27 +89,32 @@ def block_keys(hashes: np.ndarray, band: int, percent: int) -> np.ndarray:
     filled = np.flatnonzero(weight)
     if len(filled):
         content[filled] += np.add.reduceat(mix(cells), np.searchsorted(block, filled))
-    order = (weight.astype(U64) << U64(48)) | (mix(content) >> U64(16))
-    chosen = np.argpartition(order, blocks - k - 1)[blocks - k - 1:] if k + 1 < blocks else np.arange(blocks)
-    return mix(content[chosen] + chosen.astype(U64) * _POSITION[3] + _salt(band + 1, 1))
+    keys = mix(content + np.arange(blocks, dtype=U64) * _POSITION[3] + _salt(band + 1, 1))
+    if len(filled) > k:
+        return keys[filled], len(filled) - k - 1
+    empty = np.flatnonzero(weight == 0)  # too few are filled: empty ones, which most texts have, in an order of their own
+    return np.concatenate([keys[filled], keys[empty[np.argsort(keys[empty])][len(empty) - (k + 1 - len(filled)):]]]), 0
 
 
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys in the band of the set's size, and in the next band where a larger partner may be."""
+def signatures(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Blocks and how many may be left out, in the band of the set's size, and in the next band where a larger partner may be."""
     size = len(hashes)
     if not size:
-        return np.zeros(0, U64)
+        return [(np.zeros(0, U64), 0)] * 2
     band = size.bit_length() - 1
-    keys = [block_keys(hashes, band, percent)]
-    if 100 * size >= percent * 2 ** (band + 1):
-        keys.append(block_keys(hashes, band + 1, percent))
-    return np.concatenate(keys)
+    above = 100 * size >= percent * 2 ** (band + 1)
+    return [block_keys(hashes, band, percent), block_keys(hashes, band + 1, percent) if above else (np.zeros(0, U64), 0)]
 
 
 def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Per row: id, n_shingles, a 128-bit digest of the set (null if empty), and the join keys."""
+    """Per row: id, n_shingles, a 128-bit digest of the set (null if empty), blocks in two bands and how many may go."""
     schema = StructType([docs.schema[id_col], *StructType.fromDDL(
-        "n_shingles bigint, n1 bigint, n2 bigint, keys array<bigint>").fields])
+        "n_shingles bigint, n1 bigint, n2 bigint, keys array<bigint>, spare int, keys_above array<bigint>, "
+        "spare_above int").fields])
+
+    def listed(keys: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array((np.concatenate(keys) if keys else np.zeros(0, U64)).view(np.int64)))
 
     def run(batches):
         for batch in batches:
@@ -116,16 +123,37 @@ def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
                 sizes = np.array([len(s) for s in sets], np.int64)
                 n1 = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
                 n2 = np.array([mix(s ^ _POSITION[2]).sum(dtype=U64) for s in sets], U64).view(np.int64)
-                keys = [signatures(s, percent) for s in sets]
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                values = pa.array((np.concatenate(keys) if keys else np.zeros(0, U64)).view(np.int64))
+                layers = list(zip(*(signatures(s, percent) for s in sets))) or [(), ()]
+                blocks = [a for layer in layers for a in (listed([keys for keys, _ in layer]),
+                                                          pa.array([spare for _, spare in layer], pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(sizes), pa.array(n1, mask=sizes == 0), pa.array(n2, mask=sizes == 0),
-                     pa.ListArray.from_arrays(ends, values)], names=schema.names)
+                     *blocks], names=schema.names)
 
     return ship(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
+def candidate_edges(nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst) that connect all texts sharing a block that they did not leave out.
+
+    A key's holders are counted first. Keys of one text alone go no further; of the others a text leaves out the most
+    frequent ones, as many as it may. What stays links a text to the smallest of its keys' leads, and these leads to that one.
+    """
+    layers = [nodes.select("node", F.lit(i).alias("layer"), F.col(spare).alias("spare"), F.explode(keys).alias("key"))
+              for i, (keys, spare) in enumerate((("keys", "spare"), ("keys_above", "spare_above")))]
+    keys = layers[0].unionByName(layers[1])
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared-blocks")
+    hint = F.broadcast(shared) if shared.count() * 16 <= BROADCAST_BYTES else shared
+    held = keys.join(hint, "key")
+    hottest = Window.partitionBy("node", "layer").orderBy(F.desc("c"), "key")  # the blocks of one text
+    kept = stage(held.withColumn("place", F.row_number().over(hottest)).filter("place > spare").select("node", "key"), "kept-blocks")
+    leads = kept.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    named = kept.join(leads, "key").groupBy("node").agg(F.min("lead").alias("first"), F.collect_set("lead").alias("leads"))
+    own = named.filter("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    between = named.select(F.explode("leads").alias("src"), F.col("first").alias("dst")).filter("src <> dst")
+    return own.unionByName(between).distinct()
+
+
 def compare_block(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """A spanning set of the links between two lists of sets (of one list if `right` is None), as index pairs; indexes of
     `right` start at len(left)."""
@@ -224,13 +252,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = stage(digest(docs, id_col, text_col, words, percent), "shingle-digest")
     nodes = stage(rows.filter("n_shingles > 0").groupBy("n1", "n2")
                   .agg(F.min(id_col).alias("first_doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"),
-                       F.first("keys").alias("keys"))
+                       *[F.first(c).alias(c) for c in ("keys", "spare", "keys_above", "spare_above")])
                   .withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    stars = keys.join(shared, "key").filter("node <> lead").select(F.col("node").alias("src"), F.col("lead").alias("dst"))
-    clusters = components(stars.distinct()).withColumnRenamed("component", "cluster")
-    inside = stage(clusters.join(nodes.drop("keys", "copies"), "node"), "cluster-nodes")
+    clusters = components(candidate_edges(nodes)).withColumnRenamed("component", "cluster")
+    inside = stage(clusters.join(nodes.select("node", "n1", "n2", "first_doc", "n"), "node"), "cluster-nodes")
     tiles = F.greatest(F.ceil(F.col("c") / TILE_ROWS), F.ceil(F.col("h") / TILE_HASHES)).cast("int").alias("tiles")
     sized = inside.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("h")).select("cluster", "h", tiles)
     bins = F.greatest(F.ceil(sized.agg(F.sum("h")).scalar() / TILE_HASHES) * 4, F.lit(1))
@@ -242,7 +267,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = (linked.filter("component is not null").groupBy("component")
               .agg(F.min("first_doc").alias("component_id"), F.sum("copies").alias("_rows")))
     named = (linked.join(lowest, "component").filter("_rows > 1").select("n1", "n2", "component_id"))
-    return (rows.drop("keys").join(named, ["n1", "n2"], "left")
+    return (rows.select(id_col, "n_shingles", "n1", "n2").join(named, ["n1", "n2"], "left")
             .select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id")))
 
 
