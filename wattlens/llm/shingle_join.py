@@ -3,10 +3,11 @@
 A text's distinct shingles are thrown into the bits of a wide sketch; a bit is the parity of the shingles that hit it, so
 the Hamming distance of two sketches never exceeds the size of their symmetric difference. Texts of a size band share one
 sketch layout of `blocks` blocks. A pair within the threshold differs in at most k bits, hence in at most k
-blocks; all others, the layout has a quarter more than k + 1, they have in common (pigeonhole). So a text may leave out as
-many blocks as it has beyond k + 1, if all texts leave out by one order: the blocks that most texts have go first, and
-the rarest one that a pair shares stays with both. A passage that many documents quote fills a few blocks, which
-are left out; texts that are near as a whole share more than may be left out. Sketches are kept as their set bits.
+blocks, and shares all others (pigeonhole). A text takes its k + 1 + x fullest blocks, in one order that all texts
+share; x is the same for a band, so that a pair has x + 1 or more of the taken ones in common. Each text may then leave out
+x of them, if all go by one order: the blocks that most texts have go first, and the rarest one that a pair shares stays
+with both. A passage that many documents quote fills a few blocks, which are left out; texts that are near as
+a whole share more than may be left out. Sketches are kept as their set bits.
 
 Texts that still share a block form candidate clusters. Inside a cluster every pair is compared once by a dense sketch, and
 a pair that the bound can't exclude is verified on the full shingle sets unless verified links already connect it. So links
@@ -27,9 +28,10 @@ from wattlens.llm.components import components
 from wattlens.plans.staging import stage
 
 BLOCK_BITS = 1 << 32  # sketches are sparse, so width costs nothing
-SPARE_BLOCKS = 1.25  # blocks per block that a text must offer: the emptier ones need not be used
+SPARE_BLOCKS = 1.2  # blocks of a layout per block that its largest texts must offer
 TILE_ROWS, TILE_HASHES = 1024, 1_000_000
 BROADCAST_BYTES = 32_000_000
+HASHED_ROW = 96  # bytes of a row of two numbers in a broadcast hash table
 _POSITION = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -72,7 +74,7 @@ def band_blocks(band: int, percent: int) -> int:
 
 
 def block_keys(hashes: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
-    """The blocks of a set in a band's sketch layout, as keys, and how many of them may be left out."""
+    """The fullest blocks of a set in a band's sketch layout, as keys, and how many of them may be left out."""
     size, last = len(hashes), 2 ** (band + 1) - 1
     k = most_differences(size + min(100 * size // percent, last), percent)
     if k == 0:
@@ -89,11 +91,11 @@ def block_keys(hashes: np.ndarray, band: int, percent: int) -> tuple[np.ndarray,
     filled = np.flatnonzero(weight)
     if len(filled):
         content[filled] += np.add.reduceat(mix(cells), np.searchsorted(block, filled))
-    keys = mix(content + np.arange(blocks, dtype=U64) * _POSITION[3] + _salt(band + 1, 1))
-    if len(filled) > k:
-        return keys[filled], len(filled) - k - 1
-    empty = np.flatnonzero(weight == 0)  # too few are filled: empty ones, which most texts have, in an order of their own
-    return np.concatenate([keys[filled], keys[empty[np.argsort(keys[empty])][len(empty) - (k + 1 - len(filled)):]]]), 0
+    order = (weight.astype(U64) << U64(48)) | (mix(content) >> U64(16))
+    spare = blocks - most_differences(2 * last, percent) - 1
+    least = blocks - k - 1 - spare
+    chosen = np.argpartition(order, least)[least:] if least > 0 else np.arange(blocks)
+    return mix(content[chosen] + chosen.astype(U64) * _POSITION[3] + _salt(band + 1, 1)), spare
 
 
 def signatures(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
@@ -143,7 +145,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
               for i, (keys, spare) in enumerate((("keys", "spare"), ("keys_above", "spare_above")))]
     keys = layers[0].unionByName(layers[1])
     shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared-blocks")
-    hint = F.broadcast(shared) if shared.count() * 16 <= BROADCAST_BYTES else shared
+    hint = F.broadcast(shared) if shared.count() * HASHED_ROW <= BROADCAST_BYTES else shared
     held = keys.join(hint, "key")
     hottest = Window.partitionBy("node", "layer").orderBy(F.desc("c"), "key")  # the blocks of one text
     kept = stage(held.withColumn("place", F.row_number().over(hottest)).filter("place > spare").select("node", "key"), "kept-blocks")
@@ -193,9 +195,8 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
     A cluster of more than a tile is compared tile by tile: a row goes to as many cells as its cluster has tiles, and
     no task holds more than two tiles. Smaller clusters share cells, bounded by the number of hashes in them.
     """
-    size = members.count() * 64
     side = members.withColumnRenamed("first_doc", "_first")
-    side = F.broadcast(side) if size <= BROADCAST_BYTES else side
+    side = F.broadcast(side) if members.count() * 2 * HASHED_ROW <= BROADCAST_BYTES else side
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
         side, F.col("_id").eqNullSafe(F.col("_first")), "inner")
     schema = StructType.fromDDL("node bigint, cluster bigint, tiles int, bin bigint, hashes binary")
