@@ -145,8 +145,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
               for i, (keys, spare) in enumerate((("keys", "spare"), ("keys_above", "spare_above")))]
     keys = layers[0].unionByName(layers[1])
     shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared-blocks")
-    hint = F.broadcast(shared) if shared.count() * HASHED_ROW <= BROADCAST_BYTES else shared
-    held = keys.join(hint, "key")
+    held = keys.join(shared, "key")
     hottest = Window.partitionBy("node", "layer").orderBy(F.desc("c"), "key")  # the blocks of one text
     kept = stage(held.withColumn("place", F.row_number().over(hottest)).filter("place > spare").select("node", "key"), "kept-blocks")
     leads = kept.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c")
