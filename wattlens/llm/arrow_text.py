@@ -66,6 +66,12 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def apart(docs: DataFrame, helpers: list[str], run: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """`run` on `docs` whose columns that are named like one of `helpers` have other names meanwhile; it gets these too."""
+    moved = {c: f"{c}\u00b7kept" for c in docs.columns if c in helpers}
+    return run(docs.withColumnsRenamed(moved), moved).withColumnsRenamed({new: old for old, new in moved.items()})
+
+
 def sub_batches(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The rows in slices whose texts have about `limit` bytes together; a longer text is a slice of its own."""
     offsets = flat(batch.column(column))[1]

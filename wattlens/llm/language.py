@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattlens.llm.arrow_text import add_columns, ship, sub_batches
 
@@ -90,8 +90,9 @@ def training_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str,
                      pa.array([grams[i] for i in at], pa.list_(pa.int32()))], names=["lang", "u", "grams"])
 
     found = ship(picked).mapInArrow(run, "lang string, u double, grams array<int>")
-    frame = found.orderBy("lang", "u").limit(2 * bound).toPandas()
-    return frame.groupby("lang", sort=True).head(each).reset_index(drop=True)
+    own = Window.partitionBy("lang").orderBy("u")  # over the few rows picked of a language
+    frame = found.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= each).drop("place").toPandas()
+    return frame.sort_values(["lang", "u"]).reset_index(drop=True)  # at most `bound` rows, or one of each language
 
 
 class KernelModel:
@@ -152,7 +153,8 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: KernelModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred and score (0 to 1) of every whole text; `und` and 0 if it is null or has no letter.
 
-    Columns named lang_pred or score are replaced. Equal texts get equal results; an empty table stays empty.
+    Columns named lang_pred or score are replaced. Equal texts get equal results, very long ones are read whole; languages
+    with the same score go by name. An empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LANDMARKS n-gram sets
     return add_columns(docs, text_col, "lang_pred string, score double", None, keep, lambda: sent.value.predict)

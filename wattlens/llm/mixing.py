@@ -23,7 +23,8 @@ LIST_WORDS, LEAST_SUPPORT = 40, 5
 MAX_STEPS, CLOSE = 60, 1e-7
 SHARPNESS = 0.5  # the classes' log-likelihoods are weighted down, as the features are not independent
 FEATURES = ["symbols", "capitals", "repeats", "word_length", "listed"]
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]++"
+LEAST_ODDS = 4
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -41,17 +42,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def word_list(sample: DataFrame) -> list[str]:
-    """The words that tell toxic documents from others best, by the ratio of their document frequencies."""
+    """The words that tell toxic documents from others best, by the ratio of their document frequencies.
+
+    A word must do so, with enough support, in either half of the sample (by a hash of the id): a word that only the copies
+    of a few documents have seldom does.
+    """
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-    toxic = (F.col("domain") == "toxic").cast("int")
-    total = sample.agg(F.sum(toxic), F.count("*")).first()
-    n_toxic, n_other = total[0] or 0, total[1] - (total[0] or 0)
-    if not n_toxic or not n_other:
+    halves = [F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(2)) == i for i in (0, 1)]
+    toxic = F.col("domain") == "toxic"
+    sizes = sample.agg(*[F.count_if(h & x) for h in halves for x in (toxic, ~toxic)]).first()
+    if not all(sizes):
         return []
-    seen = (sample.select(toxic.alias("toxic"), F.explode(words).alias("word")).filter("length(word) > 1")
-            .groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter(F.col("t") >= LEAST_SUPPORT))
-    odds = ((F.col("t") + 0.5) / n_toxic) / ((F.col("n") - F.col("t") + 0.5) / n_other)
-    best = seen.withColumn("odds", odds).filter("odds >= 4").orderBy(F.desc(F.col("t") * F.log("odds")), "word")
+    marked = sample.select(*[(h & x).cast("int").alias(f"{kind}{i}") for i, h in enumerate(halves)
+                             for kind, x in (("t", toxic), ("o", ~toxic))], F.explode(words).alias("word"))
+    seen = (marked.filter("length(word) > 1").groupBy("word").agg(*[F.sum(f"{k}{i}").alias(f"{k}{i}") for i in (0, 1) for k in "to"])
+            .filter((F.col("t0") >= LEAST_SUPPORT) & (F.col("t1") >= LEAST_SUPPORT)))
+    odds = [((F.col(f"t{i}") + 0.5) / sizes[2 * i]) / ((F.col(f"o{i}") + 0.5) / sizes[2 * i + 1]) for i in (0, 1)]
+    least = F.least(*odds)
+    best = seen.filter(least >= LEAST_ODDS).orderBy(F.desc((F.col("t0") + F.col("t1")) * F.log(least)), "word")
     return [r["word"] for r in best.limit(LIST_WORDS).collect()]
 
 
@@ -66,7 +74,7 @@ def with_features(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame
     listed = F.regexp_count(F.lower(text), F.lit(rf"\b(?:{'|'.join(words)})\b")) if words else F.lit(0)
     return counted.withColumns({
         "symbols": F.log1p(100 * symbols / n), "capitals": F.log1p(10 * capitals / n),
-        "repeats": F.log1p(100 * F.regexp_count(text, F.lit(r"\b(\p{L}+) \1\b")) / n),
+        "repeats": F.log1p(100 * F.regexp_count(text, F.lit(r"\b(\p{L}++) \1\b")) / n),
         "word_length": F.log(chars / n), "listed": F.log1p(1000 * listed / n)})
 
 
@@ -163,13 +171,14 @@ def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[list[float]]
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        targets: dict[str, float] | None = None, training_rows: int = TRAINING_ROWS) -> DataFrame:
+        targets: dict[str, float] | None = None, training_rows: int = TRAINING_ROWS, keep: list[str] | None = None) -> DataFrame:
     """Per row: the id, n_tokens, p_<domain> for each target domain, rate, copies.
 
     `labels` has doc_id, quality and toxic; a document labelled several times counts once. Expected domain tokens, the sum of
     rate * n_tokens * p, meet the targets' shares of all tokens as nearly as nonnegative rates can. copies is the rate
-    rounded up or down by a hash of the id, so that its mean is the rate: 0 drops the row. Equal rows get equal
-    results, null and empty texts have 0 tokens. Without labels all rates are equal. Other columns are left out; an empty
+    rounded up or down by a hash of the id (of the text where it is null), so that its mean is the rate: 0 drops the row.
+    Tokens are words between white space. Equal rows get equal results, null and empty texts have 0 tokens, very long ones
+    are read whole. Without labels all rates are equal. Other columns are left out but for those of `keep`; an empty
     table stays empty.
     """
     targets = dict(targets or TARGETS)
@@ -177,13 +186,16 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = stage(labelled_sample(docs, labels, id_col, text_col, training_rows), "labelled")
     words = word_list(sample)
     model = fit(sample, words, domains)
-    featured = with_features(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", words)
-    scored = stage(featured.select("_id", "n_tokens", *[
+    stay = {f"_keep_{i}": c for i, c in enumerate(keep or [])}
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(f"`{c}`").alias(k) for k, c in stay.items()])
+    drawn = own.withColumn("_draw", F.when(F.col("_id").isNull(), F.xxhash64("_text", F.lit(7))).otherwise(F.xxhash64("_id", F.lit(7))))
+    featured = with_features(drawn, "_text", words)
+    scored = stage(featured.select("_id", *stay, "_draw", "n_tokens", *[
         c.alias(f"p_{d}") for d, c in zip(domains, posteriors(model, domains))]), "posteriors")
     rate = rate_of(fit_rates(scored, targets), domains)
-    chance = F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.col("_draw"), F.lit(1 << 30)) / float(1 << 30)
     return (scored.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
-            .withColumnRenamed("_id", id_col))
+            .drop("_draw").withColumnsRenamed({"_id": id_col, **stay}))
 
 
 def op8_soft_mixing(spark, sf_dir: str) -> DataFrame:

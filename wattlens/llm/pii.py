@@ -10,12 +10,16 @@ Everything is DataFrame operations; only texts with a digit, an at sign, a title
 """
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wattlens.llm.arrow_text import apart
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.staging import stage
 
-KEY = "surrogates-1"
+KEY_SETTING = "spark.wattlens.surrogateKey"
+HELPERS = ["_doc", "_found", "_map", "_between"]
 #: fixed values: titles that tell the gender of a name
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sir", "Mrs|Ms|Miss|Frau|Madame|Señora|Madam"
 SECRET_WORDS = r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|bearer)"
@@ -42,6 +46,7 @@ PATTERN = "|".join(f"({p})" if t == "card" else f"(?:{p})" for t, p in TYPES.ite
 # implied by every alternative of PATTERN
 GATE = (rf"[0-9@]|(?=[FHMS]){_START}(?:{MALE}|{FEMALE})\.?\s|(?=[Ags]){_START}(?:AKIA|gh[pousr]_|sk-)"
         rf"|(?=[AaBbPpSsTt]){SECRET_WORDS}[\"']?\s{{0,3}}[=:]")
+ISSUERS = r"\A(?:(?i:AKIA)|gh[pousr]_|sk-)"
 _PAIRS = 128
 ROUNDS = 8  # attempts in one length
 LATIN = "abcdefghijklmnopqrstuvwxyz"  # also for letters of scripts that are not listed
@@ -163,9 +168,9 @@ def _pick(letters: str, number: Column) -> Column:
     return F.substring(F.lit(letters), number + 1, F.lit(1))
 
 
-def shaped(text: Column, stream: Column) -> Column:
-    """Keyed characters in place of a text's: of the same class, case and script; signs stay."""
-    hexa = text.rlike(r"\A[0-9a-f]+\z") & text.rlike("[a-f]")
+def shaped(text: Column, stream: Column, secret: Column) -> Column:
+    """Keyed characters in place of a text's: of the same class, case and script; signs stay. A secret in hexadecimal stays so."""
+    hexa = secret & text.rlike(r"\A[0-9a-f]+\z") & text.rlike("[a-f]")
 
     def drawn(c: Column, i: Column) -> Column:
         out = (F.when(hexa, _pick("0123456789abcdef", _value(stream, i, 16)))
@@ -205,7 +210,10 @@ def with_surrogates(entities_: DataFrame, attempt: int, key: str) -> DataFrame:
     parts = parts.withColumn("_stream2", digest(again, kind, F.col("_second")))
     grown = F.when(kind == "name", F.col("_main")).otherwise(F.concat("_main", F.lit("0" * longer)))
     grown2 = F.when(kind == "name", F.concat("_second", F.repeat(F.left("_second", F.lit(1)), F.lit(longer)))).otherwise(F.col("_second"))
-    parts = parts.withColumns({"_a": shaped(grown, F.col("_stream")), "_b": shaped(grown2, F.col("_stream2"))})
+    drawn = shaped(grown, F.col("_stream"), kind == "secret")
+    issuer = F.regexp_extract(canonical, ISSUERS, 0)  # tells what kind of secret it is, so it stays
+    drawn = F.when(kind == "secret", F.concat(issuer, F.substring(drawn, F.length(issuer) + 1, F.length(drawn)))).otherwise(drawn)
+    parts = parts.withColumns({"_a": drawn, "_b": shaped(grown2, F.col("_stream2"), F.lit(False))})
     stream, a, b = F.col("_stream"), F.col("_a"), F.col("_b")
 
     def number(i: int, below: int) -> Column:
@@ -271,14 +279,25 @@ def rendered(raw: Column, kind: Column, canonical: Column, surrogate: Column) ->
             .when(kind == "name", name).when(raw == F.upper(raw), F.upper(surrogate)).otherwise(letters))
 
 
-def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def session_key(spark) -> str:
+    """The session's secret key for surrogates; one that no other session has where none is set."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with all entities in the text column replaced, and `n_replaced`, how many.
 
     Texts without entities, null and empty texts stay as they are with 0. Digit strings that only look like card numbers (no
-    valid check digit) stay; in a run of digits every row of whole groups is tried. Equal texts and repeated rows get equal results; other columns are kept, one called
-    n_replaced is replaced. The same key gives the same surrogates for the same corpus; an empty table stays empty.
+    valid check digit) stay; in a run of digits every row of whole groups is tried. Equal texts and repeated rows get equal results; other columns are kept whatever their names are, one called
+    n_replaced is replaced. The same key gives the same surrogates for the same corpus, and who has not got it can't compute
+    them; an empty table stays empty.
     """
-    docs = docs.drop("n_replaced")
+    return apart(docs.drop("n_replaced"), HELPERS, lambda rows, moved: _replaced(rows, key, moved.get(text_col, text_col)))
+
+
+def _replaced(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     gate = F.coalesce(text.rlike(GATE), F.lit(False))
     near = docs.filter(gate).withColumn("_doc", F.xxhash64(text_col)).withColumn("_found", entities(text))
@@ -306,4 +325,4 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
 
 
 def op4_surrogate_pii(spark, sf_dir: str) -> DataFrame:
-    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))

@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wattlens.llm.arrow_text import apart
 from wattlens.plans.staging import stage
 
 SHARDS = 24
@@ -117,15 +118,21 @@ def communication_matrix(parts: DataFrame, shards: int, seed: int) -> DataFrame:
         F.col("z.matrix"), begin, lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))).alias("bounds")), "matrix")
 
 
+HELPERS = ["src", "bounds", "_src", "_key", "_pos", "_again", "_block", "_nth", "_before"]
+
+
 def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 1, stored: bool = True) -> DataFrame:
     """Add `shard` (0 to shards - 1; their row counts differ by one at most) and `slot` (the place in the shard, from 0).
 
     Every arrangement is equally likely, up to 64-bit hashes as the source of chance; equal and repeated rows, nulls and
     long texts are rows like any other. `stored` says that `docs` reads stored files, so that every scan sees the same rows
     in the same partitions; otherwise pass False and the rows are written first. The same files, settings and seed give
-    the same result. Columns named shard or slot are replaced; an empty table stays empty.
+    the same result. Columns named shard or slot are replaced, others kept whatever their names are; an empty table stays empty.
     """
-    docs = docs.drop("shard", "slot")
+    return apart(docs.drop("shard", "slot"), HELPERS, lambda rows, _: _shuffled(rows, shards, seed, stored))
+
+
+def _shuffled(docs: DataFrame, shards: int, seed: int, stored: bool) -> DataFrame:
     docs = docs if stored else stage(docs, "shard-input")
     parts = stage(docs.select(F.spark_partition_id().alias("src")).groupBy("src").agg(F.count("*").alias("rows")), "parts")
     total = parts.agg(F.sum("rows"), F.count("*")).first()

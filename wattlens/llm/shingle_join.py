@@ -108,9 +108,10 @@ def signatures(hashes: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]
     return [block_keys(hashes, band, percent), block_keys(hashes, band + 1, percent) if above else (np.zeros(0, U64), 0)]
 
 
-def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Per row: id, n_shingles, a 128-bit digest of the set (null if empty), blocks in two bands and how many may go."""
-    schema = StructType([docs.schema[id_col], *StructType.fromDDL(
+def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, keep: list[str] | None = None) -> DataFrame:
+    """Per row: id, the columns of `keep`, n_shingles, a 128-bit digest of the set (null if empty), blocks in two bands and how many may go."""
+    keep = keep or []
+    schema = StructType([*(docs.schema[c] for c in [id_col, *keep]), *StructType.fromDDL(
         "n_shingles bigint, n1 bigint, n2 bigint, keys array<bigint>, spare int, keys_above array<bigint>, "
         "spare_above int").fields])
 
@@ -120,8 +121,8 @@ def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
 
     def run(batches):
         for batch in batches:
-            for rows in sub_batches(batch, 1):
-                sets = document_sets(rows.column(1), words)
+            for rows in sub_batches(batch, len(keep) + 1):
+                sets = document_sets(rows.column(len(keep) + 1), words)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 n1 = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
                 n2 = np.array([mix(s ^ _POSITION[2]).sum(dtype=U64) for s in sets], U64).view(np.int64)
@@ -129,10 +130,10 @@ def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
                 blocks = [a for layer in layers for a in (listed([keys for keys, _ in layer]),
                                                           pa.array([spare for _, spare in layer], pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(sizes), pa.array(n1, mask=sizes == 0), pa.array(n2, mask=sizes == 0),
+                    [*rows.columns[:len(keep) + 1], pa.array(sizes), pa.array(n1, mask=sizes == 0), pa.array(n2, mask=sizes == 0),
                      *blocks], names=schema.names)
 
-    return ship(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return ship(docs.select(id_col, *keep, text_col)).mapInArrow(run, schema)
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
@@ -239,17 +240,19 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                       percent: int = 80) -> DataFrame:
-    """Per row: the id, n_shingles (distinct shingles of `words` words of the text with A-Z lower-cased) and component_id,
+                       percent: int = 80, keep: list[str] | None = None) -> DataFrame:
+    """Per row: the id, the columns of `keep`, n_shingles (distinct shingles of `words` words of the text with A-Z lower-cased) and component_id,
     the smallest id that links reach. Two texts link when 100 * intersection >= percent * union of their sets.
 
     A text with fewer words has its whole sequence as its one shingle. A null, empty or blank text has no shingles,
     links with nothing, and is its own component. Equal texts and repeated rows are one node, however many they are.
-    A null id never is a component's id unless all its rows have none. Other columns are left out. Empty table: no rows.
+    A null id never is a component's id unless all its rows have none. With `keep`, `component` numbers the components of
+    more than one row (null: the row is alone), since an id may stand on several texts. Other columns are left out. Empty
+    table: no rows.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
-    rows = stage(digest(docs, id_col, text_col, words, percent), "shingle-digest")
+    rows = stage(digest(docs, id_col, text_col, words, percent, keep), "shingle-digest")
     nodes = stage(rows.filter("n_shingles > 0").groupBy("n1", "n2")
                   .agg(F.min(id_col).alias("first_doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"),
                        *[F.first(c).alias(c) for c in ("keys", "spare", "keys_above", "spare_above")])
@@ -266,9 +269,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = (linked.filter("component is not null").groupBy("component")
               .agg(F.min("first_doc").alias("component_id"), F.sum("copies").alias("_rows")))
-    named = (linked.join(lowest, "component").filter("_rows > 1").select("n1", "n2", "component_id"))
-    return (rows.select(id_col, "n_shingles", "n1", "n2").join(named, ["n1", "n2"], "left")
-            .select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id")))
+    named = linked.join(lowest, "component").filter("_rows > 1").select("n1", "n2", "component_id", "component")
+    result = rows.select(id_col, *(keep or []), "n_shingles", "n1", "n2").join(named, ["n1", "n2"], "left")
+    return result.select(id_col, *(keep or []), "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"),
+                         *(["component"] if keep else []))
 
 
 def op5_parity_sketch_join(spark, sf_dir: str) -> DataFrame:
