@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 CHUNK = 2_000_000
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"  # of texts on their way to Python
 U64 = np.uint64
 ODD, ODD_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -58,7 +59,12 @@ def _send(application_id: str, package: str) -> None:
 
 
 def ship(df: DataFrame) -> DataFrame:
-    """Make sure that Python workers can import this package: where the environment does not say so, Spark sends it."""
+    """Make sure that Python workers can import this package: where the environment does not say so, Spark sends it.
+
+    Texts go to Python in batches of a few megabytes, unless the session says otherwise, so that long ones don't add up.
+    """
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     if os.path.dirname(package) not in paths:

@@ -29,14 +29,14 @@ UNKNOWN = "und"
 
 def _letter_table() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: its lower case, or a blank if it is no letter; and whether it is a letter."""
-    points = np.arange(0x110000)
-    letter = np.array([chr(c).isalpha() for c in points.tolist()])
-    lower = np.where(letter, points, 0x20)
+    points = np.arange(0x110000, dtype=np.uint32)
+    letter = np.fromiter((chr(c).isalpha() for c in range(len(points))), bool, len(points))
+    lower = np.where(letter, points, np.uint32(0x20))
     for c in np.flatnonzero(letter).tolist():
         small = chr(c).lower()
         if len(small) == 1:
             lower[c] = ord(small)
-    return lower.astype(np.uint32), letter
+    return lower, letter
 
 
 _TABLE: list[np.ndarray] = []
