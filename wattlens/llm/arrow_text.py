@@ -5,6 +5,7 @@ about `CHUNK` characters at a time, so memory is bounded by that and by the long
 """
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -72,6 +73,17 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+REMEMBERED: dict[str, Callable[[], None]] = {}  # how to let go what an operator remembers in a worker from task to task
+
+
+def begin_task(owner: str = "") -> None:
+    """Workers serve one stage after the other: whatever operators other than `owner` have remembered is let go."""
+    for name, forget in REMEMBERED.items():
+        if name != owner:
+            forget()
+    gc.collect()
+
+
 def apart(docs: DataFrame, helpers: list[str], run: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
     """`run` on `docs` whose columns that are named like one of `helpers` have other names meanwhile; it gets these too."""
     moved = {c: f"{c}\u00b7kept" for c in docs.columns if c in helpers}
@@ -129,11 +141,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def add_columns(docs: DataFrame, text_col: str, added: str, compute: Callable[[pa.Array], list],
-                keep: list[str] | None = None, setup: Callable[[], Callable] | None = None) -> DataFrame:
+                keep: list[str] | None = None, setup: Callable[[], Callable] | None = None, owner: str = "") -> DataFrame:
     """`docs` with the columns of `added` (a DDL string) that `compute` makes from the texts of a slice of rows.
 
     `keep` names the input columns that stay (default: all). An input column whose name is also in `added` is
-    replaced. `setup` runs once per task and returns the function to use in place of `compute`.
+    replaced. `setup` runs once per task and returns the function to use in place of `compute`; what `owner` remembers stays.
     """
     new = StructType.fromDDL(added)
     stay = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
@@ -142,6 +154,7 @@ def add_columns(docs: DataFrame, text_col: str, added: str, compute: Callable[[p
     place, names = inputs.index(text_col), schema.names
 
     def run(batches):
+        begin_task(owner)
         call = setup() if setup else compute
         for batch in batches:
             for part in sub_batches(batch, place):

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wattlens.llm.arrow_text import add_columns, ship, sub_batches
+from wattlens.llm.arrow_text import add_columns, begin_task, ship, sub_batches
 
 PLACES = 1 << 18
 ORDERS = 3
@@ -81,6 +81,7 @@ def training_sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str,
               .join(table, rows[lang_col] == F.col("_lang")).filter("_u < _share").select(text_col, "_lang", "_u"))
 
     def run(batches):
+        begin_task()
         for batch in batches:
             for part in sub_batches(batch, 0):
                 grams = grams_of(part.column(0))

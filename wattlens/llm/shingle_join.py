@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from wattlens.llm.arrow_text import LOWER, SPACE, U64, flat, mix, ship, span_hashes, spans, sub_batches
+from wattlens.llm.arrow_text import LOWER, SPACE, U64, begin_task, flat, mix, ship, span_hashes, spans, sub_batches
 from wattlens.llm.components import components
 from wattlens.plans.staging import stage
 
@@ -120,6 +120,7 @@ def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
         return pa.ListArray.from_arrays(ends, pa.array((np.concatenate(keys) if keys else np.zeros(0, U64)).view(np.int64)))
 
     def run(batches):
+        begin_task()
         for batch in batches:
             for rows in sub_batches(batch, len(keep) + 1):
                 sets = document_sets(rows.column(len(keep) + 1), words)
@@ -203,6 +204,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
     inputs = ["_text", "n1", "n2", "node", "cluster", "tiles", "bin"]
 
     def sets_of(batches):
+        begin_task()
         seen: set[int] = set()  # rows that repeat an id and its text leave a task once
         for batch in batches:
             for part in sub_batches(batch, 0):

@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattlens.llm.arrow_text import LOWER, SPACE, add_columns, flat, span_hashes
+from wattlens.llm.arrow_text import LOWER, REMEMBERED, SPACE, add_columns, flat, span_hashes
 
 KNOWN_PRETOKENS = 800_000  # distinct pre-tokens a worker remembers; beyond that it starts anew, results stay the same
 TOKEN_LIMIT = 2048
+OWNER = "tokens"
 LETTER, DIGIT, POINT, OTHER = 1, 2, 3, 0  # classes of bytes; OTHER never is cut from a neighbour
 CLASS = np.zeros(256, np.uint8)
 CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
@@ -136,6 +137,9 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+REMEMBERED[OWNER] = pieces.cache_clear
+
+
 def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None,
                  keep: list[str] | None = None) -> DataFrame:
     """Add `n_bytes` (UTF-8) and `n_tokens` of the whole text, as the tokenizer's library counts them.
@@ -150,7 +154,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", tokenizer: str | None
         own = pieces(path)
         return lambda texts: list(own.count_tokens(texts))
 
-    return add_columns(docs, text_col, "n_bytes bigint, n_tokens bigint", None, keep, setup)
+    return add_columns(docs, text_col, "n_bytes bigint, n_tokens bigint", None, keep, setup, OWNER)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
