@@ -19,7 +19,7 @@ from wattlens.plans.staging import stage
 
 TARGETS = {"good": 0.85, "poor": 0.12, "toxic": 0.03}
 TRAINING_ROWS = 20_000  # bound of the labelled sample that the classifier and its word list are learned from
-LIST_WORDS, LEAST_SUPPORT = 40, 5
+LIST_WORDS, LEAST_SUPPORT, LEAST_SHARE = 40, 5, 0.02  # a listed word is in that many toxic documents, and that share of them
 MAX_STEPS, CLOSE = 60, 1e-7
 SHARPNESS = 0.5  # the classes' log-likelihoods are weighted down, as the features are not independent
 FEATURES = ["symbols", "capitals", "repeats", "word_length", "listed"]
@@ -44,8 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 def word_list(sample: DataFrame) -> list[str]:
     """The words that tell toxic documents from others best, by the ratio of their document frequencies.
 
-    A word must do so, with enough support, in either half of the sample (by a hash of the id): a word that only the copies
-    of a few documents have seldom does.
+    A word must do so, with enough support, in either half of the sample (by a hash of the id): a word that only a few
+    documents have would tell little of others, and every listed word costs time on all texts.
     """
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
     halves = [F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(2)) == i for i in (0, 1)]
@@ -56,7 +56,7 @@ def word_list(sample: DataFrame) -> list[str]:
     marked = sample.select(*[(h & x).cast("int").alias(f"{kind}{i}") for i, h in enumerate(halves)
                              for kind, x in (("t", toxic), ("o", ~toxic))], F.explode(words).alias("word"))
     seen = (marked.filter("length(word) > 1").groupBy("word").agg(*[F.sum(f"{k}{i}").alias(f"{k}{i}") for i in (0, 1) for k in "to"])
-            .filter((F.col("t0") >= LEAST_SUPPORT) & (F.col("t1") >= LEAST_SUPPORT)))
+            .filter(" and ".join(f"t{i} >= {max(LEAST_SUPPORT, LEAST_SHARE * sizes[2 * i])}" for i in (0, 1))))
     odds = [((F.col(f"t{i}") + 0.5) / sizes[2 * i]) / ((F.col(f"o{i}") + 0.5) / sizes[2 * i + 1]) for i in (0, 1)]
     least = F.least(*odds)
     best = seen.filter(least >= LEAST_ODDS).orderBy(F.desc((F.col("t0") + F.col("t1")) * F.log(least)), "word")
