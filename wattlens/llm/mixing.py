@@ -25,6 +25,7 @@ SHARPNESS = 0.5  # the classes' log-likelihoods are weighted down, as the featur
 FEATURES = ["symbols", "capitals", "repeats", "word_length", "listed"]
 WORD = r"[^\x20\x09-\x0D]++"
 LEAST_ODDS = 4
+SIGNS = "\t\n\x0b\f\r!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"  # what parts words
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -71,7 +72,8 @@ def with_features(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame
     chars = F.greatest(F.length(text), F.lit(1))
     capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>!", ""))
-    listed = F.regexp_count(F.lower(text), F.lit(rf"\b(?:{'|'.join(words)})\b")) if words else F.lit(0)
+    apart = F.split(F.translate(F.lower(text), SIGNS, " " * len(SIGNS)), " ")  # cheaper than an alternation of the words
+    listed = F.size(F.filter(apart, lambda w: w.isin(words))) if words else F.lit(0)
     return counted.withColumns({
         "symbols": F.log1p(100 * symbols / n), "capitals": F.log1p(10 * capitals / n),
         "repeats": F.log1p(100 * F.regexp_count(text, F.lit(r"\b(\p{L}++) \1\b")) / n),
