@@ -109,6 +109,16 @@ def test_operator_on_awkward_rows(spark, monkeypatch, long_words):
     assert runs.periodic_runs(docs.limit(0)).count() == 0
 
 
+def test_texts_beyond_the_first_slice_of_a_batch(spark):
+    """Slices end at about 2 MB: texts with and without runs in several of them."""
+    rows = [(i, "y" * 900_000 + (" a b" * 20 if i % 2 else " c")) for i in range(8)]
+    out = {r.doc_id: r for r in runs.periodic_runs(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)).collect()}
+    for i, text in rows:
+        words = text.split(" ")
+        assert [tuple(x) for x in out[i].runs] == plain_runs(words)
+        assert out[i].collapsed_sha256 == hashlib.sha256(plain_collapse(words, plain_runs(words)).encode()).hexdigest()
+
+
 def test_registered_query_equals_a_plain_version(spark):
     rows = {r.doc_id: r for r in runs.op11_scale_tiled_runs(spark, "/root/testdata/sf0.001").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()

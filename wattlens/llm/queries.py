@@ -19,4 +19,4 @@ QUERIES = {
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_diagonal_licenses": licenses.op13_diagonal_licenses,
 }
-ORACLE: dict[str, str] = {"op12_merkle_manifest": merkle.OP12_SQL}
+ORACLE: dict[str, str] = {"op5_parity_sketch_join": shingle_join.OP5_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
