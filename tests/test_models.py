@@ -54,6 +54,18 @@ def test_expected_consumption(spark):
     assert models.expected_error(df.limit(50), trees=10).count() == 0
 
 
+def test_expected_forest_is_fitted_in_parts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"c{i}", float(b), float(b)) for i, b in enumerate(rng.uniform(5, 50, 60))]
+    df = spark.createDataFrame(rows, "customer_id string, first_90_mean double, last_30_mean double")
+    model = models.fit_expected(df, trees=23)
+    forests = [s for s in model.stages if hasattr(s, "getNumTrees")]
+    assert [f.getNumTrees for f in forests] == [10, 10, 3]
+    out = model.transform(models.feature_frame(df, K.EXPECTED_FEATURES)).collect()
+    assert all(r.prediction == pytest.approx((10 * r._part_0 + 10 * r._part_1 + 3 * r._part_2) / 23) for r in out)
+    assert not [c for c in models.expected_consumption(df, model).columns if c.startswith("_part_")]
+
+
 def test_classifier_needs_two_classes(spark, tmp_path):
     rows = [(f"c{i}", float(i % 2), float(i % 2) * 10 + i % 5) for i in range(80)]
     df = spark.createDataFrame(rows, "customer_id string, fraud_label double, avg_consumption double")

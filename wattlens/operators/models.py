@@ -1,6 +1,9 @@
 """Models: expected consumption, anomaly score and fraud probability."""
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -11,10 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 from wattlens import constants as K
 from wattlens.functions.columns import num, ratio
 from wattlens.operators import iforest, metrics
-from wattlens.plans.joins import lookup_join
+from wattlens.plans.joins import lookup_join, stored_bytes
 from wattlens.plans.selection import at_ranks, group_quantile
 from wattlens.plans.staging import stage
 
+TREES_A_PART, PARTS_AT_ONCE = 10, 12
+PIECE_BYTES = 32_000_000  # of the stored training rows that one partition holds
 MAX_DEPTH = 30  # trees without a limit stop at Spark's deepest; a parameter of every fit
 
 
@@ -42,7 +47,7 @@ def input_stages(frame: DataFrame, features: list[str]) -> list:
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(("f_", "i_"))], "features")
+    return df.drop(*[c for c in df.columns if c.startswith(("f_", "i_", "_part_"))], "features")
 
 
 def feature_vector(df: DataFrame, features: list[str] = K.MODEL_FEATURES, id_column: str = "customer_id") -> DataFrame:
@@ -73,13 +78,28 @@ def stratified_split(df: DataFrame, label: str, id_column: str = "customer_id",
 
 
 def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42, depth: int = MAX_DEPTH) -> PipelineModel:
-    forest = RandomForestRegressor(labelCol="label", featuresCol="features", predictionCol="prediction",
-                                   numTrees=trees, minInstancesPerNode=3, maxDepth=depth,
-                                   featureSubsetStrategy="all", seed=seed)
+    """Random forest for the mean of the last 30 readings.
+
+    Every partition of the rows sends statistics of all open nodes of all trees, so the forest is fitted in parts of
+    `TREES_A_PART` trees, several at a time, each on as few partitions as the rows fill. The prediction is the mean of all trees.
+    """
     label = F.coalesce(num(F.col("last_30_mean")), F.lit(0.0)).alias("label")
     frame = feature_frame(features, K.EXPECTED_FEATURES).select(label, *[f"f_{f}" for f in K.EXPECTED_FEATURES])
     frame = stage(frame, "training")  # read several times while fitting
-    return Pipeline(stages=[*input_stages(frame, K.EXPECTED_FEATURES), forest]).fit(frame)
+    prepared = Pipeline(stages=input_stages(frame, K.EXPECTED_FEATURES)).fit(frame)
+    rows = prepared.transform(frame.coalesce(1 + stored_bytes(frame) // PIECE_BYTES)).select("label", "features")
+    sizes = [min(TREES_A_PART, trees - first) for first in range(0, trees, TREES_A_PART)]
+
+    def fit(part: int):
+        return RandomForestRegressor(labelCol="label", featuresCol="features", predictionCol=f"_part_{part}",
+                                     numTrees=sizes[part], minInstancesPerNode=3, maxDepth=depth, cacheNodeIds=True,
+                                     featureSubsetStrategy="all", seed=seed + part).fit(rows)
+
+    with ThreadPool(min(len(sizes), PARTS_AT_ONCE)) as pool:
+        forests = pool.map(inheritable_thread_target(frame.sparkSession)(fit), range(len(sizes)))
+    total = " + ".join(f"`_part_{part}` * {size}" for part, size in enumerate(sizes))
+    mean = SQLTransformer(statement=f"SELECT *, ({total}) / {trees} AS `prediction` FROM __THIS__")
+    return PipelineModel(stages=[*prepared.stages, *forests, mean])
 
 
 def expected_consumption(features: DataFrame, model: PipelineModel | None = None, trees: int = 120,
