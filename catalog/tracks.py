@@ -194,7 +194,7 @@ def order_features(spark, folder) -> DataFrame:
 # --- units ---
 def unit_rows(spark, folder) -> DataFrame:
     """S readings as delivered unit readings: headers differ from the canonical names."""
-    readings = supplier_readings(spark, folder)
+    readings = dealt(supplier_readings(spark, folder), "customer_id")
     dim = supplier_dimension(spark, folder).select("customer_id", "city", F.col("fraud_label").alias("is_fraud"))
     key = F.col("customer_id").cast("long")
     return readings.join(dim, "customer_id", "left").select(

@@ -90,3 +90,11 @@ def test_peers_fall_back_without_a_city(spark):
     df = spark.createDataFrame(rows, "unit_id string, city string, location_type string, unit_type string, avg_consumption double")
     got = {r.unit_id: r.peer_avg_consumption for r in units.unit_peer(df).collect()}
     assert got == {"u1": 2.0, "u2": 2.0, "u3": 3.0, "u4": 5.5}
+
+
+def test_steps_by_unit_keep_their_partitions(spark, delivered):
+    """As many as the session's shuffle partitions, so that memory of a task doesn't follow the shuffled bytes."""
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    standard = units.building_standardize(delivered)
+    assert len(standard.inputFiles()) > 1
+    assert units.unit_lag_flags(units.unit_daily_flags(standard)).rdd.getNumPartitions() == count
