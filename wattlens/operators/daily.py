@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wattlens import constants as K
 from wattlens.functions.columns import flag, num_or, ratio
+from wattlens.plans.clustered import dealt
 
 
 def customer():
@@ -89,5 +90,9 @@ def weather_flags(df: DataFrame) -> DataFrame:
 
 
 def daily_context(readings: DataFrame) -> DataFrame:
-    """Readings with calendar, rolling baselines and all flags."""
-    return weather_flags(consumption_flags(rolling(calendar(readings)))).drop("_median")
+    """Readings with calendar, rolling baselines and all flags.
+
+    The readings are dealt by customer: partitions that follow the shuffled bytes would grow with the table, and the windows
+    need several times those bytes in memory.
+    """
+    return weather_flags(consumption_flags(rolling(calendar(dealt(readings, "customer_id"))))).drop("_median")
