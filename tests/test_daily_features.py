@@ -109,3 +109,23 @@ def test_features_do_not_depend_on_order_or_partitions(spark, readings):
     first = features.customer_features(daily.daily_context(df)).orderBy("customer_id").toPandas()
     again = features.customer_features(daily.daily_context(df.repartition(3).orderBy(F.rand(1)))).orderBy("customer_id").toPandas()
     pd.testing.assert_frame_equal(first, again[first.columns], rtol=1e-9)
+
+
+def test_attaching_weather_asks_the_readings_nothing(spark):
+    """Cities and days without weather of their own take the default city's, and nothing is read for it beforehand."""
+    day = [dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
+    weather = spark.createDataFrame([(day[0], "Home", 5.0), (day[1], "Home", 6.0), (day[0], "Far", 9.0), (day[2], "Far", None)],
+                                    "date date, city string, temp_mean double")
+    unread = spark.range(1).select(F.lit("a").alias("customer_id"), F.lit(day[0]).alias("date"),
+                                   F.raise_error(F.lit("read")).cast("string").alias("city"))
+    enrich.attach_weather(unread, weather, "Home")
+    rows = [("a", day[0], "Far"), ("a", day[1], "Far"), ("a", day[2], "Far"), ("b", day[0], "New"), ("b", day[1], None)]
+    df = spark.createDataFrame(rows, "customer_id string, date date, city string")
+    out = {(r.customer_id, r.date.day): (r.city, r.temp_mean) for r in enrich.attach_weather(df, weather, "Home").collect()}
+    assert out == {("a", 1): ("Far", 9.0), ("a", 2): ("Far", 6.0), ("a", 3): ("Far", 18.0), ("b", 1): ("New", 5.0), ("b", 2): ("Home", 6.0)}
+
+
+def test_windows_keep_their_partitions(spark, readings):
+    """As many as the session's shuffle partitions; by shuffled bytes it would be one."""
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert daily.daily_context(readings({f"c{i}": [1.0, 2.0] for i in range(40)})).rdd.getNumPartitions() == count

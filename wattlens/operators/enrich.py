@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wattlens import constants as K
 from wattlens.functions.columns import first_known, num, weather_class
 from wattlens.plans.joins import lookup_join
+from wattlens.plans.staging import stage
 
 DEFAULT_METADATA = {"customer_type": "residential", "city": K.DEFAULT_CITY}
 
@@ -128,21 +129,6 @@ def first_per_day(weather: DataFrame, order: str = "_order") -> DataFrame:
     return weather.groupBy("date", "city").agg(first.alias("w")).select("date", "city", "w.*")
 
 
-def settled_weather(weather: DataFrame, cities: DataFrame, default_city: str) -> DataFrame:
-    """One row per day and city in which the default city of that day has filled what is missing.
-
-    Cities without weather of their own get the default city's days. All of it happens in the small table, so the
-    readings need one join.
-    """
-    weather = first_per_day(weather)
-    values = [c for c in weather.columns if c not in ("date", "city")]
-    default = weather.filter(F.col("city") == default_city).select("date", *[F.col(c).alias(f"_fb_{c}") for c in values])
-    names = cities.filter(F.col("city").isNotNull()).agg(F.collect_set("city")).scalar()  # distinct city names
-    keys = default.select("date", F.explode(names).alias("city")).unionByName(weather.select("date", "city")).distinct()
-    filled = keys.join(weather, ["date", "city"], "left").join(default, "date", "left")
-    return filled.select("date", "city", *[F.coalesce(c, f"_fb_{c}").alias(c) for c in values])
-
-
 def attach_weather(readings: DataFrame, weather: DataFrame, default_city: str = K.DEFAULT_CITY) -> DataFrame:
     """Weather by day and city, else of the default city on that day, else constants."""
     city = F.col("city") if "city" in readings.columns else F.lit(None).cast("string")
@@ -150,15 +136,16 @@ def attach_weather(readings: DataFrame, weather: DataFrame, default_city: str =
     renamed = weather.withColumnsRenamed({"latitude": "weather_latitude", "longitude": "weather_longitude"})
     values = [c for c in renamed.columns if c not in ("date", "city") and c not in readings.columns]
     order = [c for c in ("_order",) if c in weather.columns]
-    table = settled_weather(renamed.select("date", "city", *order, *[c for c in values if c not in order]),
-                            readings.select("city").distinct(), default_city)
     values = [c for c in values if c not in order]
+    own = stage(first_per_day(renamed.select("date", "city", *order, *values)), "weather")
+    usual = own.filter(F.col("city") == default_city).select("date", *[F.col(c).alias(f"_fb_{c}") for c in values])
     # one city can hold a large share of all readings: beyond the broadcast size the join spreads a key over salts
-    out = lookup_join(readings, table, ["date", "city"], spread=["customer_id"])
+    out = lookup_join(readings, own, ["date", "city"], spread=["customer_id"], stored=True)
+    out = lookup_join(out, usual, ["date"], spread=["customer_id"])  # one row per day; the readings need not be asked for their cities
     filled = {}
     for c in values:
-        value = F.col(c)
+        value = F.coalesce(c, f"_fb_{c}")
         default = K.WEATHER_DEFAULTS.get(c)
         filled[c] = value if default is None else F.coalesce(num(value), F.lit(default)).cast(
             "double" if isinstance(default, float) else "int")
-    return out.withColumns(filled)
+    return out.withColumns(filled).drop(*[f"_fb_{c}" for c in values])
