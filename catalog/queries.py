@@ -10,6 +10,7 @@ from wattlens import constants as K, pipeline
 from wattlens.functions import columns as C
 from wattlens.operators import (audit, clean, daily, enrich, explain, features, forecast, geo, metrics, models, ops,
                                 risk, units)
+from wattlens.plans.clustered import dealt
 from wattlens.plans.staging import stage
 from wattlens.sources import detect, reshape
 
@@ -420,7 +421,7 @@ def trend_slope(s, d):
 @query
 def first_meta(s, d):
     every = T.supplier_dimension(s, d).columns[1:]
-    return features.customer_metadata(daily.daily_context(T.supplier_weather(s, d, every)))
+    return features.customer_metadata(daily.daily_context(dealt(T.supplier_weather(s, d, every), "customer_id")))
 
 
 @query

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import tracks
 from wattlens.operators import daily, enrich, features
 
 
@@ -125,7 +126,8 @@ def test_attaching_weather_asks_the_readings_nothing(spark):
     assert out == {("a", 1): ("Far", 9.0), ("a", 2): ("Far", 6.0), ("a", 3): ("Far", 18.0), ("b", 1): ("New", 5.0), ("b", 2): ("Home", 6.0)}
 
 
-def test_windows_keep_their_partitions(spark, readings):
+def test_windows_keep_their_partitions(spark, readings, monkeypatch):
     """As many as the session's shuffle partitions; by shuffled bytes it would be one."""
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert daily.daily_context(readings({f"c{i}": [1.0, 2.0] for i in range(40)})).rdd.getNumPartitions() == count
+    monkeypatch.setattr(tracks, "supplier_weather", lambda s, d: readings({f"c{i}": [1.0, 2.0] for i in range(40)}))
+    assert tracks.supplier_daily(spark, "").rdd.getNumPartitions() == count
