@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattlens.operators import daily, enrich, explain, features, risk, units
 from wattlens.operators.enrich import temperature_context
-from wattlens.plans.clustered import dealt, stored_clustered
+from wattlens.plans.clustered import dealt, enough_partitions, stored_clustered
 from wattlens.plans.staging import stored
 
 
@@ -63,11 +63,13 @@ def supplier_kwh() -> Column:
             .otherwise(q))
 
 
-def supplier_readings(spark, folder) -> DataFrame:
-    """Whole kWh per supplier and ship date."""
-    items = table(spark, folder, "lineitem")
-    return items.groupBy(text("l_suppkey").alias("customer_id"), F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(supplier_kwh()).alias("consumption_kwh"))
+def supplier_readings(spark, folder, spread=False) -> DataFrame:
+    """Whole kWh per supplier and ship date. `spread` deals the items by supplier and date into as many partitions as they need."""
+    items = table(spark, folder, "lineitem").select(
+        text("l_suppkey").alias("customer_id"), F.to_date("l_shipdate").alias("date"), supplier_kwh().alias("kwh"))
+    if spread:
+        items = items.repartition(enough_partitions(items), "customer_id", "date")
+    return items.groupBy("customer_id", "date").agg(F.sum("kwh").alias("consumption_kwh"))
 
 
 def payment_fields(key: Column, balance: Column) -> dict[str, Column]:
@@ -194,7 +196,8 @@ def order_features(spark, folder) -> DataFrame:
 # --- units ---
 def unit_rows(spark, folder) -> DataFrame:
     """S readings as delivered unit readings: headers differ from the canonical names."""
-    readings = dealt(supplier_readings(spark, folder), "customer_id")
+    readings = supplier_readings(spark, folder, spread=True)
+    readings = dealt(readings, "customer_id", enough_partitions(readings))
     dim = supplier_dimension(spark, folder).select("customer_id", "city", F.col("fraud_label").alias("is_fraud"))
     key = F.col("customer_id").cast("long")
     return readings.join(dim, "customer_id", "left").select(

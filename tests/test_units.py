@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattlens.operators import units
+from wattlens.plans import clustered
+from wattlens.plans.joins import stored_bytes
 from wattlens.sources.detect import find_unit_header
 
 
@@ -98,3 +100,15 @@ def test_steps_by_unit_keep_their_partitions(spark, delivered):
     standard = units.building_standardize(delivered)
     assert len(standard.inputFiles()) > 1
     assert units.unit_lag_flags(units.unit_daily_flags(standard)).rdd.getNumPartitions() == count
+
+
+def test_partitions_follow_the_files(spark, delivered, tmp_path, monkeypatch):
+    """A session's number of partitions alone would let a task's memory grow with the table."""
+    delivered.write.parquet(f"{tmp_path}/files")
+    read = spark.read.parquet(f"{tmp_path}/files")
+    count, size = int(spark.conf.get("spark.sql.shuffle.partitions")), stored_bytes(read)
+    assert clustered.enough_partitions(read) == clustered.enough_partitions(delivered) == count
+    monkeypatch.setattr(clustered, "PARTITION_BYTES", -(-size // (4 * count)))
+    assert clustered.enough_partitions(read) == 4 * count
+    standard = units.building_standardize(read)
+    assert units.unit_lag_flags(units.unit_daily_flags(standard)).rdd.getNumPartitions() > count

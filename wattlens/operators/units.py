@@ -12,7 +12,7 @@ from wattlens.operators import metrics, models
 from wattlens.operators.clean import coerce_numeric, parse_date
 from wattlens.operators.enrich import (city_climate, first_attributes, seasonal_temperature, temperature_context,
                                         text_columns)
-from wattlens.plans.clustered import dealt
+from wattlens.plans.clustered import dealt, enough_partitions
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.ordering import global_rank
 from wattlens.plans.selection import exact_quantile, group_quantile
@@ -63,8 +63,8 @@ def building_standardize(df: DataFrame, mapping: dict[str, str] | None = None) -
     out = out.filter(F.col("date").isNotNull() & F.col("consumption_kwh").isNotNull() & F.col("unit_id").isNotNull())
     texts = [c for c in text_columns(out, ["unit_id"]) if c in ATTRIBUTES]
     varying = [c for c in text_columns(out, ["unit_id"]) if c not in ATTRIBUTES]
-    # dealt, since partitions by shuffled bytes would need memory that grows with the table
-    merged = dealt(one_per_day(out.drop(*texts, *varying)), "unit_id").join(first_attributes(out, "unit_id", texts), "unit_id", "left")
+    days = one_per_day(out.drop(*texts, *varying))
+    merged = dealt(days, "unit_id", enough_partitions(out)).join(first_attributes(out, "unit_id", texts), "unit_id", "left")
     for name in varying:
         merged = merged.join(most_frequent(out, ["unit_id", "date"], name), ["unit_id", "date"], "left")
     if "anomaly_type" in varying:
@@ -147,7 +147,8 @@ def unit_daily_flags(df: DataFrame) -> DataFrame:
 def unit_lag_flags(df: DataFrame) -> DataFrame:
     """Fall against the previous reading, and readings that hardly change. Dealt by unit, which a later aggregate keeps."""
     kwh, before = F.col("consumption_kwh"), F.col("prev_kwh")
-    df = dealt(df, "unit_id").withColumn("prev_kwh", F.lag("consumption_kwh").over(Window.partitionBy("unit_id").orderBy("date")))
+    along = Window.partitionBy("unit_id").orderBy("date")
+    df = dealt(df, "unit_id", enough_partitions(df)).withColumn("prev_kwh", F.lag("consumption_kwh").over(along))
     return df.withColumns({"sudden_drop_flag": flag((before > 2) & (kwh < before * 0.28)),
                            "small_change": flag(F.abs(kwh - before) < 0.04)})
 

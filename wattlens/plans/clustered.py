@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattlens.plans.staging import staging_root
 
+PARTITION_BYTES = 4_000_000  # of the files that a table is made from, for one of its partitions
+UNKNOWN_BYTES = 1 << 60  # the optimizer's size of a source that tells none is larger
 _KNOWN: dict[tuple[str, str], str] = {}  # finished tables of `stored_clustered` by application and key
 
 
@@ -16,6 +18,20 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def enough_partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions, doubled until one stands for at most PARTITION_BYTES of the files that `df` reads.
+
+    For steps that aren't stored as buckets: in a fixed number of partitions a task's windows, sorts and aggregates would need
+    memory that grows with the table. Sources that tell no size, such as rows of the driver, don't count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    count, size = bucket_count(df.sparkSession), sum(s for s in sizes if s < UNKNOWN_BYTES)
+    while count * PARTITION_BYTES < size:
+        count *= 2
+    return count
+
+
 def dealt(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Rows in the partitions that will be the buckets. Windows and aggregates by `key` on top of it keep them, so the whole
     way into a clustered table has one shuffle."""
