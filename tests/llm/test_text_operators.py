@@ -1,7 +1,9 @@
 """Token counts, packing, quality rules, language, page text: against plain versions, and on awkward rows."""
 import collections
+import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -53,6 +55,19 @@ def test_pretokens_are_forgotten_without_changing_counts(monkeypatch, tokenizer)
         assert own.ids(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_remembered_pretokens_take_little_memory(tokenizer):
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in ("an", "eo", "iu", "oe", "ua") for c in map("".join, itertools.product("abcdefghij", repeat=3))]
+    own = tokens.Pieces(tokens.default_tokenizer())
+    texts = pa.array([" ".join(words[i:i + 500]) for i in range(0, len(words), 500)])
+    own.ids(texts.slice(0, 1))
+    tracemalloc.start()
+    ids, sizes = own.ids(texts)
+    kept = tracemalloc.get_traced_memory()[0] - ids.nbytes - sizes.nbytes
+    tracemalloc.stop()
+    assert kept < 80 * len(words)
+    assert ids.tolist() == [i for t in texts.to_pylist() for i in tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def check_packing(rows, ids_of, capacity):
     bins, docs = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:

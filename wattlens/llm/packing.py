@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from wattlens.llm.arrow_text import ship, sub_batches
-from wattlens.llm.tokens import default_tokenizer, pieces
+from wattlens.llm.arrow_text import begin_task, ship, sub_batches
+from wattlens.llm.tokens import OWNER, default_tokenizer, pieces
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
+SLICE = 500_000  # bytes of texts that are cut at once; the arrays made from them take many times that
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -81,9 +82,10 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer: str |
 
     def run(batches):
         from pyspark import TaskContext
+        begin_task(OWNER)
         part, own, seen = TaskContext.get().partitionId(), pieces(path), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows in sub_batches(batch, 1):
+            for rows in sub_batches(batch, 1, SLICE):
                 body, sizes = own.ids(rows.column(1))
                 ends = np.cumsum(sizes)
                 flat_ids = np.insert(body, ends, end_id).astype("<u4")

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattlens.llm.arrow_text import LOWER, REMEMBERED, SPACE, add_columns, flat, span_hashes
+from wattlens.llm.arrow_text import LOWER, REMEMBERED, SPACE, U64, add_columns, flat, span_hashes
 
 KNOWN_PRETOKENS = 800_000  # distinct pre-tokens a worker remembers; beyond that it starts anew, results stay the same
+LEARNED_AT_ONCE = 4_000  # pre-tokens; the tokenizer's answers hold much more than the ids
 TOKEN_LIMIT = 2048
 OWNER = "tokens"
 LETTER, DIGIT, POINT, OTHER = 1, 2, 3, 0  # classes of bytes; OTHER never is cut from a neighbour
@@ -66,7 +67,8 @@ def default_tokenizer() -> str:
 
 
 class Pieces:
-    """Ids of pre-tokens, remembered by hash: `pool` holds all ids, `start` and `count` the place of each pre-token."""
+    """Ids of pre-tokens, remembered by hash: `pool` holds all ids, `start` and `count` the place of each pre-token. The sorted
+    `keys` and the number of each pre-token, `number`, are arrays: a dictionary of Python integers takes ten times their memory."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,39 +79,48 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.number = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.known = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.filled = 0
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
+    def learn(self, texts: list[str]) -> None:
+        """Ids of pre-tokens that take the next numbers."""
         encoded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        known, sizes = len(self.place), np.fromiter(map(len, encoded), np.int64, len(encoded))
+        known, sizes = self.known, np.fromiter(map(len, encoded), np.int64, len(encoded))
         total = int(sizes.sum())
-        for name, need in (("pool", self.filled + total), ("start", known + len(keys)), ("count", known + len(keys))):
+        for name, need in (("pool", self.filled + total), ("start", known + len(texts)), ("count", known + len(texts))):
             array = getattr(self, name)
             if need > len(array):
                 setattr(self, name, np.concatenate([array, np.zeros(max(need, len(array)), array.dtype)]))
         self.pool[self.filled:self.filled + total] = np.fromiter((i for ids in encoded for i in ids), np.uint32, total)
-        self.start[known:known + len(keys)] = self.filled + np.cumsum(sizes) - sizes
-        self.count[known:known + len(keys)] = sizes
+        self.start[known:known + len(texts)] = self.filled + np.cumsum(sizes) - sizes
+        self.count[known:known + len(texts)] = sizes
         self.filled += total
-        self.place.update(zip(keys, range(known, known + len(keys))))
+        self.known += len(texts)
 
     def codes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place of each pre-token among the remembered ones; new ones are split into pieces here, once."""
+        """The number of each pre-token among the remembered ones; new ones are split into pieces here, once."""
         distinct, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > KNOWN_PRETOKENS:
+        if self.known + len(distinct) > KNOWN_PRETOKENS:
             self.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        raw = data.tobytes()
-        for low in range(0, len(new), 20_000):
-            part = new[low:low + 20_000]
-            self.learn([keys[i] for i in part],
-                       [raw[starts[first[i]]:ends[first[i]]].decode("utf-8", "replace") for i in part])
-        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
+        at = np.searchsorted(self.keys, distinct)
+        old = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        old[inside] = self.keys[at[inside]] == distinct[inside]
+        new = np.flatnonzero(~old)
+        numbers = np.empty(len(distinct), np.int32)
+        numbers[old] = self.number[at[old]]
+        numbers[new] = np.arange(self.known, self.known + len(new))
+        begins, closes, raw = starts[first[new]].tolist(), ends[first[new]].tolist(), data.tobytes()
+        for low in range(0, len(new), LEARNED_AT_ONCE):
+            high = low + LEARNED_AT_ONCE
+            self.learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(begins[low:high], closes[low:high])])
+        self.keys = np.insert(self.keys, at[new], distinct[new])
+        self.number = np.insert(self.number, at[new], numbers[new])
+        return numbers[inverse]
 
     def count_tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of each text."""
