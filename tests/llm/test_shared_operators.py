@@ -266,6 +266,21 @@ def test_audit_widens_beams_that_miss_links(monkeypatch, case):
     assert near.any() and found.to_dict() == {i: n for i, n in enumerate(near.sum(axis=1)) if n}
 
 
+
+def test_graphs_decide_where_matches_are_rare(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32))
+    x[3001] = x[3000] + rng.normal(scale=0.05, size=32)
+    searched, compared = [], []
+    within, matches = hnsw.Graph.within, hnsw.matches
+    monkeypatch.setattr(hnsw.Graph, "within", lambda g, q, *rest: searched.append(len(q)) or within(g, q, *rest))
+    monkeypatch.setattr(hnsw, "matches", lambda g, q, least: compared.append(len(q)) or matches(g, q, least))
+    shard = pd.DataFrame({"dim": 32, "shard": 0, "node": np.arange(4000), "copies": 1, "vector": list(x)})
+    found = hnsw.search_cell(hnsw.build_shard(shard), 0.9).set_index("node")["links"]
+    assert found.to_dict() == {3000: 1, 3001: 1}
+    assert searched[-1] == 4000 and sum(compared) <= hnsw.AUDITED + hnsw.PLANTED
+
+
 TEXTS = ["call +1 (555) 123-4567 or 555-123-4567 now",
          "mail John.Smith@Mail7.Example.com, john.smith@mail7.example.com and ann@mail7.example.com.",
          "card 4532015112830366 bad 4532015112830367 4532-0151-1283-0366", "ip 192.168.1.20 and 8.8.4.4, v 1.2.3.4.5",

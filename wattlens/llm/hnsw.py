@@ -2,8 +2,9 @@
 
 Vectors are dealt to shards by hash; each shard builds one graph and stores it. Every vector then queries every shard: a cell
 holds two shards' graphs and searches each with the vectors of the other. A search that fills its beam with
-matches is repeated with a wider one, and the beams of a cell are widened until the mean recall of an audited set of queries,
-compared with all vectors of the shard, reaches the target; queries are audited until enough of them have matches, or all are. Found pairs are verified in double precision. A cell returns one
+matches is repeated with a wider one. How wide a cell's beams begin is settled on an audited sample that is compared with all
+vectors of the shard: vectors of the cell, and ones made to lie near stored ones, so that a recall can be told however rare
+matches are. Then all vectors search once. Found pairs are verified in double precision. A cell returns one
 row per linked vector (its links and a neighbour that stands for its component), so no list of pairs leaves a task.
 
 The graphs are built and searched for many vectors at once with NumPy; positions in a shard are ordered by level, so every
@@ -22,13 +23,15 @@ from wattlens.llm.components import components
 from wattlens.plans.staging import stage
 
 LINKS, BASE_LINKS = 12, 24
-BUILD_BEAM, BEAM, UPPER_BEAM = 32, 16, 8
-TOP = 64  # a layer of at most so many nodes is searched whole
+BUILD_BEAM, BEAM, UPPER_BEAM = 32, 8, 8
+TOP = 64  # a base layer of at most so many nodes is searched whole
+UPPER_TOP = 1024  # a layer above the base, which only gives start nodes, likewise
+ENTRIES = 4  # start nodes from a layer that is searched whole
 BATCH = 256
 FLAG_BYTES = 32_000_000  # visited flags of a batch of queries
 MIN_SHARDS, SHARD_BYTES = 6, 64_000_000
-AUDITED, RECALL = 512, 0.99
-ENOUGH, FEW = 128, 16  # queries with one to so many matches that an audit needs
+AUDITED, PLANTED, RECALL = 512, 256, 0.99
+FEW = 16  # matches of a query whose recall is also judged apart from those of large groups
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ class Graph:
         if links is None:
             self.links = [np.zeros((0, 0), np.int32)] * len(sizes)
             for layer in range(len(sizes) - 1, -1, -1):
-                if sizes[layer] > TOP:
+                if sizes[layer] > (UPPER_TOP if layer else TOP):
                     self._build(layer, BASE_LINKS if layer == 0 else LINKS)
 
     def entries(self, queries: np.ndarray, layer: int) -> np.ndarray:
@@ -125,8 +128,9 @@ class Graph:
         above = [k for k in range(len(self.sizes)) if k > layer and self.sizes[k]]
         found = np.zeros((len(queries), 1), np.int64)
         for k in reversed(above):
-            if self.sizes[k] <= TOP:
-                found = (queries @ self.vectors[:self.sizes[k]].T).argmax(axis=1)[:, None]
+            if self.sizes[k] <= UPPER_TOP:
+                sims = queries @ self.vectors[:self.sizes[k]].T
+                found, _ = _top(np.broadcast_to(np.arange(self.sizes[k]), sims.shape), sims, ENTRIES)
             else:
                 found, _ = beam_search(self.vectors, self.links[k], queries, found, UPPER_BEAM, self.sizes[k])
         return found
@@ -195,49 +199,56 @@ class Graph:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def audit(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """True (query, position) pairs of audited queries, and whether all queries were audited (then no pair is missing).
+def planted(vectors: np.ndarray, least: float) -> np.ndarray:
+    """Up to PLANTED unit vectors, each with a cosine between `least` and 1 to a stored one."""
+    rng = np.random.default_rng(len(vectors))
+    near = vectors[rng.permutation(len(vectors))[:PLANTED]].astype(float)
+    aside = rng.normal(size=near.shape)
+    aside -= np.einsum("nd,nd->n", aside, near)[:, None] * near
+    aside /= np.maximum(np.sqrt(np.einsum("nd,nd->n", aside, aside))[:, None], 1e-9)
+    cosine = rng.uniform(least, 1, (len(near), 1))
+    return (cosine * near + np.sqrt(1 - cosine ** 2) * aside).astype(np.float32)
 
-    Queries are taken in a fixed random order until ENOUGH of them have one to FEW matches; a query's match with itself is none.
-    """
+
+def matches(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, position) pairs with a similarity of at least `least`, by comparison with every vector."""
     step = max(16, FLAG_BYTES // (4 * len(graph.vectors)))
-    order = np.random.default_rng(len(queries)).permutation(len(queries))
-    rows, cols, done, enough = [], [], 0, 0
-    while done < len(order) and (done < AUDITED or enough < ENOUGH):
-        part = order[done:done + step]
-        row, col = np.nonzero(queries[part] @ graph.vectors.T >= least)
-        if queries is graph.vectors:
-            other = part[row] != col
-            row, col = row[other], col[other]
-        matches = np.bincount(row, minlength=len(part))
-        enough += int(((matches > 0) & (matches <= FEW)).sum())
-        rows.append(part[row])
-        cols.append(col)
-        done += len(part)
-    return np.concatenate(rows), np.concatenate(cols), done == len(order)
+    parts = [np.nonzero(queries[low:low + step] @ graph.vectors.T >= least) for low in range(0, len(queries), step)]
+    return np.concatenate([row + i * step for i, (row, _) in enumerate(parts)]), np.concatenate([col for _, col in parts])
 
 
 def recalls(row: np.ndarray, hit: np.ndarray) -> float:
     """The lower of the mean recall of all audited queries and of those with few matches, so that no large group hides them."""
+    if not len(row):
+        return 1.0
     number, found = np.bincount(row), np.bincount(row, hit)
     share = found[number > 0] / number[number > 0]
     few = share[number[number > 0] <= FEW]
     return min(share.mean(), few.mean() if len(few) else 1.0)
 
 
-def audited_search(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, bool]:
-    """Pairs as query * nodes + position, and whether they are exact; beams widen until the audited queries' recall reaches the
-    target. Where matches are too rare to tell the recall, the audit ends up comparing all and no search is needed."""
+def audited_search(graph: Graph, queries: np.ndarray, least: float) -> np.ndarray:
+    """Pairs as query * nodes + position. Beams widen until the recall of an audited sample reaches the target, of AUDITED
+    queries (a match with itself is none) as of the planted ones; its size is fixed, so an audit costs no more than a search."""
     size, beam = graph.sizes[0], BEAM
-    row, col, whole = audit(graph, queries, least)
-    truth = row * size + col
-    while not whole:
-        q, x = graph.within(queries, least, beam)
-        found = np.unique(q * size + x)
-        if beam >= size or recalls(row, np.isin(truth, found)) >= RECALL:
-            return np.union1d(found, truth), False
+    at = np.random.default_rng(len(queries)).permutation(len(queries))[:AUDITED]
+    truths = []
+    for sample in (queries[at], planted(graph.vectors, least)):
+        row, col = matches(graph, sample, least)
+        if not truths and queries is graph.vectors:
+            other = at[row] != col
+            row, col = row[other], col[other]
+        truths.append((sample, row, col))
+
+    def reached() -> bool:
+        return all(recalls(row, np.isin(row * size + col, q * size + x)) >= RECALL
+                   for sample, row, col in truths for q, x in [graph.within(sample, least, beam)])
+
+    while beam < size and not reached():
         beam *= 2
-    return np.unique(truth), True
+    q, x = graph.within(queries, least, beam)
+    _, row, col = truths[0]
+    return np.union1d(q * size + x, at[row] * size + col)
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -289,10 +300,10 @@ def search_cell(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     (node_a, copies_a, unit_a, graph_a), (node_b, copies_b, unit_b, graph_b) = sides[0], sides[-1]
     loose = np.float32(least - 1e-4)
     size_a, size_b = len(node_a), len(node_b)
-    codes, exact = audited_search(graph_a, graph_b.vectors, loose)
+    codes = audited_search(graph_a, graph_b.vectors, loose)
     pairs = [(codes % size_a, codes // size_a)]
-    if len(sides) == 2 and not exact:
-        codes, _ = audited_search(graph_b, graph_a.vectors, loose)
+    if len(sides) == 2:
+        codes = audited_search(graph_b, graph_a.vectors, loose)
         pairs.append((codes // size_b, codes % size_b))
     code = np.unique(np.concatenate([a * size_b + b for a, b in pairs]))
     a, b = code // size_b, code % size_b
