@@ -197,6 +197,21 @@ def test_texts_that_share_only_a_passage_are_no_candidates(spark):
     assert [(r.src, r.dst) for r in edges if 300 in (r.src, r.dst)] == [(300, 0)] and len(edges) < 10
 
 
+def test_blocks_are_shuffled_once_before_the_single_ones_go(spark, monkeypatch):
+    plans = {}
+
+    def staged(df, label="stage"):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df
+
+    monkeypatch.setattr(shingle_join, "stage", staged)
+    rows = [(1, [1, 2, 3], 1, [], 0), (2, [2, 3, 4], 1, [9], 0), (3, [3, 5], 0, [9], 0), (4, [6], 0, [], 0), (5, [], 0, [], 0)]
+    nodes = spark.createDataFrame(rows, "node bigint, keys array<bigint>, spare int, keys_above array<bigint>, spare_above int")
+    edges = sorted((r.src, r.dst) for r in shingle_join.candidate_edges(nodes).collect())
+    assert edges == [(2, 1), (3, 2)]  # the most frequent block, 3, is left out by 1 and 2; 2 and 3 share block 9
+    assert "Join" not in plans["kept-blocks"] and list(plans) == ["kept-blocks"]
+
+
 def vectors(seed=8, n=900, dim=24):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim))

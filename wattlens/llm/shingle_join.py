@@ -140,16 +140,16 @@ def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
 def candidate_edges(nodes: DataFrame) -> DataFrame:
     """Edges (src, dst) that connect all texts sharing a block that they did not leave out.
 
-    A key's holders are counted first. Keys of one text alone go no further; of the others a text leaves out the most
-    frequent ones, as many as it may. What stays links a text to the smallest of its keys' leads, and these leads to that one.
+    A key's holders are counted where its rows have been shuffled to, so blocks, the bulk of what moves, move once. Keys of one text
+    alone go no further; of the others a text leaves out the most frequent ones, as many as it may. What stays links a text to the smallest of its keys' leads, and these leads to that one.
     """
-    layers = [nodes.select("node", F.lit(i).alias("layer"), F.col(spare).alias("spare"), F.explode(keys).alias("key"))
+    # one number, to keep rows short: how many may be left out, and the layer as its last bit
+    layers = [nodes.select("node", (F.col(spare) * 2 + i).alias("spare_layer"), F.explode(keys).alias("key"))
               for i, (keys, spare) in enumerate((("keys", "spare"), ("keys_above", "spare_above")))]
-    keys = layers[0].unionByName(layers[1])
-    shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared-blocks")
-    held = keys.join(shared, "key")
-    hottest = Window.partitionBy("node", "layer").orderBy(F.desc("c"), "key")  # the blocks of one text
-    kept = stage(held.withColumn("place", F.row_number().over(hottest)).filter("place > spare").select("node", "key"), "kept-blocks")
+    holders = Window.partitionBy("key")  # thin rows; a block in many texts spills
+    held = layers[0].unionByName(layers[1]).withColumn("c", F.count("*").over(holders)).filter("c > 1")
+    hottest = Window.partitionBy("node", "spare_layer").orderBy(F.desc("c"), "key")  # the blocks of one text
+    kept = stage(held.withColumn("place", F.row_number().over(hottest)).filter("place > shiftright(spare_layer, 1)").select("node", "key"), "kept-blocks")
     leads = kept.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c")
     named = kept.join(leads, "key").groupBy("node").agg(F.min("lead").alias("first"), F.collect_set("lead").alias("leads"))
     own = named.filter("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
