@@ -2,6 +2,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wattlens.llm import components, hnsw, language, mixing, pii, sharding, shingle_join
+from wattlens.llm import arrow_text, components, hnsw, language, mixing, pii, sharding, shingle_join
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -148,6 +149,33 @@ def test_clusters_of_many_tiles_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found.collect()} == components_of(list(sets), plain_links(sets, 85))
 
 
+def test_sketches_of_a_tile_with_a_long_text_take_little_memory():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in [20] * 600 + [40_000]]
+    copy = np.unique(np.concatenate([sets[-1][:-500], rng.integers(0, 1 << 63, 500).astype(np.uint64)]))
+    tracemalloc.start()
+    found = shingle_join.compare_block(sets[:300] + [copy], sets[300:], 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(300, 601)]
+    assert peak < 64_000_000  # 600 rows of 2 ** 16 counts at once took 315 MB
+    odd = [np.bincount((s & np.uint64(1023)).astype(int), minlength=1024) % 2 for s in sets]
+    assert (np.unpackbits(shingle_join.dense_sketches(sets, 1024).view(np.uint8), axis=1) == odd).all()
+
+
+def test_a_slice_of_shingles_takes_little_memory():
+    texts = pa.array([" ".join(f"w{i * 7 + j}" for j in range(400)) for i in range(900)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    whole = shingle_join.document_sets(texts, 5)
+    arrow_text.powers.cache_clear()
+    tracemalloc.start()
+    sets = [s for part in arrow_text.sub_batches(batch, 0, shingle_join.SLICE) for s in shingle_join.document_sets(part.column(0), 5)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sets) == len(whole) and all((a == b).all() for a, b in zip(sets, whole))
+    assert peak < 45_000_000  # the tables of powers alone took 32 MB, slices of 2 MB 90 MB
+
+
 def test_repeated_rows_null_ids_and_no_rows_in_the_join(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "q"), (2, "z y x w v u t")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

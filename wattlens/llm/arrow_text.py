@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 CHUNK = 2_000_000
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"  # of texts on their way to Python
+SLICE = 500_000  # bytes of texts at once for operators whose arrays take many times that
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"  # of texts on their way to Python; the JVM holds them too
 U64 = np.uint64
 ODD, ODD_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -49,7 +50,7 @@ def powers(length: int, base: int) -> np.ndarray:
 
 
 def _powers(length: int, base: int) -> np.ndarray:
-    return powers(1 << max(21, (length + 1).bit_length()), base)[: length + 1]
+    return powers(1 << max(19, (length + 1).bit_length()), base)[: length + 1]
 
 
 @lru_cache(maxsize=None)
@@ -82,6 +83,7 @@ def begin_task(owner: str = "") -> None:
         if name != owner:
             forget()
     gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def apart(docs: DataFrame, helpers: list[str], run: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:

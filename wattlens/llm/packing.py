@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from wattlens.llm.arrow_text import begin_task, ship, sub_batches
+from wattlens.llm.arrow_text import SLICE, begin_task, ship, sub_batches
 from wattlens.llm.tokens import OWNER, default_tokenizer, pieces
 from wattlens.plans.joins import lookup_join
 from wattlens.plans.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-SLICE = 500_000  # bytes of texts that are cut at once; the arrays made from them take many times that
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> np.ndarray:

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from wattlens.llm.arrow_text import LOWER, SPACE, U64, begin_task, flat, mix, ship, span_hashes, spans, sub_batches
+from wattlens.llm.arrow_text import LOWER, SLICE, SPACE, U64, begin_task, flat, mix, ship, span_hashes, spans, sub_batches
 from wattlens.llm.components import components
 from wattlens.plans.staging import stage
 
 BLOCK_BITS = 1 << 32  # sketches are sparse, so width costs nothing
 SPARE_BLOCKS = 1.2  # blocks of a layout per block that its largest texts must offer
 TILE_ROWS, TILE_HASHES = 1024, 1_000_000
+COUNTED_BITS = 1 << 20  # bits of sketches that are counted at once, in numbers of 8 bytes
 BROADCAST_BYTES = 32_000_000
 HASHED_ROW = 96  # bytes of a row of two numbers in a broadcast hash table
 _POSITION = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -122,7 +123,7 @@ def digest(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     def run(batches):
         begin_task()
         for batch in batches:
-            for rows in sub_batches(batch, len(keep) + 1):
+            for rows in sub_batches(batch, len(keep) + 1, SLICE):
                 sets = document_sets(rows.column(len(keep) + 1), words)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 n1 = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
@@ -157,16 +158,25 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     return own.unionByName(between).distinct()
 
 
+def dense_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row per set, a bit of it the parity of the hashes that hit it; some rows at a time, as counts take 64 times the bits."""
+    sketch, step = np.empty((len(sets), bits // 64), U64), max(1, COUNTED_BITS // bits)
+    for low in range(0, len(sets), step):
+        some = sets[low:low + step]
+        row = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        hit = (np.concatenate(some) & U64(bits - 1)).astype(np.int64)
+        parity = np.bincount(row * bits + hit, minlength=len(some) * bits).astype(np.uint8) & 1
+        sketch[low:low + step] = np.packbits(parity.reshape(len(some), bits), axis=1).view(U64)
+    return sketch
+
+
 def compare_block(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """A spanning set of the links between two lists of sets (of one list if `right` is None), as index pairs; indexes of
     `right` start at len(left)."""
     sets = left + (right or [])
     sizes = np.array([len(s) for s in sets], np.int64)
     bits = 1 << max(10, min(16, int(sizes.max()).bit_length() + 1))
-    row = np.repeat(np.arange(len(sets)), sizes)
-    hit = np.concatenate(sets) & U64(bits - 1)
-    parity = np.bincount(row * bits + hit.astype(np.int64), minlength=len(sets) * bits).astype(np.uint8) & 1
-    sketch = np.packbits(parity.reshape(len(sets), bits), axis=1).view(U64)
+    sketch = dense_sketches(sets, bits)
     label, found = np.arange(len(sets)), []
     for a in range(len(left)):
         others = np.arange(a + 1 if right is None else len(left), len(sets))
@@ -207,7 +217,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
         begin_task()
         seen: set[int] = set()  # rows that repeat an id and its text leave a task once
         for batch in batches:
-            for part in sub_batches(batch, 0):
+            for part in sub_batches(batch, 0, SLICE):
                 sets = document_sets(part.column(0), words)
                 n1 = np.array([s.sum(dtype=U64) for s in sets], U64).view(np.int64)
                 n2 = np.array([mix(s ^ _POSITION[2]).sum(dtype=U64) for s in sets], U64).view(np.int64)
