@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattlens import constants as K
-from wattlens.operators import iforest, metrics, models
+from wattlens.operators import forest, iforest, metrics, models
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,61 @@ def test_expected_forest_is_fitted_in_parts(spark):
     assert not [c for c in models.expected_consumption(df, model).columns if c.startswith("_part_")]
 
 
+def test_trees_are_those_of_plain_recursion():
+    """One tree against a plain version, with nodes counted in several slices."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=500), rng.integers(0, 4, 500), np.ones(500)])
+    y = np.round(x[:, 0] * 3 + x[:, 1], 1) + rng.normal(size=500)
+    cuts = [forest.cut_points(v) for v in x.T]
+    assert [len(c) for c in cuts] == [31, 3, 0] and list(cuts[1]) == [0.5, 1.5, 2.5]
+    bins = np.stack([np.searchsorted(c, v).astype(np.uint8) for c, v in zip(cuts, x.T)])
+    weight = np.random.default_rng(11).poisson(1.0, 500)
+
+    def best(rows, depth):
+        w, mean = weight[rows].sum(), np.average(y[rows], weights=weight[rows])
+        options = []
+        for f, points in enumerate(cuts if depth < 9 else []):
+            for cut in points:
+                a, b = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                if min(weight[a].sum(), weight[b].sum()) >= 3:
+                    gain = sum(weight[r].sum() / w * (np.average(y[r], weights=weight[r]) - mean) ** 2 for r in (a, b))
+                    options.append((gain, a, b))
+        gain, a, b = max(options, key=lambda o: o[0], default=(0, None, None))
+        return [(w, round(mean, 9))] + (best(a, depth + 1) + best(b, depth + 1) if gain > 1e-9 else [])
+
+    expected = best(np.flatnonzero(weight), 0)
+    for cells in (forest.CELLS, 64):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(forest, "CELLS", cells)
+            nodes = forest.grow_tree(bins, cuts, y, np.random.default_rng(11), 9, 3)
+        assert sorted(zip(nodes["weight"], np.round(nodes["prediction"], 9))) == sorted(expected)
+        leaf = forest.leaves(nodes, bins)
+        assert (nodes["feature"][leaf] == -1).all() and np.bincount(leaf, weight)[leaf] == pytest.approx(nodes["weight"][leaf])
+
+
+def test_expected_forest_is_applied_where_it_is_grown(spark, monkeypatch):
+    """Rows whose ids repeat or are missing get the model's prediction, and no tree depends on the partitions."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 7 == 0 else f"c{i % 50}", float(b), float(b) + float(e), None if i % 9 == 0 else float(b))
+            for i, (b, e) in enumerate(zip(rng.uniform(5, 50, 300), rng.normal(size=300)))]
+    df = spark.createDataFrame(rows, "customer_id string, first_90_mean double, last_30_mean double, previous_90_mean double")
+    model = models.fit_expected(df, trees=12)
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "fit_expected", None)  # whose model holds all nodes in the driver
+        direct = models.expected_consumption(df, trees=12)
+    names = ["customer_id", "first_90_mean", "last_30_mean", "expected_last_30_consumption", "expected_deviation_pct"]
+    key = lambda r: tuple((v is None, v) for v in r)
+    a = sorted((tuple(r) for r in direct.select(names).collect()), key=key)
+    b = sorted((tuple(r) for r in models.expected_consumption(df.repartition(3), model).select(names).collect()), key=key)
+    assert len(a) == 300 and [r[:3] for r in a] == [r[:3] for r in b]
+    assert [r[3:] for r in a] == [pytest.approx(r[3:]) for r in b]
+    assert direct.columns == models.expected_consumption(df, model).columns
+    again = models.fit_expected(df.repartition(5), trees=12)
+    first, second = (m.transform(models.feature_frame(df, K.EXPECTED_FEATURES)).agg(F.sum("prediction")).first()[0]
+                     for m in (model, again))
+    assert first == pytest.approx(second, rel=1e-12)
+
+
 def test_classifier_needs_two_classes(spark, tmp_path):
     rows = [(f"c{i}", float(i % 2), float(i % 2) * 10 + i % 5) for i in range(80)]
     df = spark.createDataFrame(rows, "customer_id string, fraud_label double, avg_consumption double")

@@ -8,18 +8,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from wattlens import constants as K
 from wattlens.functions.columns import num, ratio
-from wattlens.operators import iforest, metrics
-from wattlens.plans.joins import lookup_join, stored_bytes
+from wattlens.operators import forest, iforest, metrics
+from wattlens.plans.joins import lookup_join
 from wattlens.plans.selection import at_ranks, group_quantile
 from wattlens.plans.staging import stage
 
 TREES_A_PART, PARTS_AT_ONCE = 10, 12
-PIECE_BYTES = 32_000_000  # of the stored training rows that one partition holds
+LEAST_ROWS = 3  # of a leaf of the expected consumption
 MAX_DEPTH = 30  # trees without a limit stop at Spark's deepest; a parameter of every fit
 
 
@@ -77,26 +76,34 @@ def stratified_split(df: DataFrame, label: str, id_column: str = "customer_id",
     return joined.withColumn("is_holdout", F.coalesce(own <= F.col("_cut"), F.lit(False))).drop("_class", "_cut")
 
 
-def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42, depth: int = MAX_DEPTH) -> PipelineModel:
-    """Random forest for the mean of the last 30 readings.
+def part_sizes(trees: int) -> list[int]:
+    return [min(TREES_A_PART, trees - first) for first in range(0, trees, TREES_A_PART)]
 
-    Every partition of the rows sends statistics of all open nodes of all trees, so the forest is fitted in parts of
-    `TREES_A_PART` trees, several at a time, each on as few partitions as the rows fill. The prediction is the mean of all trees.
-    """
+
+def training_rows(features: DataFrame, *keep: str) -> tuple[PipelineModel, DataFrame]:
+    """The stages that fill gaps, and their output over the rows of `features` with a label."""
     label = F.coalesce(num(F.col("last_30_mean")), F.lit(0.0)).alias("label")
-    frame = feature_frame(features, K.EXPECTED_FEATURES).select(label, *[f"f_{f}" for f in K.EXPECTED_FEATURES])
+    frame = feature_frame(features, K.EXPECTED_FEATURES).select(*keep, label, *[f"f_{f}" for f in K.EXPECTED_FEATURES])
     frame = stage(frame, "training")  # read several times while fitting
     prepared = Pipeline(stages=input_stages(frame, K.EXPECTED_FEATURES)).fit(frame)
-    rows = prepared.transform(frame.coalesce(1 + stored_bytes(frame) // PIECE_BYTES)).select("label", "features")
-    sizes = [min(TREES_A_PART, trees - first) for first in range(0, trees, TREES_A_PART)]
+    return prepared, prepared.transform(frame)
+
+
+def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42, depth: int = MAX_DEPTH) -> PipelineModel:
+    """Random forest for the mean of the last 30 readings.
+
+    The forest is fitted in parts of `TREES_A_PART` trees, several at a time, each by one task over all rows (`forest`). The
+    prediction is the mean of all trees.
+    """
+    prepared, rows = training_rows(features)
+    sizes = part_sizes(trees)
 
     def fit(part: int):
-        return RandomForestRegressor(labelCol="label", featuresCol="features", predictionCol=f"_part_{part}",
-                                     numTrees=sizes[part], minInstancesPerNode=3, maxDepth=depth, cacheNodeIds=True,
-                                     featureSubsetStrategy="all", seed=seed + part).fit(rows)
+        return forest.fit(rows, "label", [f"i_{f}" for f in K.EXPECTED_FEATURES], sizes[part], seed + part, depth,
+                          LEAST_ROWS, prediction=f"_part_{part}")
 
     with ThreadPool(min(len(sizes), PARTS_AT_ONCE)) as pool:
-        forests = pool.map(inheritable_thread_target(frame.sparkSession)(fit), range(len(sizes)))
+        forests = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(len(sizes)))
     total = " + ".join(f"`_part_{part}` * {size}" for part, size in enumerate(sizes))
     mean = SQLTransformer(statement=f"SELECT *, ({total}) / {trees} AS `prediction` FROM __THIS__")
     return PipelineModel(stages=[*prepared.stages, *forests, mean])
@@ -104,9 +111,19 @@ def fit_expected(features: DataFrame, trees: int = 120, seed: int = 42, depth: i
 
 def expected_consumption(features: DataFrame, model: PipelineModel | None = None, trees: int = 120,
                          seed: int = 42) -> DataFrame:
-    """Predicted mean of the last 30 readings and the relative shortfall."""
-    model = model or fit_expected(features, trees, seed)
-    predicted = model.transform(feature_frame(features, K.EXPECTED_FEATURES))
+    """Predicted mean of the last 30 readings and the relative shortfall.
+
+    Without a model, the trees of `fit_expected` are grown and applied to their rows in the same tasks; none reaches the driver.
+    """
+    if model:
+        predicted = model.transform(feature_frame(features, K.EXPECTED_FEATURES))
+    else:
+        numbered = stage(features.withColumn("_part_row", F.monotonically_increasing_id()), "numbered")
+        _, rows = training_rows(numbered, "_part_row")
+        parts = [(size, seed + part) for part, size in enumerate(part_sizes(trees))]
+        found = stage(forest.fitted_predictions(rows, "_part_row", "label", [f"i_{f}" for f in K.EXPECTED_FEATURES], parts,
+                                                MAX_DEPTH, LEAST_ROWS, PARTS_AT_ONCE), "predictions")
+        predicted = numbered.join(found.withColumnRenamed("row", "_part_row"), "_part_row")
     expected = F.greatest(F.col("prediction"), F.lit(0.01))
     gap = ratio(F.col("expected_last_30_consumption") - F.col("last_30_mean"), F.col("expected_last_30_consumption"))
     return (drop_helpers(predicted).withColumn("expected_last_30_consumption", expected).drop("prediction")
