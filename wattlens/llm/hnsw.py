@@ -2,10 +2,11 @@
 
 Vectors are dealt to shards by hash; each shard builds one graph and stores it. Every vector then queries every shard: a cell
 holds two shards' graphs and searches each with the vectors of the other. A search descends the layers through lists (a node is
-listed by the nearest node of the layer above) and then walks along the links of the base. How wide a cell's beams begin is settled on an audited sample that is compared with all
-vectors of the shard: vectors of the cell, and ones made to lie near stored ones, so that a recall can be told however rare
-matches are. Then all vectors search once. Found pairs are verified in double precision. A cell returns one
-row per linked vector (its links and a neighbour that stands for its component), so no list of pairs leaves a task.
+listed by the nearest node of the layer above) and then walks along the links of the base. How wide a cell's beams begin is
+settled on an audited sample that is compared with all vectors of the shard: vectors of the cell, and ones made to lie near
+stored ones, so that a recall can be told however rare matches are. Then all vectors search once. Found pairs are verified in
+double precision. A cell returns one row per linked vector (its links and a neighbour that stands for its component), so no
+list of pairs leaves a task.
 
 The graphs are built and searched for many vectors at once with NumPy; positions in a shard are ordered by level, so every
 layer is a prefix of the layer below.
